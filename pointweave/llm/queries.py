@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, simhash, url_filters
+from . import ann, bpe, chat, langid, media, mixing, simhash, url_filters, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -94,15 +98,31 @@ FROM every GROUP BY conv_id
 """
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), lambda vec_id: F.pmod(vec_id, F.lit(100)) == 0)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(_table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_url_filters": op2_url_filters,
     "op3_bpe": op3_bpe,
+    "op4_media_columns": op4_media_columns,
     "op5_simhash": op5_simhash,
     "op6_chat_format": op6_chat_format,
+    "op7_ann": op7_ann,
     "op8_mixing": op8_mixing,
+    "op9_token_counts": op9_token_counts,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL = {"op2_url_filters": OP2_SQL, "op6_chat_format": OP6_SQL}
