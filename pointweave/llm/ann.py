@@ -103,6 +103,17 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return v.where("id is not null and size(v) > 0").where(fine & F.exists("v", lambda x: x != 0))
 
 
+def _searcher(shared, scale: dict[int, float], k: int):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        dim = int(key[0])
+        q_ids, q = shared.value.get(dim, (np.empty(0, np.int64), np.empty((0, dim))))
+        x = np.array(pdf["v"].tolist(), dtype=np.float64)
+        a, c, d = best(Tables(x, scale[dim]), pdf["id"].to_numpy(np.int64), q, q_ids, k)
+        return pd.DataFrame({"query_id": a, "vec_id": c, "score": d})
+
+    return run
+
+
 def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): ``k`` nearest rows found of every query.
 
@@ -112,33 +123,28 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
     Of rows that share an id, each is a candidate and one, of the least vector, a query. A query
     with fewer than ``k`` candidates gets all of them. Empty in, empty out.
     """
+    spark = vectors.sparkSession
     rows = checkpointed(usable(vectors, id_col, vector_col).withColumn("dim", F.size("v")))
     sizes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.avg(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("square")).collect()
     one = Window.partitionBy("id").orderBy("v")
     asked = rows.where(is_query(F.col("id"))).withColumn("nth", F.row_number().over(one)).where("nth = 1").drop("nth")
     asked = checkpointed(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(1 << 30))))
     n_asked = asked.count()
+    if not n_asked:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     parts: DataFrame | None = None
     blocks = max(1, -(-n_asked // BLOCK))
     shards = {r["dim"]: max(1, -(-r["n"] // SHARD)) for r in sizes}
     scale = {r["dim"]: float(r["square"]) ** 0.5 for r in sizes}
-    sc = vectors.sparkSession.sparkContext
-    count = F.element_at(F.create_map(*(F.lit(x) for kv in shards.items() for x in kv)), F.col("dim")) if shards else F.lit(1)
+    count = F.element_at(F.create_map(*(F.lit(x) for kv in shards.items() for x in kv)), F.col("dim"))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), "id"), count))
     for b in range(blocks):
         # one block has about BLOCK queries, whatever their number
         got = asked.where(F.pmod("block", F.lit(blocks)) == b).orderBy("id").toPandas()
         by_dim = {int(d): (g["id"].to_numpy(np.int64), np.array(g["v"].tolist(), dtype=np.float64)) for d, g in got.groupby("dim")}
-        shared = sc.broadcast(by_dim)
-
-        def run(key, pdf: pd.DataFrame, shared=shared) -> pd.DataFrame:
-            dim = int(key[0])
-            q_ids, q = shared.value.get(dim, (np.empty(0, np.int64), np.empty((0, dim))))
-            x = np.array(pdf["v"].tolist(), dtype=np.float64)
-            a, c, d = best(Tables(x, scale[dim]), pdf["id"].to_numpy(np.int64), q, q_ids, k)
-            return pd.DataFrame({"query_id": a, "vec_id": c, "score": d})
+        shared = spark.sparkContext.broadcast(by_dim)
 
-        found = dealt.groupBy("dim", "shard").applyInPandas(run, "query_id long, vec_id long, score double")
+        found = dealt.groupBy("dim", "shard").applyInPandas(_searcher(shared, scale, k), "query_id long, vec_id long, score double")
         parts = found if parts is None else parts.unionByName(found)
     nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return parts.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
