@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, langid, media, mixing, simhash, url_filters, wordpiece
+from . import ann, bpe, chat, langid, lm_scoring, media, mixing, simhash, url_filters, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_scoring.cross_entropy_difference(_table(spark, sf_dir, "documents"), good)
+
+
 #: The rules of the URL query.
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: What decides where no such rule fits.
@@ -115,6 +120,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_url_filters": op2_url_filters,
     "op3_bpe": op3_bpe,
     "op4_media_columns": op4_media_columns,
