@@ -215,7 +215,35 @@ def precession(jd: Column) -> dict[str, Column]:
 
 
 def planets_table(times: DataFrame, longitude: float, latitude: float, jd: str = "jd") -> DataFrame:
-    """A row for each row of ``times`` and planet but the earth."""
-    seen = [p for p in PLANETS if p != "earth"]
-    cols = F.explode(F.array(*(F.struct(F.lit(p).alias("planet"), *(c.alias(n) for c, n in zip(planet_position(p, F.col(jd), longitude, latitude), ("phi", "theta", "distance")))) for p in seen))).alias("p")
-    return times.select("*", cols).select(*times.columns, "p.*")
+    """(.., planet, phi, theta, distance): a row for each row of ``times`` and planet but the earth.
+
+    The eight orbits are a small table next to the times; every step is a
+    column of its own, so that none is worked out more than once.
+    """
+    spark = times.sparkSession
+    deepest = max(map(len, CENTRE.values()))
+    rows = [(p, *(v * RAD for v in ORBITS[p][2:7]), ORBITS[p][1], ORBITS[p][7], [*CENTRE[p], *[0.0] * (deepest - len(CENTRE[p]))]) for p in PLANETS if p != "earth"]
+    orbits = spark.createDataFrame(rows, "planet string, i double, w double, node double, m0 double, n double, e double, size double, centre array<double>")
+    earth = {f"_e{k}": v for k, v in zip("xyz", heliocentric("earth", F.col(jd)))}
+    d = times.withColumns(earth).withColumns({"_eps": obliquity(F.col(jd)), "_sid": sidereal_time(F.col(jd)) + longitude * RAD})
+    d = d.crossJoin(F.broadcast(orbits)).withColumn("m", F.col("m0") + F.col("n") * (F.col(jd) - J2000))
+    series = F.lit(0.0)
+    for k in range(deepest):
+        series = series + F.get("centre", F.lit(k)) * F.sin(F.col("m") * (k + 1))
+    d = d.withColumn("v", F.col("m") + series * RAD)
+    d = d.withColumns({"r": F.col("size") / (1 + F.col("e") * F.cos("v")), "cw": F.cos(F.col("w") + F.col("v")), "sw": F.sin(F.col("w") + F.col("v"))})
+    r, cw, sw = F.col("r"), F.col("cw"), F.col("sw")
+    node, i = F.col("node"), F.col("i")
+    d = d.withColumns({
+        "gx": r * (F.cos(node) * cw - F.sin(node) * F.cos(i) * sw) - F.col("_ex"),
+        "gy": r * (F.sin(node) * cw + F.cos(node) * F.cos(i) * sw) - F.col("_ey"),
+        "gz": r * F.sin(i) * sw - F.col("_ez"),
+    })
+    d = d.withColumn("distance", F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2 + F.col("gz") ** 2))
+    d = d.withColumns({"lam": F.atan2("gy", "gx"), "beta": F.asin(F.col("gz") / F.col("distance"))})
+    eps = F.col("_eps")
+    d = d.withColumns({"delta": declination(F.col("lam"), F.col("beta"), eps), "hour": F.col("_sid") - right_ascension(F.col("lam"), F.col("beta"), eps)})
+    s, c = math.sin(latitude * RAD), math.cos(latitude * RAD)
+    phi = F.atan2(F.sin("hour"), F.cos("hour") * s - F.tan("delta") * c)
+    theta = F.lit(math.pi / 2) - F.asin(s * F.sin("delta") + c * F.cos("delta") * F.cos("hour"))
+    return d.select(*times.columns, "planet", phi.alias("phi"), theta.alias("theta"), "distance")

@@ -88,10 +88,8 @@ def triangle_hit() -> Column:
     return F.when((u >= 0) & (v >= 0) & (u + v <= 1), _dot(e2, q) / det)
 
 
-def hit() -> Column:
-    """Ray parameter of the first hit of a row's object; null if there is none."""
-    k = F.col("kind")
-    return F.when(k == "box", box_hit()).when(k == "sphere", sphere_hit()).when(k == "cylinder", cylinder_hit()).when(k == "triangle", triangle_hit())
+#: The first hit of a ray at an object of a kind; null if there is none.
+HITS = {"box": box_hit, "sphere": sphere_hit, "cylinder": cylinder_hit, "triangle": triangle_hit}
 
 
 def object_bounds(objects: DataFrame) -> DataFrame:
@@ -116,12 +114,17 @@ def hits(rays: DataFrame, objects: DataFrame, object_filter: Column | None = Non
     for c, v in (("t_min", 0.0), ("t_max", float("inf"))):
         r = r if c in rays.columns else r.withColumn(c, F.lit(v))
     o = objects if object_filter is None else objects.where(object_filter)
-    few = o.limit(SMALL + 1).count() <= SMALL
-    pairs = r.crossJoin(F.broadcast(o)) if few else _by_grid(r, o)
-    found = pairs.withColumn("t", hit()).where(F.col("t").between(F.col("t_min"), F.col("t_max")))
-    if hit_filter is not None:
-        found = found.where(hit_filter)
-    return found.select("ray_id", "object_id", "t")
+    sizes = {k: n for k, n in o.groupBy("kind").count().collect()}  # a row a kind
+    out = None
+    for kind in sorted(HITS.keys() & sizes.keys()):  # apart, so that each kind's code stays small
+        own = o.where(F.col("kind") == kind)
+        pairs = r.crossJoin(F.broadcast(own)) if sizes[kind] <= SMALL else _by_grid(r, own)
+        found = pairs.withColumn("t", HITS[kind]()).where(F.col("t").between(F.col("t_min"), F.col("t_max")))
+        if hit_filter is not None:
+            found = found.where(hit_filter)
+        found = found.select("ray_id", "object_id", "t")
+        out = found if out is None else out.unionByName(found)
+    return r.select("ray_id", F.lit(0).alias("object_id"), F.lit(0.0).alias("t")).where(F.lit(False)) if out is None else out
 
 
 def _by_grid(rays: DataFrame, objects: DataFrame, cells: int = 64) -> DataFrame:

@@ -329,8 +329,8 @@ add(
 _LEAF = "leaf AS (SELECT nodes.*, t.* EXCLUDE (tx, ty, tz) FROM nodes JOIN t ON nodes.is_leaf AND t.tx >> (21 - level) = cx AND t.ty >> (21 - level) = cy AND t.tz >> (21 - level) = cz)"
 add(
     "octree_leaf_stats",
-    lambda s, d: (lambda p, t: octree.with_stats(octree.assign(p, t, LI_ROOT)).select(*octree.KEYS, "count_cell", *(f"bb_{k}_{a}" for k in ("min", "max") for a in "xyz"), "part_min", "part_max", *(F.round(f"centroid_{a}", 6).alias(f"centroid_{a}") for a in "xyz")))(*_tree(s, d)),
-    f"{TREE}, {_LEAF} SELECT level, cx, cy, cz, count(*) AS count_cell, min(x) AS bb_min_x, min(y) AS bb_min_y, min(z) AS bb_min_z, max(x) AS bb_max_x, max(y) AS bb_max_y, max(z) AS bb_max_z, min(part_index) AS part_min, max(part_index) AS part_max, round(avg(x), 6) AS centroid_x, round(avg(y), 6) AS centroid_y, round(avg(z), 6) AS centroid_z FROM leaf GROUP BY level, cx, cy, cz",
+    lambda s, d: (lambda p, t: octree.with_stats(octree.assign(p, t, LI_ROOT)).select(*octree.KEYS, "count_cell", *(f"bb_{k}_{a}" for k in ("min", "max") for a in "xyz"), "part_min", "part_max", *(F.round(F.col(f"centroid_{a}") + 1e-9, 5).alias(f"centroid_{a}") for a in "xyz")))(*_tree(s, d)),
+    f"{TREE}, {_LEAF} SELECT level, cx, cy, cz, count(*) AS count_cell, min(x) AS bb_min_x, min(y) AS bb_min_y, min(z) AS bb_min_z, max(x) AS bb_max_x, max(y) AS bb_max_y, max(z) AS bb_max_z, min(part_index) AS part_min, max(part_index) AS part_max, round(avg(x) + 1e-9, 5) AS centroid_x, round(avg(y) + 1e-9, 5) AS centroid_y, round(avg(z) + 1e-9, 5) AS centroid_z FROM leaf GROUP BY level, cx, cy, cz",
 )
 add(
     "approx_count",
@@ -398,8 +398,8 @@ add("cluster_sizes", lambda s, d: cluster.compact(QUERIES["cluster_equal"](s, d)
 add("cluster_min_size", lambda s, d: cluster.at_least(QUERIES["cluster_equal"](s, d), 3), f"{_EQ} SELECT point_id, CASE WHEN count(*) OVER (PARTITION BY cluster_id) >= 3 THEN cluster_id ELSE -1 END AS cluster_id FROM c")
 add(
     "cluster_centroids",
-    lambda s, d: cluster.centroids(views.lineitem_points(s, d), QUERIES["cluster_equal"](s, d)).select("cluster_id", "n", F.round("cy", 5).alias("cy")),
-    "SELECT min(point_id) AS cluster_id, count(*) AS n, round(avg(y), 5) AS cy FROM li GROUP BY x, floor(y), z",
+    lambda s, d: cluster.centroids(views.lineitem_points(s, d), QUERIES["cluster_equal"](s, d)).select("cluster_id", "n", F.round(F.col("cy") + 1e-9, 5).alias("cy")),
+    "SELECT min(point_id) AS cluster_id, count(*) AS n, round(avg(y) + 1e-9, 5) AS cy FROM li GROUP BY x, floor(y), z",
 )
 add(
     "normals_density",
@@ -568,7 +568,7 @@ def _seen(position) -> Query:
     return run
 
 
-add("julian_day", lambda s, d: _times(s, d).select("point_id", F.round("jd", 8).alias("jd")), f"SELECT point_id, round({_JD}, 8) AS jd FROM ev")
+add("julian_day", lambda s, d: _times(s, d).select("point_id", "jd"), f"SELECT point_id, {_JD} AS jd FROM ev")
 add("sidereal_time", lambda s, d: _times(s, d).select("point_id", F.round(astro.sidereal_time(F.col("jd")), 4).alias("theta")), f"SELECT point_id, round({n(2 * math.pi)} * (0.7790572732640e0 + 1.002737811911354e0 * ({_JD} - 2451545e0)), 4) AS theta FROM ev")
 add("obliquity", lambda s, d: _times(s, d).select("point_id", *(F.round(astro.obliquity(F.col("jd"), m), 9).alias(m) for m in ("de200", "aa2010", "laskar"))), None)
 add("moon_position", _seen(lambda jd: (lambda p: (p[0], p[1], p[2] / 1000))(astro.moon_position(jd, LON, LAT))), _observer_sql(f"SELECT point_id, jd, (218.316e0 + t * 13.176396e0 + 6.289e0 * sin((134.963e0 + t * 13.064993e0) * {_R})) * {_R} AS lam, 5.128e0 * sin((93.272e0 + t * 13.229350e0) * {_R}) * {_R} AS beta, 385001 - 20905 * cos((134.963e0 + t * 13.064993e0) * {_R}) AS dist FROM (SELECT point_id, {_JD} AS jd, {_JD} - 2451545e0 AS t FROM ev)", "round(dist, 5)"))
@@ -611,5 +611,11 @@ add(
     "SELECT l_quantity AS x, l_discount AS y, l_tax AS z, l_linenumber AS intensity FROM lineitem",
     False,
 )
-_ROW = Window.partitionBy("part_index").orderBy("point_id")
-add("first_per_part", lambda s, d: views.lineitem_points(s, d).withColumn("r", F.row_number().over(_ROW)).where("r <= 5").select("part_index", "point_id"), "SELECT part_index, point_id FROM li QUALIFY row_number() OVER (PARTITION BY part_index ORDER BY point_id) <= 5")
+
+
+def _first_of_parts(s: SparkSession, d: str) -> DataFrame:
+    order = Window.partitionBy("part_index").orderBy("point_id")
+    return views.lineitem_points(s, d).withColumn("r", F.row_number().over(order)).where("r <= 5").select("part_index", "point_id")
+
+
+add("first_per_part", _first_of_parts, "SELECT part_index, point_id FROM li QUALIFY row_number() OVER (PARTITION BY part_index ORDER BY point_id) <= 5")
