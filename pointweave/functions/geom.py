@@ -66,7 +66,7 @@ def beyond_hull(planes: Planes) -> Column:
 
 def hull_of_box(lo: Vec, hi: Vec) -> list[tuple[list[float], float]]:
     eye = np.eye(3)
-    return [(list(s * eye[i]), float(s * (hi if s > 0 else lo)[i])) for i in range(3) for s in (1.0, -1.0)]
+    return [(list(s * eye[i] + 0.0), float(s * (hi if s > 0 else lo)[i]) + 0.0) for i in range(3) for s in (1.0, -1.0)]
 
 
 def hull_corners(planes: Planes) -> np.ndarray:

@@ -129,7 +129,7 @@ def by_normal(normals: DataFrame, delta: float, by: Sequence[str] = ()) -> DataF
                 out.append(i)
         return pd.DataFrame({"point_id": pdf["point_id"], "cluster_id": out})
 
-    return normals.groupBy(*(list(by) or [F.lit(0)])).applyInPandas(scan, "point_id long, cluster_id long")
+    return normals.groupBy(*by).applyInPandas(scan, "point_id long, cluster_id long")
 
 
 def compact(labels: DataFrame) -> DataFrame:

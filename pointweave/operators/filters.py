@@ -107,11 +107,12 @@ class OutsideBox(InsideBox):
 
 
 def _planes(hull) -> list[dict]:
-    return [{"Point": list(map(float, np.asarray(n) * d / np.dot(n, n))), "Normal": list(map(float, n))} for n, d in hull]
+    """A point on each plane and its normal; the distance too, so that reading back is exact."""
+    return [{"Point": [float(k) + 0.0 for k in np.asarray(n) * d / np.dot(n, n)], "Normal": list(map(float, n)), "Distance": float(d)} for n, d in hull]
 
 
 def _hull(planes: list[dict]) -> tuple:
-    return tuple((tuple(p["Normal"]), float(np.dot(p["Normal"], p["Point"]))) for p in planes)
+    return tuple((tuple(p["Normal"]), float(p.get("Distance", np.dot(p["Normal"], p["Point"])))) for p in planes)
 
 
 @dataclass(frozen=True)
@@ -154,7 +155,8 @@ class InsideHulls(PointFilter):
         hulls = []
         for tri in triangulate(np.array(ring)):
             p = np.array([ring[i] for i in tri])
-            if np.cross(*(p[1:] - p[0])) < 0:
+            (a, b), (c, d) = p[1:] - p[0]
+            if a * d < b * c:
                 p = p[::-1]
             e = np.roll(p, -1, axis=0) - p
             sides = [((float(b), float(-a), 0.0), float(b * q[0] - a * q[1])) for (a, b), q in zip(e, p)]

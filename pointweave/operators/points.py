@@ -111,8 +111,7 @@ def thin_sequentially(points: DataFrame, d: float, metric: str = "chebyshev", by
         pdf = pdf.sort_values("point_id", kind="stable")
         return pdf[_kept(pdf[["x", "y", "z"]].to_numpy(float), d, metric)]
 
-    keys = list(by) or [F.lit(0)]
-    return points.groupBy(*keys).applyInPandas(scan, points.schema)
+    return points.groupBy(*by).applyInPandas(scan, points.schema)
 
 
 def _kept(p: np.ndarray, d: float, metric: str) -> np.ndarray:
