@@ -7,8 +7,9 @@ model's loss minus the background model's: the lower, the more target-like.
 
 Counts cover every text. The vocabulary is the ``VOCABULARY`` words that the
 background shows most, the rest being one unknown word. The inventory is the
-bigrams counted at least ``cutoff`` times, the least number that leaves at most
-``BIGRAMS``; a bigram outside falls back to its word's unigram in both models,
+most counted bigrams, at most ``BIGRAMS``; both end at the least count that
+leaves at most so many, so words of equal count are in or out together. A bigram
+outside falls back to its word's unigram in both models,
 with what its context keeps for that, so every word of every document is
 scored and each model still sums to one. Both bounds are what is sent to the
 driver and to the executors, whatever the corpus' size.
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, text_slices
@@ -112,7 +113,7 @@ def build(codes: np.ndarray, counts: np.ndarray, unigrams: np.ndarray) -> Models
 
 
 def vocabulary(docs: DataFrame, most: int = VOCABULARY) -> Vocabulary:
-    """The words that all texts show most often; ties go to the lesser word."""
+    """The words that all texts show most often, at most ``most``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,9 +122,20 @@ def vocabulary(docs: DataFrame, most: int = VOCABULARY) -> Vocabulary:
                 n = np.bincount(words.indices.to_numpy(zero_copy_only=False), minlength=len(words.dictionary)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([words.dictionary.cast(pa.string()), pa.array(n)], ["word", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.col("n").desc(), "word").limit(most).collect()
-    return Vocabulary(pa.array([r[0] for r in top], pa.large_string()))
+    counted = checkpointed(docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    kept = counted.where(F.col("n") >= least_count(counted, F.col("n"), most)).select("word").toArrow()
+    return Vocabulary(pa.array(sorted(kept.column("word").to_pylist()), pa.large_string()))
+
+
+def least_count(counted: DataFrame, n: Column, most: int) -> int:
+    """The least count that at most ``most`` rows reach. What comes to the driver
+    is how many rows have each count: as many rows as there are different counts."""
+    cutoff, total = 1 << 62, 0
+    for count, rows in sorted(((r[0], r[1]) for r in counted.groupBy(n.alias("n")).count().collect()), reverse=True):
+        if total + rows > most:
+            break
+        cutoff, total = count, total + rows
+    return cutoff
 
 
 def fit(background: DataFrame, target: DataFrame, words: Vocabulary, most: int = BIGRAMS) -> Models:
@@ -148,14 +160,7 @@ def fit(background: DataFrame, target: DataFrame, words: Vocabulary, most: int =
     for w, t, b in counted.groupBy(F.pmod("code", F.lit(size)).alias("w")).agg(F.sum("t"), F.sum("b")).collect():
         unigrams[:, w] = t, b
     seen = F.col("t") + F.col("b")
-    # counts by how often they occur: at most as many rows as there are different counts
-    often = sorted(((r[0], r[1]) for r in counted.groupBy(seen.alias("n")).count().collect()), reverse=True)
-    cutoff, total = (often[0][0] + 1 if often else 1), 0
-    for n, number in often:
-        if total + number > most:
-            break
-        cutoff, total = n, total + number
-    kept = counted.where(seen >= max(cutoff, 2)).toArrow()
+    kept = counted.where(seen >= max(2, least_count(counted, seen, most))).toArrow()
     column = lambda c: kept.column(c).to_numpy().astype(np.int64)
     return build(column("code"), np.stack([column("t"), column("b")]).astype(float), unigrams)
 

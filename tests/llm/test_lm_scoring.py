@@ -21,7 +21,8 @@ def corpus():
 def plain(rows, good, size, most):
     split = [(d, (t or "").lower().split()) for d, t in rows]
     words = Counter(w for _, ws in split for w in ws)
-    vocab = {w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:size]}
+    least = next((n for n in sorted({0, *words.values()}) if sum(c >= n for c in words.values()) <= size), 1 << 62)
+    vocab = {w for w, c in words.items() if c >= least}
     known = lambda ws: [w if w in vocab else "<unk>" for w in ws]
     pairs = [Counter(), Counter()]
     for d, ws in split:
