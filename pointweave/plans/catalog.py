@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import astro, colour, geodesy, geom, sky
+from ..functions import astro, colour, frames, geodesy, geom, sky
 from ..operators import cells, cluster, filters, knn, mask, mesh, normals, octree, points, rays
 from ..sources import ascii
 from . import views
@@ -579,6 +579,7 @@ add("planet_position", _seen(lambda jd: astro.planet_position("mars", jd, LON, L
 add("planets", lambda s, d: astro.planets_table(_times(s, d), LON, LAT).select("point_id", "planet", *(F.round(c, 5).alias(c) for c in ("phi", "theta", "distance"))))
 add("kepler", lambda s, d: _times(s, d).select("point_id", F.round(astro.kepler_true_anomaly(astro.mean_anomaly("mercury", F.col("jd")), 0.20563), 6).alias("v")))
 add("precession", lambda s, d: _times(s, d).select("point_id", *(F.round(c, 9).alias(k) for k, c in astro.precession(F.col("jd")).items())))
+add("star_frames", lambda s, d: frames.star_frames(_times(s, d), LON, LAT))
 add("angular_diameter", lambda s, d: views.event_points(s, d).select("point_id", F.round(astro.angular_diameter(astro.MOON_DIAMETER, F.col("y") * 1e6 + 3e8), 8).alias("a")), "SELECT point_id, round(2 * atan(1737100e0 / (y * 1e6 + 3e8)), 8) AS a FROM ev")
 _GEO = "(SELECT point_id, x / 3 AS lon, y * 0.8e0 - 40 AS lat, z * 10 AS h FROM li)"
 
