@@ -26,11 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_slices
+from .common import checkpointed, splitmix64, text_slices
 
 VOCABULARY, BIGRAMS = 30_000, 1_000_000
 #: Words' worth of the unigram model that each context is smoothed with.
 PRIOR = 4.0
+#: Bits of the sieve that target ids pass before their texts are shuffled: 8 MB,
+#: whatever the number of ids. With more ids it lets more texts through.
+SIEVE_BITS = 26
 #: Bytes of text counted at once; the larger, the fewer rows are shuffled.
 COUNT_BYTES = 16 << 20
 
@@ -187,6 +190,35 @@ def score(docs: DataFrame, words: Vocabulary, models: Models) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, loss_target double, loss_background double, score double")
 
 
+def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is in ``ids``: an exact semi-join, before
+    which a one-hash Bloom filter of the ids keeps most other texts from moving."""
+    low = np.uint64((1 << SIEVE_BITS) - 1)
+
+    def place(column: pa.Array) -> np.ndarray:
+        return splitmix64(pc.fill_null(column, 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & low
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = place(batch.column("doc_id"))
+            word, which = np.unique(at >> np.uint64(6), return_inverse=True)
+            bits = np.zeros(word.size, np.uint64)
+            np.bitwise_or.at(bits, which, np.uint64(1) << (at & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], ["word", "bits"])
+
+    marked = ids.mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(1 << (SIEVE_BITS - 6), np.uint64)
+    table[marked.column("word").to_numpy()] = marked.column("bits").to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = place(batch.column("doc_id"))
+            yield batch.filter(pa.array((shared.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)))
+
+    return docs.mapInArrow(sift, docs.schema).join(ids, "doc_id", "left_semi")
+
+
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """Scores every row of ``docs`` (doc_id, text); the target corpus is the
     rows whose id is in ``target_ids`` (doc_id), the background all rows.
@@ -198,5 +230,5 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     words = vocabulary(picked)
-    models = fit(picked, picked.join(ids, "doc_id", "left_semi"), words)
+    models = fit(picked, with_ids(picked, ids), words)
     return score(picked, words, models)

@@ -77,6 +77,15 @@ def test_target_like_documents_score_lower(spark):
     assert max(by[i] for i in range(0, 60, 3)) < min(by[i] for i in range(60) if i % 3)
 
 
+@pytest.mark.parametrize("bits", [6, 26])
+def test_rows_of_ids(spark, monkeypatch, bits):
+    monkeypatch.setattr(lm_scoring, "SIEVE_BITS", bits)
+    df = spark.createDataFrame([(d, t) for d, t in corpus()], "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in (3, 4, 100, 999, -7)], "doc_id long")
+    assert sorted(r.doc_id for r in lm_scoring.with_ids(df, ids).collect()) == [3, 4, 4, 100]
+    assert lm_scoring.with_ids(df, ids.limit(0)).collect() == []
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert lm_scoring.cross_entropy_difference(none, none).collect() == []
