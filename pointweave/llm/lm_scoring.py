@@ -34,8 +34,13 @@ PRIOR = 4.0
 #: Bits of the sieve that target ids pass before their texts are shuffled: 8 MB,
 #: whatever the number of ids. With more ids it lets more texts through.
 SIEVE_BITS = 26
-#: Bytes of text counted at once; the larger, the fewer rows are shuffled.
-COUNT_BYTES = 16 << 20
+
+
+def _freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after each, a worker gives back what Arrow holds unused."""
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
 
 
 def split_words(texts: pa.Array) -> pa.ListArray:
@@ -119,8 +124,8 @@ def vocabulary(docs: DataFrame, most: int = VOCABULARY) -> Vocabulary:
     """The words that all texts show most often, at most ``most``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, "text", COUNT_BYTES):
+        for batch in _freed(batches):
+            for part in text_slices(batch, "text"):
                 words = _flat(part.column("text"))[1]
                 n = np.bincount(words.indices.to_numpy(zero_copy_only=False), minlength=len(words.dictionary)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([words.dictionary.cast(pa.string()), pa.array(n)], ["word", "n"])
@@ -148,8 +153,8 @@ def fit(background: DataFrame, target: DataFrame, words: Vocabulary, most: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Vocabulary(shared.value)
-        for batch in batches:
-            for part in text_slices(batch, "text", COUNT_BYTES):
+        for batch in _freed(batches):
+            for part in text_slices(batch, "text"):
                 which = part.column("target").to_numpy(zero_copy_only=False)
                 for kind in np.unique(which):
                     code, n = np.unique(own.bigrams(part.column("text").filter(pa.array(which == kind)))[1], return_counts=True)
@@ -175,7 +180,7 @@ def score(docs: DataFrame, words: Vocabulary, models: Models) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, codes, kept, word, rest = shared.value
         own, both = Vocabulary(vocab), Models(codes, kept, word, rest)
-        for batch in batches:
+        for batch in _freed(batches):
             for part in text_slices(batch, "text"):
                 n, code = own.bigrams(part.column("text"))
                 loss = both.losses(code)
@@ -212,7 +217,7 @@ def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _freed(batches):
             at = place(batch.column("doc_id"))
             yield batch.filter(pa.array((shared.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)))
 
