@@ -179,16 +179,18 @@ def level_of_detail(assigned: DataFrame, tree: DataFrame, limit: int = SPLIT_LIM
     """Node points: leaves' own and inner nodes' samples of their children's.
 
     From the deepest level up, each child gives every (size + 0.49) / quota-th
-    of its points in order of point_id. At most DEPTH steps; each is written to
-    the shared folder, so that the next reads it.
+    of its points in order of point_id. At most DEPTH steps; the points with
+    their leaves and each step are written to the shared folder once, so that
+    no step repeats the work of those below it.
     """
+    tree, assigned = checkpointed(tree), checkpointed(assigned)
     base = tree.withColumn("count_cell", F.when(F.col("is_leaf"), F.col("n")))
     deepest = tree.agg(F.max("level")).first()[0]
     if deepest is None:
         return assigned.withColumn("is_leaf", F.lit(True))
     columns = [c for c in assigned.columns if c not in KEYS]
     every = assigned.withColumn("is_leaf", F.lit(True))
-    below = checkpointed(assigned.where(F.col("level") == deepest)) if deepest else None
+    below = assigned.where(F.col("level") == deepest)
     for level in range(int(deepest) - 1, -1, -1):
         sizes = below.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("count_cell"))
         kids = base.drop("count_cell").join(sizes, KEYS)

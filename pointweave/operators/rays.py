@@ -114,6 +114,7 @@ def hits(rays: DataFrame, objects: DataFrame, object_filter: Column | None = Non
     for c, v in (("t_min", 0.0), ("t_max", float("inf"))):
         r = r if c in rays.columns else r.withColumn(c, F.lit(v))
     o = objects if object_filter is None else objects.where(object_filter)
+    r = r.repartition(rays.sparkSession.sparkContext.defaultParallelism)  # few rays can mean much work
     sizes = {k: n for k, n in o.groupBy("kind").count().collect()}  # a row a kind
     out = None
     for kind in sorted(HITS.keys() & sizes.keys()):  # apart, so that each kind's code stays small
