@@ -25,12 +25,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, splitmix64, text_slices
+from .common import checkpointed, fresh, splitmix64, text_slices
 
 RADIUS = 4
 SHINGLE = 4
 #: Buckets up to SMALL compare all pairs at once; above TILE they are tiled.
 SMALL, TILE = 16, 8192
+#: Near copies: words of a shingle, least similarity, fingerprints of a text, and
+#: the differing bits up to which texts of one bucket are candidates.
+COPY_WORDS, COPY_LEAST, COPY_PRINTS, COPY_REACH = 5, 0.8, 4, 8
+#: Bits (a power of two) of the sieve of candidate texts that tasks are sent.
+SIEVE_BITS = 1 << 26
 
 
 def fingerprint(text: str | None, words: int = SHINGLE) -> int:
@@ -142,11 +147,13 @@ def _bucket_links(key: np.ndarray, x: np.ndarray, radius: int) -> tuple[np.ndarr
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, reach: int | None = None) -> DataFrame:
     """(a, b), a < b: links whose closure is that of all pairs within ``radius``.
 
-    ``fps`` has distinct signed fingerprints in column fp.
+    ``fps`` has distinct signed fingerprints in column fp. With a ``reach`` above
+    the radius, pairs up to it are links as well where a mask brings them together.
     """
+    reach = radius if reach is None else reach
     keyed = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks(radius)))).alias("mask", "value"))
     keyed = keyed.select("fp", F.xxhash64("mask", "value").alias("key"))
     whole = Window.partitionBy("key")
@@ -170,10 +177,10 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             x = np.concatenate([held_x, batch.column("fp").to_numpy().view(np.uint64)])
             cut = int(np.searchsorted(k, k[-1])) if k.size else 0  # the last run may go on
             if cut:
-                yield out(*_bucket_links(k[:cut], x[:cut], radius))
+                yield out(*_bucket_links(k[:cut], x[:cut], reach))
             held_k, held_x = k[cut:], x[cut:]
         if held_k.size:
-            yield out(*_bucket_links(held_k, held_x, radius))
+            yield out(*_bucket_links(held_k, held_x, reach))
 
     return spread.mapInArrow(run, "a long, b long").distinct()
 
@@ -232,3 +239,163 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) ->
     kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stays")), "left_semi")
     nth = Window.partitionBy("doc_id").orderBy("text")
     return kept.withColumn("_nth", F.row_number().over(nth)).where("_nth = 1").drop("_nth")
+
+
+def _parts(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def _key(parts: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(parts), 42)
+
+
+def word_prints(texts: list[str | None], prints: int = COPY_PRINTS) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, fingerprints[text, print]): the XXH64 of each text's words, and for
+    each print the bits that over half of its distinct words' hashes have; 0
+    where a text has no words."""
+    digest = xxhash.xxh64_intdigest
+    keys = np.zeros(len(texts), dtype=np.uint64)
+    counts = np.zeros(len(texts), dtype=np.int64)
+    hashes: list[int] = []
+    for i, text in enumerate(texts):
+        parts = _parts(text)
+        keys[i] = _key(parts)
+        words = set(parts)
+        counts[i] = len(words)
+        hashes.extend([digest(w, 42) for w in words])
+    out = np.zeros((len(texts), prints), dtype=np.uint64)
+    rows = np.flatnonzero(counts)
+    if not rows.size:
+        return keys, out
+    # runs of at most 255 words of one text: their bits add up in eight byte lanes of 64 bits
+    runs = (counts[rows] + 254) // 255
+    first = np.concatenate([[0], np.cumsum(runs)[:-1]])
+    nth = np.arange(runs.sum()) - np.repeat(first, runs)
+    start = np.repeat(np.cumsum(counts[rows]) - counts[rows], runs) + nth * 255
+    every, lane = np.array(hashes, dtype=np.uint64), np.uint64(0x0101010101010101)
+    for p in range(prints):
+        v = splitmix64(every + np.uint64(p)) if p else every
+        ones = np.empty((rows.size, 8, 8), dtype=bool)
+        for bit in range(8):
+            sums = np.add.reduceat((v >> np.uint64(bit)) & lane, start).view(np.uint8).reshape(-1, 8)
+            ones[:, :, bit] = np.add.reduceat(sums, first, axis=0, dtype=np.int64) * 2 > counts[rows][:, None]
+        out[rows, p] = np.packbits(ones.reshape(-1, 64), axis=1, bitorder="little").view(np.uint64).ravel()
+    return keys, out
+
+
+def shingle_set(parts: list[bytes], words: int = COPY_WORDS) -> np.ndarray:
+    """Distinct 64-bit hashes of the ``words``-word shingles (all words, if fewer)."""
+    known = {w: xxhash.xxh64_intdigest(w, 42) for w in set(parts)}
+    h = np.array([known[w] for w in parts], dtype=np.uint64)
+    span = min(words, h.size)
+    out = np.zeros(h.size - span + 1 if span else 0, dtype=np.uint64)
+    for i in range(span):
+        out = splitmix64(out + h[i : h.size - span + 1 + i])
+    return np.unique(out).view(np.int64)
+
+
+def _sieve(keys: DataFrame) -> bytes:
+    """One bit for each value that the low bits of column ``key`` take. It is as
+    large whatever the data; what it lets through in excess, a join drops."""
+    slot = F.col("key").bitwiseAND(F.lit(SIEVE_BITS - 1))
+    block = 1 << 16
+    packed = keys.select(F.shiftright(slot, 16).alias("block"), slot.bitwiseAND(F.lit(block - 1)).cast("int").alias("at")).distinct()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: dict[int, np.ndarray] = {}
+        for batch in batches:
+            b, at = batch.column("block").to_numpy(), batch.column("at").to_numpy()
+            for k in np.unique(b).tolist():
+                bits.setdefault(k, np.zeros(block, dtype=bool))[at[b == k]] = True
+        for k, x in bits.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+
+    out = np.zeros(SIEVE_BITS // 8, dtype=np.uint8)
+    for row in packed.repartition("block").mapInArrow(pack, "block long, bits binary").toLocalIterator():
+        out[row.block * (block // 8) : (row.block + 1) * (block // 8)] = np.frombuffer(bytes(row.bits), dtype=np.uint8)
+    return out.tobytes()
+
+
+def _shingles_of(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
+    """(key, shingles) of the texts whose key is in ``keys``, one row a key."""
+    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(sieve.value, dtype=np.uint8)
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                key, sets = [], []
+                for text in part.column("text").to_pylist():
+                    parts = _parts(text)
+                    k = _key(parts)
+                    at = k & (SIEVE_BITS - 1)
+                    if bits[at >> 3] >> (at & 7) & 1:
+                        key.append(k)
+                        sets.append(shingle_set(parts, words))
+                if key:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(key, dtype=np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
+
+    made = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, shingles array<long>")
+    return made.join(keys, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
+
+
+def near_copies(docs: DataFrame, least: float = COPY_LEAST, words: int = COPY_WORDS) -> DataFrame:
+    """(doc_id, text_key, component_id), one row a row of ``docs``.
+
+    component_id: the smallest doc_id that links reach. Linked are texts of the
+    same words (A-Z lower-cased) and candidates whose sets of ``words``-word
+    shingles have a Jaccard similarity of ``least`` or more. Candidates are all
+    pairs that differ in at most RADIUS bits in any of COPY_PRINTS fingerprints,
+    and those up to COPY_REACH that share a mask. Dense groups, and texts that
+    share a fingerprint, give a spanning forest of candidates for each print
+    instead of all their pairs. Null and wordless texts are the same text. Null
+    ids are never the smallest unless a component has no other. Repeated rows
+    stay repeated; an empty table gives an empty one; other columns are not read.
+    """
+    names = [f"p{i}" for i in range(COPY_PRINTS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                keys, prints = word_prints(part.column("text").to_pylist())
+                cols = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (keys, *prints.T)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], ["doc_id", "text_key", *names])
+
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = checkpointed(read.mapInArrow(run, "doc_id long, text_key long, " + ", ".join(f"{n} long" for n in names)))
+    texts = checkpointed(rows.groupBy("text_key").agg(F.min("doc_id").alias("first"), *(F.first(n).alias(n) for n in names)))
+    pairs = None
+    for n in names:
+        reps = texts.groupBy(F.col(n).alias("fp")).agg(F.min("text_key").alias("rep"))
+        same = texts.join(reps, texts[n] == reps["fp"]).select(F.col("text_key").alias("a"), F.col("rep").alias("b"))
+        found = links(reps.select("fp"), RADIUS, COPY_REACH)
+        for end in ("a", "b"):
+            found = found.join(reps.toDF(end, f"rep_{end}"), end)
+        both = same.unionByName(found.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))).where("a <> b")
+        pairs = both if pairs is None else pairs.unionByName(both)
+    pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = checkpointed(_shingles_of(docs, wanted, words))
+    checked = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    checked = checked.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+    roots = components(checked.where(F.col("shared") >= F.lit(least) * (F.col("n") - F.col("shared"))).select("a", "b"))
+    named = texts.join(roots, texts["text_key"] == roots["node"], "left").select("text_key", "first", F.coalesce("root", "text_key").alias("root"))
+    named = checkpointed(named)
+    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = named.where("root <> text_key").join(smallest, "root").select("text_key", "component_id").unionByName(smallest.select(F.col("root").alias("text_key"), "component_id"))
+    return rows.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "text_key", "component_id")
+
+
+def deduplicate_copies(docs: DataFrame, least: float = COPY_LEAST, words: int = COPY_WORDS) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group of near copies the one of the
+    smallest id. Rows that share an id are one document, of which the least text
+    stays; a group whose ids are all null keeps one row."""
+    number = F.col("doc_id").cast("long")
+    # the same plain keys in the join and the window, so that the texts move once
+    ends = {fresh(docs, "_id"): F.coalesce(number, F.lit(0).cast("long")), fresh(docs, "_none"): number.isNull()}
+    stay = near_copies(docs, least, words).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = stay.select(*(c.alias(n) for n, c in ends.items())).distinct()
+    kept = docs.withColumns(ends).join(stay, list(ends), "left_semi")
+    nth = fresh(docs, "_nth")
+    kept = kept.withColumn(nth, F.row_number().over(Window.partitionBy(*ends).orderBy("text")))
+    return kept.where(F.col(nth) == 1).select(*docs.columns)
