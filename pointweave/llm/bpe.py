@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import text_slices
 
-#: Words whose pieces, and pairs whose compatibility, a worker keeps at most.
-KEPT_WORDS, KEPT_PAIRS = 400_000, 1_000_000
+#: Words whose pieces (twice as many), and pairs whose compatibility, a worker keeps at most.
+KEPT_WORDS, KEPT_PAIRS = 250_000, 1_000_000
 #: What a symbol at a word's end has in addition to its byte.
 END = 0x200
 #: Ids that one decoding step handles.
@@ -45,15 +46,20 @@ def byte_alphabet() -> list[str]:
 
 
 class Words(dict):
-    """What ``make`` gave for short words, up to ``KEPT_WORDS`` of them."""
+    """What ``make`` gave for short words. Full at ``KEPT_WORDS``, it becomes the
+    older half, from which words still in use come back; the rest is let go."""
 
     def __init__(self, make):
         self.make = make
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        made = self.make(word)
+        made = self.older.get(word)
+        if made is None:
+            made = self.make(word)
         if len(word) <= 64:
             if len(self) >= KEPT_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = made
         return made
@@ -75,6 +81,7 @@ class WordBpe:
         self.split_added = regex.compile("|".join(f"({regex.escape(t)})" for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(known_letters(pattern))
+        self.ascii_pattern = re.compile(ascii_letters(pattern), re.ASCII)
         byte_of = {c: b for b, c in enumerate(byte_alphabet())}
         vocab: dict[str, int] = model["vocab"]
         names = {i: t for t, i in (vocab | self.added).items()}
@@ -180,12 +187,17 @@ class WordBpe:
 
     def word(self, symbols: str) -> list[int]:
         """The entries that merging ``symbols`` by rank gives."""
+        out: list[int] = []
+        pairs, nxt = self.pairs, 0
+        for _, nxt in self.entries.iter_long(symbols):  # longest entries, as long as they go together
+            if out and not (pairs[out[-1], nxt] if (out[-1], nxt) in pairs else self.compatible(out[-1], nxt)):
+                break
+            out.append(nxt)
+        else:
+            return out
         n, length, longest = len(symbols), self.length, self.entries.iter_long
-        at, nxt = 0, next(longest(symbols))[1]
-        if length[nxt] == n:
-            return [nxt]
+        at = sum(map(length.__getitem__, out))
         open_ = bytearray(b"\x01") * (n + 1)
-        out: list[int] = []
         while at < n:
             i: int | None = nxt
             while i is not None:
@@ -206,10 +218,22 @@ class WordBpe:
 
     def chunk(self, chunk: str) -> bytes:
         """Ids of a run without spaces, as little-endian unsigned 32-bit integers."""
-        ids: list[int] = []
-        for w in self.pattern.findall(chunk):
-            s = w.encode("utf-8", "surrogatepass").decode("latin-1")
-            ids += self.word(s[:-1] + chr(END + ord(s[-1])))
+        parts = (self.ascii_pattern if chunk.isascii() else self.pattern).findall(chunk)
+        if len(parts) == 1 and len(parts[0]) == len(chunk):
+            return self._ids(chunk)
+        out = []
+        for w in parts:  # words of several chunks, with and without a comma, are encoded once
+            made = self.words.get(w)
+            if made is None:
+                made = self._ids(w)
+                if len(w) <= 64:
+                    self.words[w] = made
+            out.append(made)
+        return b"".join(out)
+
+    def _ids(self, word: str) -> bytes:
+        s = word.encode("utf-8", "surrogatepass").decode("latin-1")
+        ids = self.word(s[:-1] + chr(END + ord(s[-1])))
         return pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
@@ -251,6 +275,15 @@ NOT_SPACE = "\x1c\x1d\x1e\x1f"
 SPACE = regex.compile(r"\s+")
 
 
+def ascii_letters(pattern: str) -> str:
+    """``pattern`` for texts of ASCII alone, with its classes spelt out."""
+    for name, those in (("L", "a-zA-Z"), ("N", "0-9")):
+        pattern = pattern.replace(rf"[\p{{{name}}}]", f"[{those}]").replace(rf"[^\s\p{{L}}\p{{N}}]", r"[^\sa-zA-Z0-9]")
+    if r"\p" in pattern:
+        raise ValueError(f"unknown class in {pattern}")
+    return pattern
+
+
 def known_letters(pattern: str) -> str:
     """``pattern`` with letters and numbers as this Python's Unicode data has
     them; the regex library may know later ones, which other engines don't."""
