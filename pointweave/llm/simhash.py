@@ -284,14 +284,17 @@ def word_prints(texts: list[str | None], prints: int = COPY_PRINTS) -> tuple[np.
 
 
 def shingle_set(parts: list[bytes], words: int = COPY_WORDS) -> np.ndarray:
-    """Distinct 64-bit hashes of the ``words``-word shingles (all words, if fewer)."""
+    """Distinct 32-bit hashes of the ``words``-word shingles (all words, if fewer).
+
+    Sets move through a shuffle, so hashes are short: two unlike sets of 20,000
+    shingles are counted to share about 0.1 shingles, smaller ones far fewer."""
     known = {w: xxhash.xxh64_intdigest(w, 42) for w in set(parts)}
     h = np.array([known[w] for w in parts], dtype=np.uint64)
     span = min(words, h.size)
     out = np.zeros(h.size - span + 1 if span else 0, dtype=np.uint64)
     for i in range(span):
         out = splitmix64(out + h[i : h.size - span + 1 + i])
-    return np.unique(out).view(np.int64)
+    return np.unique((out >> np.uint64(32)).astype(np.uint32)).view(np.int32)
 
 
 def _sieve(keys: DataFrame) -> bytes:
@@ -333,9 +336,9 @@ def _shingles_of(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
                         key.append(k)
                         sets.append(shingle_set(parts, words))
                 if key:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(key, dtype=np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(key, dtype=np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int32()))], ["key", "shingles"])
 
-    made = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, shingles array<long>")
+    made = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, shingles array<int>")
     return made.join(keys, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
 
 
