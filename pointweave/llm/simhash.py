@@ -31,9 +31,13 @@ RADIUS = 4
 SHINGLE = 4
 #: Buckets up to SMALL compare all pairs at once; above TILE they are tiled.
 SMALL, TILE = 16, 8192
-#: Near copies: words of a shingle, least similarity, fingerprints of a text, and
-#: the differing bits up to which texts of one bucket are candidates.
-COPY_WORDS, COPY_LEAST, COPY_PRINTS, COPY_REACH = 5, 0.8, 4, 8
+#: Near copies: words of a shingle, least similarity, fingerprints of a text.
+COPY_WORDS, COPY_LEAST, COPY_PRINTS = 5, 0.8, 4
+#: Texts that are looked at for common shingles, the texts of these that make a
+#: shingle common, and the common shingles known at most. They only set an order.
+LOOKED_AT, COMMON, COMMON_MOST = 20_000, 4, 200_000
+#: Text keys that a task remembers, and a text's shingles that TILE stands for.
+REMEMBERED, TILE_SHINGLES = 1_000_000, 512
 #: Bits (a power of two) of the sieve of candidate texts that tasks are sent.
 SIEVE_BITS = 1 << 26
 
@@ -147,13 +151,11 @@ def _bucket_links(key: np.ndarray, x: np.ndarray, radius: int) -> tuple[np.ndarr
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def links(fps: DataFrame, radius: int = RADIUS, reach: int | None = None) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b), a < b: links whose closure is that of all pairs within ``radius``.
 
-    ``fps`` has distinct signed fingerprints in column fp. With a ``reach`` above
-    the radius, pairs up to it are links as well where a mask brings them together.
+    ``fps`` has distinct signed fingerprints in column fp.
     """
-    reach = radius if reach is None else reach
     keyed = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks(radius)))).alias("mask", "value"))
     keyed = keyed.select("fp", F.xxhash64("mask", "value").alias("key"))
     whole = Window.partitionBy("key")
@@ -177,10 +179,10 @@ def links(fps: DataFrame, radius: int = RADIUS, reach: int | None = None) -> Dat
             x = np.concatenate([held_x, batch.column("fp").to_numpy().view(np.uint64)])
             cut = int(np.searchsorted(k, k[-1])) if k.size else 0  # the last run may go on
             if cut:
-                yield out(*_bucket_links(k[:cut], x[:cut], reach))
+                yield out(*_bucket_links(k[:cut], x[:cut], radius))
             held_k, held_x = k[cut:], x[cut:]
         if held_k.size:
-            yield out(*_bucket_links(held_k, held_x, reach))
+            yield out(*_bucket_links(held_k, held_x, radius))
 
     return spread.mapInArrow(run, "a long, b long").distinct()
 
@@ -288,13 +290,17 @@ def shingle_set(parts: list[bytes], words: int = COPY_WORDS) -> np.ndarray:
 
     Sets move through a shuffle, so hashes are short: two unlike sets of 20,000
     shingles are counted to share about 0.1 shingles, smaller ones far fewer."""
+    return np.unique((_shingle_hashes(parts, words) >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+
+
+def _shingle_hashes(parts: list[bytes], words: int = COPY_WORDS) -> np.ndarray:
     known = {w: xxhash.xxh64_intdigest(w, 42) for w in set(parts)}
     h = np.array([known[w] for w in parts], dtype=np.uint64)
     span = min(words, h.size)
     out = np.zeros(h.size - span + 1 if span else 0, dtype=np.uint64)
     for i in range(span):
         out = splitmix64(out + h[i : h.size - span + 1 + i])
-    return np.unique((out >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+    return out
 
 
 def _sieve(keys: DataFrame) -> bytes:
@@ -342,46 +348,222 @@ def _shingles_of(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
     return made.join(keys, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
 
 
+def _common(docs: DataFrame, words: int) -> np.ndarray:
+    """Shingles that many of about LOOKED_AT texts have, the most common last."""
+    nth = max(1, docs.count() // LOOKED_AT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                made = [np.unique(_shingle_hashes(_parts(t), words)) for t in part.column("text").to_pylist()]
+                h, n = np.unique(np.concatenate(made), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    text = F.col("text").cast("string")
+    some = docs.select(text.alias("text")).where(F.pmod(F.xxhash64(text), F.lit(nth)) == 0)
+    counted = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    found = counted.orderBy(F.desc("n"), "h").limit(COMMON_MOST).toArrow()
+    return found.column("h").to_numpy().astype(np.int64).view(np.uint64)[::-1]
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, least: float) -> np.ndarray:
+    """The first of a set's distinct shingles in one order for all sets, ``common``
+    (sorted, with its ``rank``) at the end: as many as any set that is ``least``
+    alike has one of among its own first ones."""
+    place = np.full(hashes.size, -1, dtype=np.int64)
+    if common.size:
+        at = np.minimum(np.searchsorted(common, hashes), common.size - 1)
+        hit = common[at] == hashes
+        place[hit] = rank[at[hit]]
+    keep = hashes.size - int(np.ceil(least * hashes.size - 1e-9)) + 1
+    return hashes[np.lexsort((hashes, place))[:keep]]
+
+
+def _prefixes(docs: DataFrame, least: float, words: int) -> DataFrame:
+    """(h, key, n, pos, big) of prefix shingles h that two texts or more have: text
+    key, its number of shingles, place in the order, whether over SMALL texts have
+    it. Rows of one h are together, by key."""
+    late = _common(docs, words)
+    order = np.argsort(late)
+    shared = docs.sparkSession.sparkContext.broadcast((late[order], order))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, rank = shared.value
+        seen: set[int] = set()
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                hs, keys, sizes = [], [], []
+                for text in part.column("text").to_pylist():
+                    parts = _parts(text)
+                    k = _key(parts)
+                    if not parts or k in seen:
+                        continue
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(k)
+                    every = np.unique(_shingle_hashes(parts, words))
+                    hs.append(prefix(every, common, rank, least))
+                    keys.append(k)
+                    sizes.append(every.size)
+                if keys:
+                    many = np.array([h.size for h in hs])
+                    pos = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    cols = [np.concatenate(hs).view(np.int64), np.repeat(np.array(keys, dtype=np.uint64).view(np.int64), many), np.repeat(np.array(sizes) << 32, many) + pos]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "key", "at"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 3
+
+        def out(h: np.ndarray, key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+            once = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])])
+            h, key, at = h[once], key[once], at[once]
+            edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
+            size = np.repeat(np.diff(edge), np.diff(edge))
+            many = size > 1
+            cols = [h[many], key[many], at[many] >> 32, at[many] & 0xFFFFFFFF, size[many] > SMALL]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "key", "n", "pos", "big"])
+
+        for batch in batches:
+            held = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, ("h", "key", "at"))]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if held[0].size else 0  # the last run may go on
+            if cut:
+                yield out(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if held[0].size:
+            yield out(*held)
+
+    made = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, key long, at long")
+    return made.repartition("h").sortWithinPartitions("h", "key").mapInArrow(meet, "h long, key long, n long, pos long, big boolean")
+
+
+def _small_pairs(met: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: pairs of the shingles that few texts have, without those
+    that are too few to be ``least`` alike from this shingle on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 4
+
+        def out(h: np.ndarray, key: np.ndarray, n: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+            left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for shift in range(1, min(SMALL, h.size)):
+                i = np.flatnonzero(h[:-shift] == h[shift:])
+                j = i + shift
+                i, j = (x[np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least / (1 + least) * (n[i] + n[j]) - 1e-6] for x in (i, j))
+                left.append(key[i])
+                right.append(key[j])
+            pair = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+
+        for batch in batches:
+            held = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, ("h", "key", "n", "pos"))]
+            cut = held[0].size - int(np.argmax(held[0][::-1] != held[0][-1])) if held[0].size and held[0][0] != held[0][-1] else 0
+            if cut:
+                yield out(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if held[0].size:
+            yield out(*held)
+
+    return met.where("not big").select("h", "key", "n", "pos").mapInArrow(run, "a long, b long").distinct()
+
+
+def _walk_sets(key: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
+    """Spanning links of the texts of one bucket: a text leaves the rest only when
+    its set was found ``least`` like the pivot's, so the closure is that of all pairs."""
+    size = np.array([x.size for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start = np.cumsum(size) - size
+    marked = np.zeros(int(ids.max()) + 1, dtype=bool)
+    left, right = [], []
+    rest = np.ones(key.size, dtype=bool)
+    frontier: list[int] = []
+    first = 0
+    while rest.any():
+        if not frontier:
+            first += int(np.argmax(rest[first:]))
+            frontier.append(first)
+            rest[first] = False
+            continue
+        at = frontier.pop()
+        own = ids[start[at] : start[at] + size[at]]
+        near = np.flatnonzero(rest & (np.minimum(size, size[at]) >= least * np.maximum(size, size[at]) - 1e-6))
+        if not near.size:
+            continue
+        marked[own] = True
+        step = np.repeat(start[near] - np.cumsum(size[near]) + size[near], size[near]) + np.arange(size[near].sum())
+        both = np.add.reduceat(marked[ids[step]], np.cumsum(size[near]) - size[near], dtype=np.int64)
+        marked[own] = False
+        found = near[both >= least * (size[near] + size[at] - both)]
+        left.extend([int(key[at])] * found.size)
+        right.extend(key[found].tolist())
+        frontier.extend(found.tolist())
+        rest[found] = False
+    return left, right
+
+
+def _big_links(met: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): verified links of the shingles that many texts have, whose closure is
+    that of all pairs; past a tile's shingles, a bucket is cut into pairs of tiles."""
+    limit = TILE * TILE_SHINGLES
+    run_of = Window.partitionBy("h").orderBy("n", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keyed = met.where("big").select("h", "key", "n").withColumn("tile", F.floor((F.sum("n").over(run_of) - 1) / limit))
+    keyed = keyed.withColumn("tiles", F.max("tile").over(Window.partitionBy("h")))
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles")), lambda t: F.xxhash64(F.col("h"), F.least(t, F.col("tile")), F.greatest(t, F.col("tile"))))
+    spread = keyed.select("key", F.explode(others).alias("bucket")).join(sets, "key")
+    spread = spread.repartition("bucket").sortWithinPartitions("bucket", "key").select("bucket", "key", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, key, held = None, [], []
+
+        def out() -> pa.RecordBatch:
+            a, b = _walk_sets(np.array(key, dtype=np.int64), held, least)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            column = batch.column("shingles")
+            values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+            for i, (h, k) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("key").to_pylist())):
+                if h != bucket:
+                    if len(key) > 1:
+                        yield out()
+                    bucket, key, held = h, [], []
+                key.append(k)
+                held.append(values[ends[i] : ends[i + 1]].copy())
+        if len(key) > 1:
+            yield out()
+
+    return spread.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_copies(docs: DataFrame, least: float = COPY_LEAST, words: int = COPY_WORDS) -> DataFrame:
     """(doc_id, text_key, component_id), one row a row of ``docs``.
 
     component_id: the smallest doc_id that links reach. Linked are texts of the
-    same words (A-Z lower-cased) and candidates whose sets of ``words``-word
-    shingles have a Jaccard similarity of ``least`` or more. Candidates are all
-    pairs that differ in at most RADIUS bits in any of COPY_PRINTS fingerprints,
-    and those up to COPY_REACH that share a mask. Dense groups, and texts that
-    share a fingerprint, give a spanning forest of candidates for each print
-    instead of all their pairs. Null and wordless texts are the same text. Null
-    ids are never the smallest unless a component has no other. Repeated rows
-    stay repeated; an empty table gives an empty one; other columns are not read.
+    same words (A-Z lower-cased) and all whose sets of ``words``-word shingles
+    have a Jaccard similarity of ``least`` or more: of two such sets, the first
+    shingles in a fixed order (a fifth, for 0.8) share one. Shingles of few texts
+    give their pairs; those of many give spanning links, each tested on its sets.
+    Null and wordless texts are the same text. Null ids are never the smallest
+    unless a component has no other. Repeated rows stay repeated; an empty table
+    gives an empty one; other columns are not read.
     """
-    names = [f"p{i}" for i in range(COPY_PRINTS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
-                keys, prints = word_prints(part.column("text").to_pylist())
-                cols = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (keys, *prints.T)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], ["doc_id", "text_key", *names])
+                keys = np.array([_key(_parts(t)) for t in part.column("text").to_pylist()], dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys.view(np.int64))], ["doc_id", "text_key"])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = checkpointed(read.mapInArrow(run, "doc_id long, text_key long, " + ", ".join(f"{n} long" for n in names)))
-    texts = checkpointed(rows.groupBy("text_key").agg(F.min("doc_id").alias("first"), *(F.first(n).alias(n) for n in names)))
-    pairs = None
-    for n in names:
-        reps = texts.groupBy(F.col(n).alias("fp")).agg(F.min("text_key").alias("rep"))
-        same = texts.join(reps, texts[n] == reps["fp"]).select(F.col("text_key").alias("a"), F.col("rep").alias("b"))
-        found = links(reps.select("fp"), RADIUS, COPY_REACH)
-        for end in ("a", "b"):
-            found = found.join(reps.toDF(end, f"rep_{end}"), end)
-        both = same.unionByName(found.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))).where("a <> b")
-        pairs = both if pairs is None else pairs.unionByName(both)
-    pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    rows = checkpointed(read.mapInArrow(run, "doc_id long, text_key long"))
+    texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("first"))
+    met = checkpointed(_prefixes(docs, least, words))
+    pairs = checkpointed(_small_pairs(met, least))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(met.where("big").select("key")).distinct()
     sets = checkpointed(_shingles_of(docs, wanted, words))
     checked = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     checked = checked.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
-    roots = components(checked.where(F.col("shared") >= F.lit(least) * (F.col("n") - F.col("shared"))).select("a", "b"))
+    checked = checked.where(F.col("shared") >= F.lit(least) * (F.col("n") - F.col("shared"))).select("a", "b")
+    roots = components(checked.unionByName(_big_links(met, sets, least)))
     named = texts.join(roots, texts["text_key"] == roots["node"], "left").select("text_key", "first", F.coalesce("root", "text_key").alias("root"))
     named = checkpointed(named)
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))

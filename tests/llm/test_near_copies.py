@@ -98,6 +98,23 @@ def test_nothing_unlike_is_linked_and_few_links_are_lost_in_dense_groups(spark,
     assert met >= 0.98 * len(alike)
 
 
+@pytest.mark.parametrize("small", [4, 16])
+def test_a_large_group_of_one_base_is_linked_as_all_pairs_are(spark, monkeypatch, small):
+    monkeypatch.setattr(simhash, "SMALL", small)
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = rng.choices(vocabulary, k=100)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 200):
+        copy = list(base)
+        for at in rng.sample(range(100), 2):
+            copy[at] = rng.choice(vocabulary)
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame([(d, t, "") for d, t in rows], SCHEMA)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert [got[d] for d, _ in rows] == plain(rows)[0]
+
+
 def test_the_border_of_similarity(spark):
     w = [f"w{i}" for i in range(40)]
     # 36 shingles; a copy that lacks the last n words shares 36 - n of 36
