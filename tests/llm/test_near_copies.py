@@ -115,6 +115,27 @@ def test_a_large_group_of_one_base_is_linked_as_all_pairs_are(spark, monkeypatch
     assert [got[d] for d, _ in rows] == plain(rows)[0]
 
 
+def test_every_kind_of_edit_is_linked(spark):
+    rng = random.Random(4)
+    new = lambda k: ["".join(rng.choices("abcdefgh", k=7)) for _ in range(k)]
+    rows = []
+    for _ in range(20):
+        for n in (20, 40, 400, 2000):
+            base, most = new(n), (n - 4) // 4  # so many new shingles at the end leave 0.8
+            at = n // 2
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base + new(most)))]
+            base = new(n)
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(new(most) + base))]
+            base = new(n)
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[: n - (n - 4) // 5]))]
+            base = new(n)
+            if n > 40:
+                rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[:at] + new(most - 12) + base[at:]))]
+    docs = spark.createDataFrame([(d, t, "") for d, t in rows], SCHEMA)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+
+
 def test_the_border_of_similarity(spark):
     w = [f"w{i}" for i in range(40)]
     # 36 shingles; a copy that lacks the last n words shares 36 - n of 36
