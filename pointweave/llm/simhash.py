@@ -535,9 +535,10 @@ def _big_links(met: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, least: float = COPY_LEAST, words: int = COPY_WORDS) -> DataFrame:
-    """(doc_id, text_key, component_id), one row a row of ``docs``.
+    """(doc_id, text_key, component_id, group_key, raw_key), one row a row of ``docs``.
 
-    component_id: the smallest doc_id that links reach. Linked are texts of the
+    group_key: the same for the rows of one component, whatever their ids.
+    raw_key: Spark's xxhash64 of the text as it is. component_id: the smallest doc_id that links reach. Linked are texts of the
     same words (A-Z lower-cased) and all whose sets of ``words``-word shingles
     have a Jaccard similarity of ``least`` or more: of two such sets, the first
     shingles in a fixed order (a fifth, for 0.8) share one. Shingles of few texts
@@ -551,10 +552,11 @@ def near_copies(docs: DataFrame, least: float = COPY_LEAST, words: int = COPY_WO
         for batch in batches:
             for part in text_slices(batch, "text"):
                 keys = np.array([_key(_parts(t)) for t in part.column("text").to_pylist()], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys.view(np.int64))], ["doc_id", "text_key"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys.view(np.int64)), part.column("raw_key")], ["doc_id", "text_key", "raw_key"])
 
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = checkpointed(read.mapInArrow(run, "doc_id long, text_key long"))
+    text = F.col("text").cast("string")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("raw_key"))
+    rows = checkpointed(read.mapInArrow(run, "doc_id long, text_key long, raw_key long"))
     texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("first"))
     met = checkpointed(_prefixes(docs, least, words))
     pairs = checkpointed(_small_pairs(met, least))
@@ -567,20 +569,24 @@ def near_copies(docs: DataFrame, least: float = COPY_LEAST, words: int = COPY_WO
     named = texts.join(roots, texts["text_key"] == roots["node"], "left").select("text_key", "first", F.coalesce("root", "text_key").alias("root"))
     named = checkpointed(named)
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.where("root <> text_key").join(smallest, "root").select("text_key", "component_id").unionByName(smallest.select(F.col("root").alias("text_key"), "component_id"))
-    return rows.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "text_key", "component_id")
+    named = named.where("root <> text_key").join(smallest, "root").select("text_key", "component_id", "root").unionByName(smallest.select(F.col("root").alias("text_key"), "component_id", "root"))
+    return rows.join(named, "text_key").select("doc_id", "text_key", "component_id", F.col("root").alias("group_key"), "raw_key")
 
 
 def deduplicate_copies(docs: DataFrame, least: float = COPY_LEAST, words: int = COPY_WORDS) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near copies the one of the
-    smallest id. Rows that share an id are one document, of which the least text
-    stays; a group whose ids are all null keeps one row."""
-    number = F.col("doc_id").cast("long")
+    smallest id. Of the rows that stay by one id, the least text does; each group
+    whose ids are all null keeps one row."""
+    number, raw = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
     # the same plain keys in the join and the window, so that the texts move once
-    ends = {fresh(docs, "_id"): F.coalesce(number, F.lit(0).cast("long")), fresh(docs, "_none"): number.isNull()}
+    ends = {fresh(docs, "_id"): F.coalesce(number, raw), fresh(docs, "_none"): number.isNull()}
+    texts = fresh(docs, "_texts")
     stay = near_copies(docs, least, words).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stay.select(*(c.alias(n) for n, c in ends.items())).distinct()
-    kept = docs.withColumns(ends).join(stay, list(ends), "left_semi")
+    named = stay.where("doc_id is not null").select("doc_id", "raw_key")
+    nameless = stay.where("doc_id is null").groupBy("group_key").agg(F.min("raw_key").alias("raw_key")).select(F.lit(None).cast("long").alias("doc_id"), "raw_key")
+    own = named.unionByName(nameless).select(*(c.alias(n) for n, c in zip(ends, (F.coalesce("doc_id", "raw_key"), F.col("doc_id").isNull()))), "raw_key")
+    own = own.groupBy(*ends).agg(F.collect_set("raw_key").alias(texts))
+    kept = docs.withColumns(ends).join(own, list(ends)).where(F.array_contains(texts, raw))
     nth = fresh(docs, "_nth")
     kept = kept.withColumn(nth, F.row_number().over(Window.partitionBy(*ends).orderBy("text")))
     return kept.where(F.col(nth) == 1).select(*docs.columns)

@@ -157,6 +157,13 @@ def test_deduplicate_copies(spark):
     assert sorted(map(str, map(tuple, simhash.deduplicate_copies(twice).collect()))) == ["(1, 'a c')", "(None, 'x')"]
 
 
+def test_groups_without_ids_each_keep_a_row(spark):
+    rows = [(None, "x"), (None, "X"), (None, "y"), (0, "m n"), (1, "m n"), (1, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, (r.text or "").lower()) for r in simhash.deduplicate_copies(docs).collect()]
+    assert sorted(map(str, kept)) == ["(0, 'm n')", "(1, 'z')", "(None, 'x')", "(None, 'y')"]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert simhash.near_copies(none).collect() == []
