@@ -161,9 +161,9 @@ def nearest_hit(rays: DataFrame, objects: DataFrame, **filters: Column) -> DataF
 def closest(queries: DataFrame, objects: DataFrame) -> DataFrame:
     """(query_id, object_id, distance): the object nearest to each point (x, y, z),
     to a surface; 0 inside boxes, spheres and cylinders. Ties: least object_id."""
+    # more objects than a task should hold meet the points part by part
     few = objects.limit(SMALL + 1).count() <= SMALL
-    if not few:
-        raise ValueError(f"closest() takes at most {SMALL} objects; split them by region")
+    pairs = queries.crossJoin(F.broadcast(objects) if few else objects)
     q = [F.col(a) for a in V]
     k = F.col("kind")
     outside = [F.greatest(F.col(f"a{a}") - p, F.lit(0.0), p - F.col(f"b{a}")) for a, p in zip(V, q)]
@@ -172,7 +172,7 @@ def closest(queries: DataFrame, objects: DataFrame) -> DataFrame:
     sphere = F.greatest(F.lit(0.0), F.sqrt(_dot(e, e)) - F.col("r"))
     segment = _segment(q, vec("a"), vec("b"))
     d = F.when(k == "box", box).when(k == "sphere", sphere).when(k == "line", segment).when(k == "cylinder", F.greatest(F.lit(0.0), segment - F.col("r"))).when(k == "triangle", _triangle(q))
-    found = queries.crossJoin(F.broadcast(objects)).withColumn("distance", d).groupBy("query_id").agg(F.min(F.struct("distance", "object_id")).alias("h"))
+    found = pairs.withColumn("distance", d).groupBy("query_id").agg(F.min(F.struct("distance", "object_id")).alias("h"))
     return found.select("query_id", "h.object_id", "h.distance")
 
 

@@ -109,6 +109,17 @@ def test_rays(spark):
     assert {r.query_id: (r.object_id, round(r.distance, 9)) for r in rays.closest(q, objects).collect()} == {0: (2, 0.6), 1: (4, 0.0), 2: (1, 0.0)}
 
 
+def test_closest_of_more_objects_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(rays, "SMALL", 5)
+    rng = np.random.default_rng(2)
+    at, r = rng.uniform(0, 50, (40, 3)), rng.uniform(0, 2, 40)
+    objects = spark.createDataFrame([(i, "sphere", *map(float, at[i]), *[None] * 6, float(r[i])) for i in range(40)], "object_id long, kind string, ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double, r double")
+    q = rng.uniform(0, 50, (30, 3))
+    got = {x.query_id: (x.object_id, x.distance) for x in rays.closest(spark.createDataFrame([(i, *map(float, q[i])) for i in range(30)], "query_id long, x double, y double, z double"), objects).collect()}
+    distance = np.maximum(0, np.linalg.norm(q[:, None] - at, axis=2) - r)
+    assert got == {i: (int(distance[i].argmin()), pytest.approx(distance[i].min())) for i in range(30)}
+
+
 def test_rays_through_the_grid(spark, monkeypatch):
     rng = np.random.default_rng(3)
     p, v = rng.random((60, 3)), rng.standard_normal((12, 3))
