@@ -25,8 +25,8 @@ from .common import text_slices
 
 #: Words of the text: runs of word characters, and runs of other visible ones.
 WORDS = re.compile(r"\w+|[^\w\s]+")
-#: A longer word counts as one unknown piece.
-LONGEST = 100
+#: Bytes of the longest word that is split, for comparison with the library: any.
+LONGEST = (1 << 62) - 1
 #: Runs whose counts a worker keeps at most.
 KEPT = 600_000
 
@@ -70,8 +70,6 @@ class LongestMatch:
 
     def count(self, word: str) -> int:
         """Pieces of ``word``; 1 (unknown) where no split exists; 0 if empty."""
-        if len(word) > LONGEST:
-            return 1
         child, link, popped = self.child, self.link, self.popped
         at = n = 0
         for c in word:

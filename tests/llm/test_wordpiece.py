@@ -39,3 +39,16 @@ def test_public_vocabulary_and_query(spark):
             assert r.n_words == len(words)
             assert r.n_tokens == sum(len(theirs.tokenize(x.encode().decode("latin-1"))) for x in words)
     assert w.count_tokens(df.limit(0)).collect() == []
+
+
+def test_long_words_are_split(spark):
+    path = w.default_path()
+    first, later = w.byte_pieces(path)
+    vocab = {p: i for i, p in enumerate(["[UNK]", *sorted(first), *("##" + p for p in sorted(later))])}
+    theirs = models.WordPiece(vocab=vocab, unk_token="[UNK]", max_input_chars_per_word=10**9)
+    texts = ["x" * 101, "日本語" * 40, "0123456789abcdef" * 500, "ab" * 500_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.n_words) for r in w.count_tokens(df).collect()}
+    for i, text in enumerate(texts[:3]):
+        assert got[i] == (len(theirs.tokenize(text.encode().decode("latin-1"))), 1)
+    assert got[3][1] == 1 and got[3][0] > 100_000
