@@ -5,14 +5,13 @@ a vocabulary, an n-gram inventory and a smoothing, so they differ by what was
 counted alone. A document's score is the mean over its words of the target
 model's loss minus the background model's: the lower, the more target-like.
 
-Counts cover every text. The vocabulary is the ``VOCABULARY`` words that the
-background shows most, the rest being one unknown word. The inventory is the
-most counted bigrams, at most ``BIGRAMS``; both end at the least count that
-leaves at most so many, so words of equal count are in or out together. A bigram
-outside falls back to its word's unigram in both models,
-with what its context keeps for that, so every word of every document is
-scored and each model still sums to one. Both bounds are what is sent to the
-driver and to the executors, whatever the corpus' size.
+Counts cover every text, and the models keep every word and every bigram
+(``cross_entropy_difference``). They stay distributed: words and bigrams are
+64-bit hashes, documents' bigrams meet their counts in one shuffle by word. The
+most shown words and bigrams (``VOCABULARY``, ``BIGRAMS``) have the same exact
+counts, but are sent to all tasks and scored where the text is read, so that
+common ones neither move nor crowd one task. ``vocabulary``, ``fit`` and
+``score`` are the same models bounded to a given vocabulary and inventory.
 """
 
 from __future__ import annotations
@@ -23,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +34,10 @@ PRIOR = 4.0
 #: Bits of the sieve that target ids pass before their texts are shuffled: 8 MB,
 #: whatever the number of ids. With more ids it lets more texts through.
 SIEVE_BITS = 26
+#: Texts that are looked at for common bigrams; the rest meets in the shuffle.
+LOOKED_AT = 20_000
+#: The context of a text's first word.
+START = 1
 
 
 def _freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,6 +228,215 @@ def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.mapInArrow(sift, docs.schema).join(ids, "doc_id", "left_semi")
 
 
+@dataclass(frozen=True)
+class Common:
+    """The common words (sorted hashes; 2 x counts, and as contexts) and bigrams
+    (sorted codes context * (words + 1) + word; 2 x counts), each with its counts in
+    the target and the background. ``start``: 2 texts with words; ``sizes``: 2 words."""
+
+    words: np.ndarray
+    seen: np.ndarray
+    context: np.ndarray
+    start: np.ndarray
+    sizes: np.ndarray
+    outcomes: int
+    codes: np.ndarray
+    pairs: np.ndarray
+
+    def split(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
+        """Words a text; of each word: text, hash, common id or -1, context's hash,
+        place of its bigram in ``codes`` or -1, and whether the text ends there."""
+        n, words = _flat(texts)
+        own = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words.dictionary.to_pylist()], dtype=np.uint64)
+        at = words.indices.to_numpy(zero_copy_only=False)
+        known = _places(self.words, own)
+        h, ids = own[at], known[at]
+        first, last = (np.cumsum(n) - n)[n > 0], np.zeros(h.size, dtype=bool)
+        last[(np.cumsum(n) - 1)[n > 0]] = True
+        before, context = np.empty_like(h), np.empty_like(ids)
+        before[1:], context[1:] = h[:-1], ids[:-1]
+        before[first], context[first] = START, self.words.size
+        code = np.where((ids >= 0) & (context >= 0), context * (self.words.size + 1) + ids, -1)
+        return n, np.repeat(np.arange(n.size), n), h, ids, before, code, last
+
+    def share(self, seen: np.ndarray) -> np.ndarray:
+        """PRIOR's worth of the unigram model, from 2 x counts."""
+        return PRIOR * (seen + 1.0) / (self.sizes[:, None] + self.outcomes)
+
+
+def _places(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where each of ``x`` is in the sorted ``known``; -1 if it is not."""
+    if not known.size:
+        return np.full(x.size, -1, dtype=np.int64)
+    at = np.minimum(np.searchsorted(known, x), known.size - 1)
+    return np.where(known[at] == x, at, -1)
+
+
+def _sums(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    some, which = np.unique(key, return_inverse=True)
+    return [some, *(np.bincount(which, weights=v, minlength=some.size) for v in values)]
+
+
+def _counted_words(both: DataFrame) -> DataFrame:
+    """(w, t, b, et, eb): each word's counts in both corpora, and at texts' ends.
+    The row of START has the texts with words."""
+    none = np.empty(0)
+    plain = Common(none, none, none, none, none, 0, none, none)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _freed(batches):
+            for part in text_slices(batch, "text"):
+                which = part.column("target").to_numpy(zero_copy_only=False).astype(float)
+                n, row, h, _, _, _, last = plain.split(part.column("text"))
+                t = which[row]
+                h = np.concatenate([h, np.full(np.count_nonzero(n), START, np.uint64)])
+                full = which[n > 0]
+                w, *sums = _sums(h, *(np.concatenate([x, y]) for x, y in ((t, full), (1 - t, 1 - full), (t * last, 0 * full), ((1 - t) * last, 0 * full))))
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in sums)], ["w", "t", "b", "et", "eb"])
+
+    made = both.select("text", "target").mapInArrow(run, "w long, t long, b long, et long, eb long")
+    return checkpointed(made.groupBy("w").agg(*(F.sum(c).alias(c) for c in ("t", "b", "et", "eb"))))
+
+
+def _common(both: DataFrame, counted: DataFrame, most: int, most_pairs: int) -> Common:
+    """The common words and bigrams with their exact counts."""
+    spark = both.sparkSession
+    start = counted.where(F.col("w") == START).first()
+    words = counted.where(F.col("w") != START)
+    total = words.agg(F.count(F.lit(1)), F.sum("t"), F.sum("b")).first()
+    often = words.where(F.col("b") >= least_count(words, F.col("b"), most)).toArrow()
+    column = lambda c: often.column(c).to_numpy().astype(np.int64)
+    w = column("w").view(np.uint64)
+    order = np.argsort(w)
+    seen = np.stack([column("t"), column("b")])[:, order].astype(float)
+    context = seen - np.stack([column("et"), column("eb")])[:, order]
+    facts = (w[order], seen, context, np.array([start.t, start.b] if start else [0, 0], float), np.array([total[1] or 0, total[2] or 0], float), total[0] + 1)
+    none = Common(*facts, np.empty(0, np.int64), np.zeros((2, 0)))
+    shared = spark.sparkContext.broadcast(none)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _freed(batches):
+            for part in text_slices(batch, "text"):
+                code = shared.value.split(part.column("text"))[5]
+                code, n = np.unique(code[code >= 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
+
+    nth = max(1, both.count() // LOOKED_AT)
+    some = both.where(~F.col("target") & (F.pmod(F.col("key"), F.lit(nth)) == 0)).select("text")
+    looked = checkpointed(some.mapInArrow(look, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where("n > 1"))
+    codes = np.sort(looked.where(F.col("n") >= least_count(looked, F.col("n"), most_pairs)).toArrow().column("code").to_numpy().astype(np.int64))
+    known = spark.sparkContext.broadcast(codes)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros((2, known.value.size), dtype=np.int64)
+        for batch in _freed(batches):
+            for part in text_slices(batch, "text"):
+                _, row, _, _, _, code, _ = shared.value.split(part.column("text"))
+                at = _places(known.value, code)
+                kind = 1 - part.column("target").to_numpy(zero_copy_only=False).astype(np.int64)[row]
+                for k in (0, 1):
+                    place, n = np.unique(at[(at >= 0) & (kind == k)], return_counts=True)
+                    pairs[k, place] += n
+        at = np.flatnonzero(pairs.any(axis=0))
+        for a in range(0, at.size, 1 << 16):
+            some = at[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(pairs[0, some]), pa.array(pairs[1, some])], ["at", "t", "b"])
+
+    found = both.select("text", "target").mapInArrow(count, "at long, t long, b long").groupBy("at").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()
+    pairs = np.zeros((2, codes.size))
+    at = found.column("at").to_numpy().astype(np.int64)
+    pairs[0, at], pairs[1, at] = found.column("t").to_numpy(), found.column("b").to_numpy()
+    return Common(*facts, codes, pairs)
+
+
+def _losses(both: DataFrame, counted: DataFrame, common: Common) -> DataFrame:
+    """(key, lt, lb, n): parts of the losses of the texts of each key, and of their words."""
+    spark = both.sparkSession
+    shared = spark.sparkContext.broadcast(common)
+    out = ["key", "lt", "lb", "n"]
+    schema = "key long, lt double, lb double, n long"
+
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        pair, context = -np.log(c.pairs + c.share(c.seen)[:, c.codes % (c.words.size + 1)]), np.log(c.context + PRIOR)
+        start = np.log(c.start + PRIOR)
+        for batch in _freed(batches):
+            for part in text_slices(batch, "text"):
+                n, row, _, ids, _, code, last = c.split(part.column("text"))
+                at = _places(c.codes, code)
+                sums = []
+                for k in (0, 1):
+                    loss = np.zeros(row.size)
+                    loss[at >= 0] = pair[k, at[at >= 0]]
+                    on = (ids >= 0) & ~last
+                    loss[on] += context[k, ids[on]]
+                    sums.append(np.bincount(row, weights=loss, minlength=n.size) + start[k] * (n > 0))
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(sums[0]), pa.array(sums[1]), pa.array(n)], out)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        for batch in _freed(batches):
+            for part in text_slices(batch, "text"):
+                target = part.column("target").to_numpy(zero_copy_only=False)
+                _, row, h, ids, before, code, last = c.split(part.column("text"))
+                go = _places(c.codes, code) < 0
+                key = np.where(target, 0, part.column("key").to_numpy(zero_copy_only=False))[row[go]]
+                h, ids, before, last, target = h[go], ids[go], before[go], last[go], target[row[go]]
+                order = np.lexsort((target, key, before, h))
+                h, ids, before, last, target, key = (x[order] for x in (h, ids, before, last, target, key))
+                new = np.ones(h.size, dtype=bool)
+                new[1:] = (h[1:] != h[:-1]) | (before[1:] != before[:-1]) | (key[1:] != key[:-1]) | (target[1:] != target[:-1])
+                at = np.flatnonzero(new)
+                if not at.size:
+                    continue
+                n, ends = np.diff(np.append(at, h.size)), np.add.reduceat(last.astype(np.int64), at)
+                h, ids, before, target, key = (x[at] for x in (h, ids, before, target, key))
+                g = np.where(ids >= 0, splitmix64(h + splitmix64(before)), h).view(np.int64)
+                cols = [g, ids, before.view(np.int64), key, np.where(target, -n, (n << 31) | ends)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["g", "tag", "c", "key", "n"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
+        held = [np.empty(0, np.int64)] * 5
+
+        def made(g: np.ndarray, tag: np.ndarray, c: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            run = np.cumsum(np.concatenate([[False], g[1:] != g[:-1]]))
+            seen, ends = np.zeros((2, int(run[-1]) + 1)), np.zeros((2, int(run[-1]) + 1))
+            for k in (0, 1):
+                at = tag == k - 3
+                seen[k, run[at]], ends[k, run[at]] = key[at], c[at]
+            own = tag >= -1
+            run, tag, c, key, n = run[own], tag[own], c[own], key[own], n[own]
+            pair = np.cumsum(np.concatenate([[False], (run[1:] != run[:-1]) | (c[1:] != c[:-1]) | (tag[1:] != tag[:-1])])) if run.size else run
+            target = n < 0
+            counts = np.stack([np.bincount(pair, weights=np.where(target, -n, 0)), np.bincount(pair, weights=np.where(target, 0, n >> 31))])[:, pair] if run.size else np.zeros((2, 0))
+            one = tag < 0
+            u = seen[:, run]
+            u[:, ~one] = common.seen[:, tag[~one]]
+            context = np.where(one, np.log(seen[:, run] - ends[:, run] + PRIOR), 0.0)
+            m, last = n >> 31, n & 0x7FFFFFFF
+            loss = (m - last) * context - m * np.log(counts + common.share(u))
+            k, lt, lb = _sums(key[~target], loss[0, ~target], loss[1, ~target])
+            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(lt), pa.array(lb), pa.array(np.zeros(k.size, np.int64))], out)
+
+        for batch in _freed(batches):
+            held = [np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(held)]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if held[0].size else 0  # the last run may go on
+            if cut:
+                yield made(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if held[0].size:
+            yield made(*held)
+
+    hot = spark.createDataFrame(pa.table({"w": common.words.view(np.int64)})) if common.words.size else None
+    words = counted.where(F.col("w") != START)
+    words = words if hot is None else words.join(F.broadcast(hot), "w", "left_anti")
+    kinds = [words.select(F.col("w").alias("g"), F.lit(k - 3).cast("long").alias("tag"), F.col(e).alias("c"), F.col(u).alias("key"), F.lit(0).cast("long").alias("n")) for k, (u, e) in enumerate((("t", "et"), ("b", "eb")))]
+    moved = both.select("key", "text", "target").mapInArrow(rare, "g long, tag long, c long, key long, n long").unionByName(kinds[0]).unionByName(kinds[1])
+    met = moved.repartition("g").sortWithinPartitions("g", "tag", "c").mapInArrow(meet, schema)
+    return both.where(~F.col("target")).select("key", "text").mapInArrow(here, schema).unionByName(met)
+
+
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """Scores every row of ``docs`` (doc_id, text); the target corpus is the
     rows whose id is in ``target_ids`` (doc_id), the background all rows.
@@ -234,6 +447,12 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     """
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    words = vocabulary(picked)
-    models = fit(picked, with_ids(picked, ids), words)
-    return score(picked, words, models)
+    key = F.xxhash64("text").alias("key")
+    both = picked.select(key, "text", F.lit(False).alias("target")).union(with_ids(picked, ids).select(key, "text", F.lit(True)))
+    counted = _counted_words(both)
+    # repeats of a text add as much to its losses as to its words, so the means stay
+    losses = _losses(both, counted, _common(both, counted, VOCABULARY, BIGRAMS))
+    means = losses.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("lt", "lb", "n")), F.count_if(F.col("n") > 0).alias("times"))
+    mean = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
+    found = means.select("key", F.when(F.col("n") > 0, (F.col("n") / F.col("times")).cast("long")).otherwise(0).alias("n_words"), mean("lt").alias("loss_target"), mean("lb").alias("loss_background"))
+    return picked.select("doc_id", key).join(found, "key").select("doc_id", "n_words", "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"))

@@ -70,6 +70,33 @@ def test_losses(spark, size, most):
         assert g[4] is None or g[4] == pytest.approx(g[2] - g[3])
 
 
+@pytest.mark.parametrize(("size", "most"), [(0, 0), (3, 2), (6, 12), (30_000, 10**6)])
+def test_no_word_or_bigram_is_left_out(spark, monkeypatch, size, most):
+    monkeypatch.setattr(lm_scoring, "VOCABULARY", size)
+    monkeypatch.setattr(lm_scoring, "BIGRAMS", most)
+    rows = [*corpus(), (105, "rare pair here"), (108, "here pair rare rare")]
+    good = {d for d, _ in rows if d is not None and d % 3 == 0}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = spark.createDataFrame([(d,) for d in good], "doc_id long")
+    split = [(d, (t or "").lower().split()) for d, t in rows]
+    vocabulary = {w for _, ws in split for w in ws}
+    models = []
+    for part in ([ws for d, ws in split if d in good], [ws for _, ws in split]):
+        pairs = Counter(p for ws in part for p in zip(["<s>", *ws], ws))
+        context, uni = Counter(), Counter()
+        for (h, w), n in pairs.items():
+            context[h] += n
+            uni[w] += n
+        p1 = {w: (uni[w] + 1) / (sum(uni.values()) + len(vocabulary) + 1) for w in vocabulary}
+        models.append({(h, w): -math.log((pairs[h, w] + lm_scoring.PRIOR * p1[w]) / (context[h] + lm_scoring.PRIOR)) for _, ws in split for h, w in zip(["<s>", *ws], ws)})
+    want = [(d, len(ws), *(sum(m[p] for p in zip(["<s>", *ws], ws)) / len(ws) if ws else None for m in models)) for d, ws in split]
+    key = lambda r: (str(r[0]), r[1])
+    got = sorted(map(tuple, lm_scoring.cross_entropy_difference(df, ids).collect()), key=key)
+    assert len(got) == len(rows)
+    for g, w in zip(got, sorted(want, key=key)):
+        assert g[:2] == w[:2] and g[2:4] == (pytest.approx(w[2:], rel=1e-9) if g[1] else (None, None))
+
+
 def test_target_like_documents_score_lower(spark):
     df = spark.createDataFrame([(d, t, "clash") for d, t in corpus()], SCHEMA)
     ids = spark.createDataFrame([(i,) for i in range(0, 60, 3)] * 2, "doc_id long")
