@@ -597,6 +597,7 @@ add("web_mercator", lambda s, d: _rounded(geodesy.reproject(_degrees(s, d), 4326
 _NU = f"(6378137e0 / sqrt(1 - {n(geodesy.E2)} * sin(lat * {_R}) * sin(lat * {_R})))"
 add("ecef", lambda s, d: _rounded(geodesy.reproject(_degrees(s, d), 4326, 4978)), f"SELECT point_id, round(({_NU} + h) * cos(lat * {_R}) * cos(lon * {_R}), 4) AS x, round(({_NU} + h) * cos(lat * {_R}) * sin(lon * {_R}), 4) AS y, round(({_NU} * {n(1 - geodesy.E2)} + h) * sin(lat * {_R}), 4) AS z FROM {_GEO}")
 add("utm_round_trip", lambda s, d: _rounded(geodesy.reproject(geodesy.reproject(_degrees(s, d).where("y > 0"), 4326, 32632), 32632, 4326), 6), f"SELECT point_id, round(lon, 6) AS x, round(lat, 6) AS y, round(h, 6) AS z FROM {_GEO} WHERE lat > 0")
+add("utm_round_trip_south", lambda s, d: _rounded(geodesy.reproject(geodesy.reproject(_degrees(s, d).where("y <= 0"), 4326, 32732), 32732, 4326), 6), f"SELECT point_id, round(lon, 6) AS x, round(lat, 6) AS y, round(h, 6) AS z FROM {_GEO} WHERE lat <= 0")
 add("ecef_round_trip", lambda s, d: _rounded(geodesy.reproject(geodesy.reproject(_degrees(s, d), 4326, 4978), 4978, 4326), 6), f"SELECT point_id, round(lon, 6) AS x, round(lat, 6) AS y, round(h, 6) AS z FROM {_GEO}")
 add("sky_luminance", lambda s, d: sky.image_directions(s, "dome", 32, 32).select("px", "py", *(F.round(sky.luminance(k, F.lit(0.9), F.col("theta"), sky.angle_between(F.col("theta"), F.col("phi"), F.lit(0.9), F.lit(0.3))), 4).alias(f"type{k}") for k in (0, 5, 6, 11, 14))))
 add("sky_directions", lambda s, d: sky.image_directions(s, "cube", 8, 8).select("face", "px", "py", F.round("theta", 9).alias("theta"), F.round("phi", 9).alias("phi")))

@@ -136,3 +136,15 @@ def test_draw_order(spark):
     assert [r.object_id for r in mesh.draw_order(df, (0.2, 0.2, 10.0)).orderBy("place").collect()] == [1, 2, 0]
     crossing = df.limit(1).unionByName(spark.createDataFrame([(0, 9, 0.1, 0.1, 2.0, 0.3, 0.1, 4.0, 0.1, 0.3, 4.0)], df.schema))
     assert mesh.draw_order(crossing, (0.2, 0.2, 10.0)).count() > 2
+
+
+def test_utm_round_trips_take_all_points_of_the_table(spark):
+    from pointweave.plans import catalog, views
+
+    d = "/root/testdata/sf0.001"
+    halves = [catalog.QUERIES[n](spark, d) for n in ("utm_round_trip", "utm_round_trip_south")]
+    both = halves[0].unionByName(halves[1])
+    points = views.lineitem_points(spark, d).select("point_id", F.col("x") / 3, F.col("y") * 0.8 - 40, F.col("z") * 10)
+    got, want = (sorted(tuple(r) for r in x.collect()) for x in (both, points))
+    assert halves[1].count() > 0 and len(got) == len(want)
+    assert all(g == pytest.approx(w, abs=2e-6) for g, w in zip(got, want))
