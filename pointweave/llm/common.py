@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step handles at once; a longer single text is one step.
@@ -61,6 +62,31 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
         yield batch.slice(a, b - a)
 
 
+def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after each, a worker gives back what Arrow holds unused."""
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Integers as compressed planes of their bytes; planes of zeros cost nothing."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T) if x.size else np.empty(0, np.uint8)
+    return zstandard.ZstdCompressor(level=1).compress(planes.data)
+
+
+def unpack(data: bytes, kind=np.uint64) -> np.ndarray:
+    """What :func:`pack` was given."""
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
+def gaps(ascending: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit integers as differences; ``np.cumsum`` undoes it."""
+    return np.diff(ascending, prepend=np.uint64(0))
+
+
 def splitmix64(x: np.ndarray) -> np.ndarray:
     """A fixed 64-bit mixing of unsigned integers (public splitmix64 finaliser)."""
     with np.errstate(over="ignore"):

@@ -5,13 +5,14 @@ a vocabulary, an n-gram inventory and a smoothing, so they differ by what was
 counted alone. A document's score is the mean over its words of the target
 model's loss minus the background model's: the lower, the more target-like.
 
-Counts cover every text, and the models keep every word and every bigram
-(``cross_entropy_difference``). They stay distributed: words and bigrams are
-64-bit hashes, documents' bigrams meet their counts in one shuffle by word. The
-most shown words and bigrams (``VOCABULARY``, ``BIGRAMS``) have the same exact
-counts, but are sent to all tasks and scored where the text is read, so that
-common ones neither move nor crowd one task. ``vocabulary``, ``fit`` and
-``score`` are the same models bounded to a given vocabulary and inventory.
+The models keep every word and every bigram of every text, with all their counts;
+nothing is sent to all tasks but the target's ids or a sieve of them. Texts are read
+once, in blocks of about ``BLOCK_BYTES``. A block asks for the counts of its
+distinct words and bigrams, as 56-bit keys (of m keys, about one in 2**56 / m
+shares its key with another): the key space is cut into pieces, and one task adds up what all blocks found of a piece and answers each
+block in the order of its question, so that answers hold no keys. A block's words
+as local numbers travel beside and meet the answers. A key is asked for once a
+block, however often it occurs, so no common word crowds a task.
 """
 
 from __future__ import annotations
@@ -23,28 +24,27 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, splitmix64, text_slices
+from .common import freed, gaps, pack, splitmix64, text_slices, unpack
 
-VOCABULARY, BIGRAMS = 30_000, 1_000_000
 #: Words' worth of the unigram model that each context is smoothed with.
 PRIOR = 4.0
-#: Bits of the sieve that target ids pass before their texts are shuffled: 8 MB,
-#: whatever the number of ids. With more ids it lets more texts through.
-SIEVE_BITS = 26
-#: Texts that are looked at for common bigrams; the rest meets in the shuffle.
-LOOKED_AT = 20_000
-#: The context of a text's first word.
+#: Target ids that all tasks are told of (8 bytes each). More are a sieve of that many
+#: bits first (8 MB, whatever the number of ids), and a join of the texts that pass it.
+TOLD, SIEVE_BITS = 2_000_000, 26
+#: Text bytes of a block (a longer text is one block), and of the corpus for each
+#: piece of the key space: what one task holds of either.
+BLOCK_BYTES, PIECE_BYTES = 8 << 20, 16 << 20
+#: Text bytes that are split into words at once.
+SLICE_BYTES = 2 << 20
+#: The word before a text's first.
 START = 1
-
-
-def _freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; after each, a worker gives back what Arrow holds unused."""
-    for batch in batches:
-        yield batch
-        pa.default_memory_pool().release_unused()
+COLUMNS = ["piece", "block", "mark", "a", "b", "c", "d"]
+ROWS = "piece long, block long, mark long, a binary, b binary, c binary, d binary"
+SCORES = "doc_id long, n_words long, loss_target double, loss_background double, score double"
 
 
 def split_words(texts: pa.Array) -> pa.ListArray:
@@ -65,394 +65,271 @@ def _flat(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     return n, pc.dictionary_encode(words)
 
 
-@dataclass(frozen=True)
-class Vocabulary:
-    """Word ids; ``unknown`` and ``start`` follow those of the words."""
+def _key(h: np.ndarray, word: bool) -> np.ndarray:
+    """A key of 56 bits, the lowest of which says whether it is a word's."""
+    return splitmix64(h) >> np.uint64(9) << np.uint64(1) | np.uint64(word)
 
-    words: pa.Array
 
-    @property
-    def unknown(self) -> int:
-        return len(self.words)
+#: The key of START: as often as there are texts with words, and never their end.
+START_KEY = _key(np.array([START], np.uint64), True)[0]
 
-    @property
-    def size(self) -> int:
-        return len(self.words) + 2
 
-    def bigrams(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Words a text, and the code (context id * size + word id) of each word."""
-        n, words = _flat(texts)
-        known = pc.fill_null(pc.index_in(words.dictionary, self.words), self.unknown).to_numpy(zero_copy_only=False).astype(np.int64)
-        ids = known[words.indices.to_numpy(zero_copy_only=False)]
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[(np.cumsum(n) - n)[n > 0]] = self.unknown + 1
-        return n, before * self.size + ids
+def _places(words: np.ndarray) -> np.ndarray:
+    """Where the keys of words are among the keys of a block, which are sorted."""
+    return np.flatnonzero(words & np.uint64(1))
 
 
 @dataclass(frozen=True)
-class Models:
-    """Log probabilities of both models (0 target, 1 background) of the bigrams
-    ``codes``, and the parts that make up those of all others."""
-
-    codes: np.ndarray
-    kept: np.ndarray  # 2 x codes
-    word: np.ndarray  # 2 x size: log of the unigram model
-    rest: np.ndarray  # 2 x size: log of what a context leaves to it
-
-    def losses(self, code: np.ndarray) -> np.ndarray:
-        """2 x words: each model's loss of each word."""
-        size = self.word.shape[1]
-        out = -(self.word[:, code % size] + self.rest[:, code // size])
-        if self.codes.size:
-            at = np.minimum(np.searchsorted(self.codes, code), self.codes.size - 1)
-            hit = self.codes[at] == code
-            out[:, hit] = -self.kept[:, at[hit]]
-        return out
-
-
-def build(codes: np.ndarray, counts: np.ndarray, unigrams: np.ndarray) -> Models:
-    """From the inventory's codes and 2 x counts, and the 2 x counts of all words."""
-    size = unigrams.shape[1]
-    outcomes = size - 1  # all words and the unknown one; nothing predicts a start
-    word = (unigrams + 1.0) / (unigrams.sum(axis=1, keepdims=True) + outcomes)
-    context = np.stack([np.bincount(codes // size, weights=c, minlength=size) for c in counts])
-    rest = PRIOR / (context + PRIOR)
-    order = np.argsort(codes)
-    codes, counts = codes[order], counts[:, order]
-    kept = (counts + PRIOR * word[:, codes % size]) / (context[:, codes // size] + PRIOR)
-    return Models(codes, np.log(kept), np.log(word), np.log(rest))
-
-
-def vocabulary(docs: DataFrame, most: int = VOCABULARY) -> Vocabulary:
-    """The words that all texts show most often, at most ``most``."""
+class Block:
+    """Texts as ``seq``, places in ``words``, which are the sorted keys of the distinct
+    words and of START; ``n``: words a text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _freed(batches):
-            for part in text_slices(batch, "text"):
-                words = _flat(part.column("text"))[1]
-                n = np.bincount(words.indices.to_numpy(zero_copy_only=False), minlength=len(words.dictionary)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([words.dictionary.cast(pa.string()), pa.array(n)], ["word", "n"])
-
-    counted = checkpointed(docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    kept = counted.where(F.col("n") >= least_count(counted, F.col("n"), most)).select("word").toArrow()
-    return Vocabulary(pa.array(sorted(kept.column("word").to_pylist()), pa.large_string()))
-
-
-def least_count(counted: DataFrame, n: Column, most: int) -> int:
-    """The least count that at most ``most`` rows reach. What comes to the driver
-    is how many rows have each count: as many rows as there are different counts."""
-    cutoff, total = 1 << 62, 0
-    for count, rows in sorted(((r[0], r[1]) for r in counted.groupBy(n.alias("n")).count().collect()), reverse=True):
-        if total + rows > most:
-            break
-        cutoff, total = count, total + rows
-    return cutoff
-
-
-def fit(background: DataFrame, target: DataFrame, words: Vocabulary, most: int = BIGRAMS) -> Models:
-    """Counts both corpora (column text) and builds the matched models."""
-    spark = background.sparkSession
-    shared = spark.sparkContext.broadcast(words.words)
+    words: np.ndarray
+    seq: np.ndarray
+    n: np.ndarray
+
+    def keys(self) -> tuple[np.ndarray, ...]:
+        """The distinct keys, sorted; of each distinct bigram the key's place, and the
+        context and the word as places in ``words``; and for each word its bigram."""
+        context = np.empty(self.seq.size, np.int64)
+        context[1:] = self.seq[:-1]
+        context[(np.cumsum(self.n) - self.n)[self.n > 0]] = np.searchsorted(self.words, START_KEY)
+        context *= self.words.size
+        context += self.seq
+        code, which = np.unique(context, return_inverse=True)
+        before, word = np.divmod(code, self.words.size)
+        bigram = _key(self.words[word] + splitmix64(self.words[before]), False)
+        key, place = np.unique(np.concatenate([bigram, self.words]), return_inverse=True)
+        return key, place[: bigram.size], before, word, which
+
+    def counts(self, target: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The distinct keys; 2 x how often each occurs in target texts and in all; 2 x
+        how often each of ``words`` ends a text there."""
+        key, bigrams, before, word, which = self.keys()
+        seen, ends = np.zeros((2, key.size), np.uint64), np.zeros((2, self.words.size), np.uint64)
+        words, last = _places(key), self.seq[(np.cumsum(self.n) - 1)[self.n > 0]]
+        for k, texts in enumerate((target[self.n > 0], np.ones(last.size, bool))):
+            pairs = np.bincount(which[np.repeat(target, self.n)] if not k else which, minlength=word.size)
+            seen[k, bigrams] += pairs.astype(np.uint64)  # two bigrams of one key are one
+            seen[k, words] = np.bincount(word, weights=pairs, minlength=words.size).astype(np.uint64)
+            seen[k, words[np.searchsorted(self.words, START_KEY)]] = np.count_nonzero(texts)
+            ends[k] = np.bincount(last[texts], minlength=words.size).astype(np.uint64)
+        return key, seen, ends
+
+    def losses(self, seen: np.ndarray, ends: np.ndarray, total: np.ndarray, vocabulary: int) -> np.ndarray:
+        """2 x texts: the mean loss of each text's words in each model, from all blocks'
+        counts, and the number of all words in target and background."""
+        key, bigrams, before, word, which = self.keys()
+        words = _places(key)
+        out, some = np.zeros((2, self.n.size)), np.flatnonzero(self.n)
+        for k in (0, 1):
+            unigram = (seen[k, words] + 1.0) / (total[k] + vocabulary + 1)
+            loss = np.log(seen[k, words] - ends[k] + PRIOR)[before] - np.log(seen[k, bigrams] + PRIOR * unigram[word])
+            if some.size:
+                out[k, some] = np.add.reduceat(loss[which], (np.cumsum(self.n) - self.n)[some]) / self.n[some]
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Vocabulary(shared.value)
-        for batch in _freed(batches):
-            for part in text_slices(batch, "text"):
-                which = part.column("target").to_numpy(zero_copy_only=False)
-                for kind in np.unique(which):
-                    code, n = np.unique(own.bigrams(part.column("text").filter(pa.array(which == kind)))[1], return_counts=True)
-                    none = np.zeros(code.size, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n if kind else none), pa.array(none if kind else n)], ["code", "t", "b"])
-
-    both = background.select("text", F.lit(False).alias("target")).union(target.select("text", F.lit(True)))
-    counted = checkpointed(both.mapInArrow(run, "code long, t long, b long").groupBy("code").agg(F.sum("t").alias("t"), F.sum("b").alias("b")))
-    size = words.size
-    unigrams = np.zeros((2, size))
-    for w, t, b in counted.groupBy(F.pmod("code", F.lit(size)).alias("w")).agg(F.sum("t"), F.sum("b")).collect():
-        unigrams[:, w] = t, b
-    seen = F.col("t") + F.col("b")
-    kept = counted.where(seen >= max(2, least_count(counted, seen, most))).toArrow()
-    column = lambda c: kept.column(c).to_numpy().astype(np.int64)
-    return build(column("code"), np.stack([column("t"), column("b")]).astype(float), unigrams)
-
-
-def score(docs: DataFrame, words: Vocabulary, models: Models) -> DataFrame:
-    """(doc_id, n_words, loss_target, loss_background, score), one row a row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast((words.words, models.codes, models.kept.astype(np.float32), models.word, models.rest))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, codes, kept, word, rest = shared.value
-        own, both = Vocabulary(vocab), Models(codes, kept, word, rest)
-        for batch in _freed(batches):
-            for part in text_slices(batch, "text"):
-                n, code = own.bigrams(part.column("text"))
-                loss = both.losses(code)
-                some = np.flatnonzero(n)
-                mean = np.zeros((2, len(n)))
-                if some.size:
-                    mean[:, some] = np.add.reduceat(loss, (np.cumsum(n) - n)[some], axis=1) / n[some]
-                none = n == 0
-                values = [pa.array(x, mask=none) for x in (mean[0], mean[1], mean[0] - mean[1])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), *values], ["doc_id", "n_words", "loss_target", "loss_background", "score"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, loss_target double, loss_background double, score double")
-
-
-def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids``: an exact semi-join, before
-    which a one-hash Bloom filter of the ids keeps most other texts from moving."""
-    low = np.uint64((1 << SIEVE_BITS) - 1)
-
-    def place(column: pa.Array) -> np.ndarray:
-        return splitmix64(pc.fill_null(column, 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & low
+def sieve_of(ids: DataFrame) -> np.ndarray:
+    """A one-hash Bloom filter of the column doc_id, as 64-bit words."""
+    size = 1 << SIEVE_BITS
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = place(batch.column("doc_id"))
+            at = _slot(size, batch.column("doc_id"))
             word, which = np.unique(at >> np.uint64(6), return_inverse=True)
             bits = np.zeros(word.size, np.uint64)
             np.bitwise_or.at(bits, which, np.uint64(1) << (at & np.uint64(63)))
             yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], ["word", "bits"])
 
     marked = ids.mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros(1 << (SIEVE_BITS - 6), np.uint64)
+    table = np.zeros(size >> 6, np.uint64)
     table[marked.column("word").to_numpy()] = marked.column("bits").to_numpy().view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    return table
 
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _freed(batches):
-            at = place(batch.column("doc_id"))
-            yield batch.filter(pa.array((shared.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)))
 
-    return docs.mapInArrow(sift, docs.schema).join(ids, "doc_id", "left_semi")
+def _slot(size: int, column: pa.Array) -> np.ndarray:
+    return splitmix64(pc.fill_null(column, 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64(size - 1)
 
 
-@dataclass(frozen=True)
-class Common:
-    """The common words (sorted hashes; 2 x counts, and as contexts) and bigrams
-    (sorted codes context * (words + 1) + word; 2 x counts), each with its counts in
-    the target and the background. ``start``: 2 texts with words; ``sizes``: 2 words."""
+def _passes(table: np.ndarray, column: pa.Array) -> np.ndarray:
+    at = _slot(table.size << 6, column)
+    return (table[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
-    words: np.ndarray
-    seen: np.ndarray
-    context: np.ndarray
-    start: np.ndarray
-    sizes: np.ndarray
-    outcomes: int
-    codes: np.ndarray
-    pairs: np.ndarray
-
-    def split(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
-        """Words a text; of each word: text, hash, common id or -1, context's hash,
-        place of its bigram in ``codes`` or -1, and whether the text ends there."""
-        n, words = _flat(texts)
-        own = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words.dictionary.to_pylist()], dtype=np.uint64)
-        at = words.indices.to_numpy(zero_copy_only=False)
-        known = _places(self.words, own)
-        h, ids = own[at], known[at]
-        first, last = (np.cumsum(n) - n)[n > 0], np.zeros(h.size, dtype=bool)
-        last[(np.cumsum(n) - 1)[n > 0]] = True
-        before, context = np.empty_like(h), np.empty_like(ids)
-        before[1:], context[1:] = h[:-1], ids[:-1]
-        before[first], context[first] = START, self.words.size
-        code = np.where((ids >= 0) & (context >= 0), context * (self.words.size + 1) + ids, -1)
-        return n, np.repeat(np.arange(n.size), n), h, ids, before, code, last
-
-    def share(self, seen: np.ndarray) -> np.ndarray:
-        """PRIOR's worth of the unigram model, from 2 x counts."""
-        return PRIOR * (seen + 1.0) / (self.sizes[:, None] + self.outcomes)
-
-
-def _places(known: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Where each of ``x`` is in the sorted ``known``; -1 if it is not."""
-    if not known.size:
-        return np.full(x.size, -1, dtype=np.int64)
-    at = np.minimum(np.searchsorted(known, x), known.size - 1)
-    return np.where(known[at] == x, at, -1)
-
-
-def _sums(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    some, which = np.unique(key, return_inverse=True)
-    return [some, *(np.bincount(which, weights=v, minlength=some.size) for v in values)]
-
-
-def _counted_words(both: DataFrame) -> DataFrame:
-    """(w, t, b, et, eb): each word's counts in both corpora, and at texts' ends.
-    The row of START has the texts with words."""
-    none = np.empty(0)
-    plain = Common(none, none, none, none, none, 0, none, none)
+
+def _asked(docs: DataFrame, ids: DataFrame, pieces: int) -> DataFrame:
+    """Of every block, its texts (piece: ``pieces`` and more) and a row for each piece
+    with its distinct keys and their counts."""
+    many = ids.count() > TOLD
+    known = np.empty(0, np.int64) if many else np.sort(ids.toArrow().column(0).to_numpy().astype(np.int64))
+    shared = docs.sparkSession.sparkContext.broadcast(sieve_of(ids) if many else known)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in freed(batches):
+            yield batch.filter(pa.array(_passes(shared.value, batch.column("doc_id"))))
+
+    def told(column: pa.Array) -> np.ndarray:
+        x = pc.fill_null(column, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = shared.value
+        at = np.minimum(np.searchsorted(ids, x), max(ids.size - 1, 0))
+        return (ids[at] == x if ids.size else np.zeros(x.size, bool)) & pc.is_valid(column).to_numpy(zero_copy_only=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def out() -> pa.RecordBatch:
+            hashes, seqs, counts, doc_ids, targets = zip(*held)
+            words, place = np.unique(np.concatenate([*(_key(h, True) for h in hashes), [START_KEY]]), return_inverse=True)
+            place = place.astype(np.uint32)
+            starts = np.cumsum([0, *(h.size for h in hashes)])
+            seq = np.concatenate([place[s:][a] for a, s in zip(seqs, starts)])
+            n, doc_id = np.concatenate(counts), pa.concat_arrays(doc_ids)
+            block, target = Block(words, seq, n), np.concatenate(targets)
+            held.clear()
+            mark = xxhash.xxh64_intdigest(seq.tobytes() + words.tobytes() + n.tobytes()) >> 1
+            null = doc_id.is_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            numbers = pc.fill_null(doc_id, 0).to_numpy().astype(np.int64)
+            rows = [[pieces + number % pieces, pack(gaps(words)), pack(seq), pack(n.astype(np.uint64)), pack(np.stack([numbers, null], axis=1).ravel())]]
+            key, seen, ends = block.counts(target)
+            cut = np.searchsorted(_piece(key, pieces), np.arange(pieces + 1))
+            ends_cut = np.searchsorted(_piece(words, pieces), np.arange(pieces + 1))
+            for p, (i, j, e, f) in enumerate(zip(cut[:-1], cut[1:], ends_cut[:-1], ends_cut[1:])):
+                rows.append([p, pack(gaps(key[i:j])), pack(seen[0, i:j]), pack(seen[1, i:j]), pack(ends[:, e:f].ravel())])
+            piece, *blobs = zip(*rows)
+            same = [pa.array([x] * len(rows), pa.int64()) for x in (number, mark)]
+            return pa.RecordBatch.from_arrays([pa.array(piece, pa.int64()), *same, *(pa.array(x, pa.binary()) for x in blobs)], COLUMNS)
+
+        for batch in freed(batches):
+            if many:  # what may be a target comes with an answer, from the join
+                sure = pc.is_valid(batch.column("target")).to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array(sure | ~_passes(shared.value, batch.column("doc_id"))))
+            for part in text_slices(batch, "text", SLICE_BYTES):
+                n, words = _flat(part.column("text"))
+                own = np.array([xxhash.xxh64_intdigest(w) for w in words.dictionary.cast(pa.large_binary()).to_pylist()], dtype=np.uint64)
+                target = pc.fill_null(part.column("target"), False).to_numpy(zero_copy_only=False) if many else told(part.column("doc_id"))
+                held.append((own, words.indices.to_numpy(zero_copy_only=False).astype(np.uint32), n, pa.array(part.column("doc_id").to_pylist(), pa.int64()), target))
+                size += pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+                if size >= BLOCK_BYTES:
+                    yield out()
+                    number, size = number + 1, 0
+        if held:
+            yield out()
+
+    plain = docs.withColumn("target", F.lit(None).cast("boolean"))
+    if many:
+        maybe = docs.mapInArrow(sift, docs.schema).join(ids.withColumn("target", F.lit(True)), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+        # a fixed order, so that a task that runs again makes the same blocks
+        plain = plain.unionByName(maybe.sortWithinPartitions("doc_id", "text"))
+    return plain.mapInArrow(run, ROWS)
+
+
+def _piece(key: np.ndarray, pieces: int) -> np.ndarray:
+    return ((key >> np.uint64(24)) * np.uint64(pieces) >> np.uint64(32)).astype(np.int64)
+
+
+def _answered(asked: DataFrame, pieces: int) -> DataFrame:
+    """The blocks' texts as they are, as piece -1; instead of each question the counts
+    of its keys in all blocks, and the piece's number of words, different and in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def out() -> pa.RecordBatch:
+            key = [np.cumsum(unpack(r["a"]), dtype=np.uint64) for r in held]
+            ends = np.cumsum([0, *(k.size for k in key)])
+            unsorted = np.concatenate(key)
+            order = np.argsort(unsorted, kind="stable")
+            key = unsorted[order]
+            new = np.ones(key.size, dtype=bool)
+            new[1:] = key[1:] != key[:-1]
+            first, group = np.flatnonzero(new), np.cumsum(new) - 1
+            word = first[(key[first] & np.uint64(1) == 1) & (key[first] != START_KEY)]
+            totals, answers = [word.size], []
+            place = np.empty_like(order)
+            place[order] = group
+            pairs = list(zip(ends[:-1], ends[1:]))
+            for c in "bc":
+                counts = np.concatenate([unpack(r[c]) for r in held])[order]
+                sums = np.add.reduceat(counts, first) if first.size else counts
+                totals.append(int(sums[group[word]].sum()))
+                answers.append([pack(sums[place[i:j]]) for i, j in pairs])
+            # the words' ends: a word's place among all keys, block by block
+            inner = [np.flatnonzero(unsorted[i:j] & np.uint64(1)) + i for i, j in pairs]
+            gone = [unpack(r["d"]).reshape(2, -1) for r in held]
+            at = np.concatenate([place[x] for x in inner])
+            lost = [np.bincount(at, weights=np.concatenate([g[k] for g in gone]), minlength=first.size).astype(np.uint64) for k in (0, 1)]
+            last = [pack(np.stack([x[place[w]] for x in lost]).ravel()) for w in inner]
+            facts = pack(np.array(totals, dtype=np.uint64))
+            longs = [pa.array([r[c] for r in held], pa.int64()) for c in ("piece", "block", "mark")]
+            blobs = [[facts] * len(held), *answers, last]
+            return pa.RecordBatch.from_arrays([*longs, *(pa.array(x, pa.binary()) for x in blobs)], COLUMNS)
+
+        for batch in freed(batches):
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if held and row["piece"] != at:
+                    yield out()
+                    held = []
+                at = row["piece"]
+                if at < pieces:
+                    held.append(row)
+                else:
+                    row["piece"] = -1
+                    yield pa.RecordBatch.from_pylist([row], batch.schema)
+        if held:
+            yield out()
+
+    return asked.repartition(pieces, "piece").sortWithinPartitions("piece", "block").mapInArrow(run, ROWS)
+
+
+def _scored(answered: DataFrame, pieces: int) -> DataFrame:
+    """The scores of every block's texts. A block whose rows do not belong together
+    (its input came in another order when a lost task ran again) is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _freed(batches):
-            for part in text_slices(batch, "text"):
-                which = part.column("target").to_numpy(zero_copy_only=False).astype(float)
-                n, row, h, _, _, _, last = plain.split(part.column("text"))
-                t = which[row]
-                h = np.concatenate([h, np.full(np.count_nonzero(n), START, np.uint64)])
-                full = which[n > 0]
-                w, *sums = _sums(h, *(np.concatenate([x, y]) for x, y in ((t, full), (1 - t, 1 - full), (t * last, 0 * full), ((1 - t) * last, 0 * full))))
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in sums)], ["w", "t", "b", "et", "eb"])
-
-    made = both.select("text", "target").mapInArrow(run, "w long, t long, b long, et long, eb long")
-    return checkpointed(made.groupBy("w").agg(*(F.sum(c).alias(c) for c in ("t", "b", "et", "eb"))))
-
-
-def _common(both: DataFrame, counted: DataFrame, most: int, most_pairs: int) -> Common:
-    """The common words and bigrams with their exact counts."""
-    spark = both.sparkSession
-    start = counted.where(F.col("w") == START).first()
-    words = counted.where(F.col("w") != START)
-    total = words.agg(F.count(F.lit(1)), F.sum("t"), F.sum("b")).first()
-    often = words.where(F.col("b") >= least_count(words, F.col("b"), most)).toArrow()
-    column = lambda c: often.column(c).to_numpy().astype(np.int64)
-    w = column("w").view(np.uint64)
-    order = np.argsort(w)
-    seen = np.stack([column("t"), column("b")])[:, order].astype(float)
-    context = seen - np.stack([column("et"), column("eb")])[:, order]
-    facts = (w[order], seen, context, np.array([start.t, start.b] if start else [0, 0], float), np.array([total[1] or 0, total[2] or 0], float), total[0] + 1)
-    none = Common(*facts, np.empty(0, np.int64), np.zeros((2, 0)))
-    shared = spark.sparkContext.broadcast(none)
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _freed(batches):
-            for part in text_slices(batch, "text"):
-                code = shared.value.split(part.column("text"))[5]
-                code, n = np.unique(code[code >= 0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
-
-    nth = max(1, both.count() // LOOKED_AT)
-    some = both.where(~F.col("target") & (F.pmod(F.col("key"), F.lit(nth)) == 0)).select("text")
-    looked = checkpointed(some.mapInArrow(look, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where("n > 1"))
-    codes = np.sort(looked.where(F.col("n") >= least_count(looked, F.col("n"), most_pairs)).toArrow().column("code").to_numpy().astype(np.int64))
-    known = spark.sparkContext.broadcast(codes)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = np.zeros((2, known.value.size), dtype=np.int64)
-        for batch in _freed(batches):
-            for part in text_slices(batch, "text"):
-                _, row, _, _, _, code, _ = shared.value.split(part.column("text"))
-                at = _places(known.value, code)
-                kind = 1 - part.column("target").to_numpy(zero_copy_only=False).astype(np.int64)[row]
-                for k in (0, 1):
-                    place, n = np.unique(at[(at >= 0) & (kind == k)], return_counts=True)
-                    pairs[k, place] += n
-        at = np.flatnonzero(pairs.any(axis=0))
-        for a in range(0, at.size, 1 << 16):
-            some = at[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(pairs[0, some]), pa.array(pairs[1, some])], ["at", "t", "b"])
-
-    found = both.select("text", "target").mapInArrow(count, "at long, t long, b long").groupBy("at").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()
-    pairs = np.zeros((2, codes.size))
-    at = found.column("at").to_numpy().astype(np.int64)
-    pairs[0, at], pairs[1, at] = found.column("t").to_numpy(), found.column("b").to_numpy()
-    return Common(*facts, codes, pairs)
-
-
-def _losses(both: DataFrame, counted: DataFrame, common: Common) -> DataFrame:
-    """(key, lt, lb, n): parts of the losses of the texts of each key, and of their words."""
-    spark = both.sparkSession
-    shared = spark.sparkContext.broadcast(common)
-    out = ["key", "lt", "lb", "n"]
-    schema = "key long, lt double, lb double, n long"
-
-    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = shared.value
-        pair, context = -np.log(c.pairs + c.share(c.seen)[:, c.codes % (c.words.size + 1)]), np.log(c.context + PRIOR)
-        start = np.log(c.start + PRIOR)
-        for batch in _freed(batches):
-            for part in text_slices(batch, "text"):
-                n, row, _, ids, _, code, last = c.split(part.column("text"))
-                at = _places(c.codes, code)
-                sums = []
-                for k in (0, 1):
-                    loss = np.zeros(row.size)
-                    loss[at >= 0] = pair[k, at[at >= 0]]
-                    on = (ids >= 0) & ~last
-                    loss[on] += context[k, ids[on]]
-                    sums.append(np.bincount(row, weights=loss, minlength=n.size) + start[k] * (n > 0))
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(sums[0]), pa.array(sums[1]), pa.array(n)], out)
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = shared.value
-        for batch in _freed(batches):
-            for part in text_slices(batch, "text"):
-                target = part.column("target").to_numpy(zero_copy_only=False)
-                _, row, h, ids, before, code, last = c.split(part.column("text"))
-                go = _places(c.codes, code) < 0
-                key = np.where(target, 0, part.column("key").to_numpy(zero_copy_only=False))[row[go]]
-                h, ids, before, last, target = h[go], ids[go], before[go], last[go], target[row[go]]
-                order = np.lexsort((target, key, before, h))
-                h, ids, before, last, target, key = (x[order] for x in (h, ids, before, last, target, key))
-                new = np.ones(h.size, dtype=bool)
-                new[1:] = (h[1:] != h[:-1]) | (before[1:] != before[:-1]) | (key[1:] != key[:-1]) | (target[1:] != target[:-1])
-                at = np.flatnonzero(new)
-                if not at.size:
-                    continue
-                n, ends = np.diff(np.append(at, h.size)), np.add.reduceat(last.astype(np.int64), at)
-                h, ids, before, target, key = (x[at] for x in (h, ids, before, target, key))
-                g = np.where(ids >= 0, splitmix64(h + splitmix64(before)), h).view(np.int64)
-                cols = [g, ids, before.view(np.int64), key, np.where(target, -n, (n << 31) | ends)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["g", "tag", "c", "key", "n"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = shared.value
-        held = [np.empty(0, np.int64)] * 5
-
-        def made(g: np.ndarray, tag: np.ndarray, c: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            run = np.cumsum(np.concatenate([[False], g[1:] != g[:-1]]))
-            seen, ends = np.zeros((2, int(run[-1]) + 1)), np.zeros((2, int(run[-1]) + 1))
-            for k in (0, 1):
-                at = tag == k - 3
-                seen[k, run[at]], ends[k, run[at]] = key[at], c[at]
-            own = tag >= -1
-            run, tag, c, key, n = run[own], tag[own], c[own], key[own], n[own]
-            pair = np.cumsum(np.concatenate([[False], (run[1:] != run[:-1]) | (c[1:] != c[:-1]) | (tag[1:] != tag[:-1])])) if run.size else run
-            target = n < 0
-            counts = np.stack([np.bincount(pair, weights=np.where(target, -n, 0)), np.bincount(pair, weights=np.where(target, 0, n >> 31))])[:, pair] if run.size else np.zeros((2, 0))
-            one = tag < 0
-            u = seen[:, run]
-            u[:, ~one] = common.seen[:, tag[~one]]
-            context = np.where(one, np.log(seen[:, run] - ends[:, run] + PRIOR), 0.0)
-            m, last = n >> 31, n & 0x7FFFFFFF
-            loss = (m - last) * context - m * np.log(counts + common.share(u))
-            k, lt, lb = _sums(key[~target], loss[0, ~target], loss[1, ~target])
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(lt), pa.array(lb), pa.array(np.zeros(k.size, np.int64))], out)
-
-        for batch in _freed(batches):
-            held = [np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(held)]
-            cut = int(np.searchsorted(held[0], held[0][-1])) if held[0].size else 0  # the last run may go on
-            if cut:
-                yield made(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-        if held[0].size:
-            yield made(*held)
-
-    hot = spark.createDataFrame(pa.table({"w": common.words.view(np.int64)})) if common.words.size else None
-    words = counted.where(F.col("w") != START)
-    words = words if hot is None else words.join(F.broadcast(hot), "w", "left_anti")
-    kinds = [words.select(F.col("w").alias("g"), F.lit(k - 3).cast("long").alias("tag"), F.col(e).alias("c"), F.col(u).alias("key"), F.lit(0).cast("long").alias("n")) for k, (u, e) in enumerate((("t", "et"), ("b", "eb")))]
-    moved = both.select("key", "text", "target").mapInArrow(rare, "g long, tag long, c long, key long, n long").unionByName(kinds[0]).unionByName(kinds[1])
-    met = moved.repartition("g").sortWithinPartitions("g", "tag", "c").mapInArrow(meet, schema)
-    return both.where(~F.col("target")).select("key", "text").mapInArrow(here, schema).unionByName(met)
+        held: list[dict] = []
+
+        def out() -> pa.RecordBatch:
+            texts, *answers = held
+            if [r["piece"] for r in held] != list(range(-1, pieces)) or len({r["mark"] for r in held}) > 1:
+                raise RuntimeError("the documents changed between two runs of one task; write them first")
+            facts = np.sum([unpack(r["a"]) for r in answers], axis=0)
+            seen = np.stack([np.concatenate([unpack(r[c]) for r in answers]) for c in "bc"]).astype(float)
+            ends = np.concatenate([unpack(r["d"]).reshape(2, -1) for r in answers], axis=1).astype(float)
+            n = unpack(texts["c"]).astype(np.int64)
+            block = Block(np.cumsum(unpack(texts["a"]), dtype=np.uint64), unpack(texts["b"], np.uint32), n)
+            doc_id, null = unpack(texts["d"], np.int64).reshape(-1, 2).T
+            t, b = block.losses(seen, ends, facts[1:].astype(float), int(facts[0]))
+            none = n == 0
+            losses = [pa.array(x, mask=none) for x in (t, b, t - b)]
+            return pa.RecordBatch.from_arrays([pa.array(doc_id, mask=null.astype(bool)), pa.array(n), *losses], ["doc_id", "n_words", "loss_target", "loss_background", "score"])
+
+        for batch in freed(batches):
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if held and row["block"] != held[0]["block"]:
+                    yield out()
+                    held = []
+                held.append(row)
+        if held:
+            yield out()
+
+    return answered.repartition(pieces, "block").sortWithinPartitions("block", "piece").mapInArrow(run, SCORES)
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """Scores every row of ``docs`` (doc_id, text); the target corpus is the
-    rows whose id is in ``target_ids`` (doc_id), the background all rows.
+    """(doc_id, n_words, loss_target, loss_background, score), one row a row of
+    ``docs`` (doc_id, text); the target corpus is the rows whose id is in
+    ``target_ids`` (doc_id), the background all rows.
 
     A null, empty or blank text has no words and null losses; repeated rows are
-    counted and scored each time; without target rows the target model is its
-    prior. Other columns are not read. An empty table gives an empty one.
+    counted and scored each time, ids that repeat in ``target_ids`` count once, a
+    null id is no target; without target rows the target model is its prior. Other
+    columns are not read. An empty table gives an empty one. A text is never split:
+    one of many megabytes is a block of its own.
     """
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    key = F.xxhash64("text").alias("key")
-    both = picked.select(key, "text", F.lit(False).alias("target")).union(with_ids(picked, ids).select(key, "text", F.lit(True)))
-    counted = _counted_words(both)
-    # repeats of a text add as much to its losses as to its words, so the means stay
-    losses = _losses(both, counted, _common(both, counted, VOCABULARY, BIGRAMS))
-    means = losses.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("lt", "lb", "n")), F.count_if(F.col("n") > 0).alias("times"))
-    mean = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
-    found = means.select("key", F.when(F.col("n") > 0, (F.col("n") / F.col("times")).cast("long")).otherwise(0).alias("n_words"), mean("lt").alias("loss_target"), mean("lb").alias("loss_background"))
-    return picked.select("doc_id", key).join(found, "key").select("doc_id", "n_words", "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"))
+    ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    size = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    pieces = max(1, -(-size // PIECE_BYTES))
+    return _scored(_answered(_asked(picked, ids, pieces), pieces), pieces)

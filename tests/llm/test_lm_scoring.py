@@ -4,9 +4,10 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from pointweave.llm import lm_scoring
+from pointweave.llm import common, lm_scoring
 
 SCHEMA = "doc_id long, text string, score string"
 
@@ -15,69 +16,12 @@ def corpus():
     rng = random.Random(6)
     a, b = ["red", "Green", "blue,", "ïndigo"], ["one", "two", "three", "four", "five"]
     rows = [(i, " ".join(rng.choices(a if i % 3 == 0 else b, k=rng.randint(1, 30)))) for i in range(60)]
-    return [*rows, (100, None), (101, ""), (102, " \n\t"), (103, "unseen words here"), (4, rows[4][1]), (None, "one two"), (104, "red " * 4000)]
+    rows += [(100, None), (101, ""), (102, " \n\t"), (103, "unseen words here"), (4, rows[4][1]), (None, "one two"), (104, "red " * 4000)]
+    return [*rows, (105, "rare pair here"), (108, "here pair rare rare")]
 
 
-def plain(rows, good, size, most):
-    split = [(d, (t or "").lower().split()) for d, t in rows]
-    words = Counter(w for _, ws in split for w in ws)
-    least = next((n for n in sorted({0, *words.values()}) if sum(c >= n for c in words.values()) <= size), 1 << 62)
-    vocab = {w for w, c in words.items() if c >= least}
-    known = lambda ws: [w if w in vocab else "<unk>" for w in ws]
-    pairs = [Counter(), Counter()]
-    for d, ws in split:
-        ks = known(ws)
-        for p in zip(["<s>", *ks], ks):
-            pairs[1][p] += 1
-            if d in good:
-                pairs[0][p] += 1
-    seen = Counter()
-    for p in pairs:
-        seen.update(p)
-    cutoff = next(n for n in sorted({1, 2, *seen.values()}) if n >= 2 and sum(c >= n for c in seen.values()) <= most)
-    inside = {p for p, c in seen.items() if c >= cutoff}
-
-    def model(c):
-        total, uni, ctx = sum(c.values()), Counter(), Counter()
-        for (h, w), n in c.items():
-            uni[w] += n
-            ctx[h] += n * ((h, w) in inside)
-        p1 = lambda w: (uni[w] + 1) / (total + len(vocab) + 1)
-        return lambda h, w: -math.log((c[h, w] * ((h, w) in inside) + lm_scoring.PRIOR * p1(w)) / (ctx[h] + lm_scoring.PRIOR))
-
-    models = [model(c) for c in pairs]
-    out = []
-    for d, ws in split:
-        ks = known(ws)
-        t, b = ([m(h, w) for h, w in zip(["<s>", *ks], ks)] for m in models)
-        out.append((d, len(ws), sum(t) / len(t) if t else None, sum(b) / len(b) if b else None))
-    return out
-
-
-@pytest.mark.parametrize(("size", "most"), [(1000, 10**6), (6, 12)])
-def test_losses(spark, size, most):
-    rows = corpus()
-    df = spark.createDataFrame([(d, t, "clash") for d, t in rows], SCHEMA)
-    good = {d for d, _ in rows if d is not None and d % 3 == 0}
-    target = df.where(df.doc_id.isin(*good))
-    words = lm_scoring.vocabulary(df, size)
-    got = lm_scoring.score(df, words, lm_scoring.fit(df, target, words, most)).collect()
-    assert len(got) == len(rows)
-    key = lambda r: (str(r[0]), r[1])
-    for g, w in zip(sorted(map(tuple, got), key=key), sorted(plain(rows, good, size, most), key=key)):
-        assert g[:2] == w[:2]
-        assert g[2] == (w[2] if w[2] is None else pytest.approx(w[2], rel=1e-5)) and g[3] == (w[3] if w[3] is None else pytest.approx(w[3], rel=1e-5))
-        assert g[4] is None or g[4] == pytest.approx(g[2] - g[3])
-
-
-@pytest.mark.parametrize(("size", "most"), [(0, 0), (3, 2), (6, 12), (30_000, 10**6)])
-def test_no_word_or_bigram_is_left_out(spark, monkeypatch, size, most):
-    monkeypatch.setattr(lm_scoring, "VOCABULARY", size)
-    monkeypatch.setattr(lm_scoring, "BIGRAMS", most)
-    rows = [*corpus(), (105, "rare pair here"), (108, "here pair rare rare")]
-    good = {d for d, _ in rows if d is not None and d % 3 == 0}
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    ids = spark.createDataFrame([(d,) for d in good], "doc_id long")
+def plain(rows, good):
+    """Every word and every bigram counts."""
     split = [(d, (t or "").lower().split()) for d, t in rows]
     vocabulary = {w for _, ws in split for w in ws}
     models = []
@@ -89,12 +33,36 @@ def test_no_word_or_bigram_is_left_out(spark, monkeypatch, size, most):
             uni[w] += n
         p1 = {w: (uni[w] + 1) / (sum(uni.values()) + len(vocabulary) + 1) for w in vocabulary}
         models.append({(h, w): -math.log((pairs[h, w] + lm_scoring.PRIOR * p1[w]) / (context[h] + lm_scoring.PRIOR)) for _, ws in split for h, w in zip(["<s>", *ws], ws)})
-    want = [(d, len(ws), *(sum(m[p] for p in zip(["<s>", *ws], ws)) / len(ws) if ws else None for m in models)) for d, ws in split]
+    return [(d, len(ws), *(sum(m[p] for p in zip(["<s>", *ws], ws)) / len(ws) if ws else None for m in models)) for d, ws in split]
+
+
+def compare(got, rows, good):
     key = lambda r: (str(r[0]), r[1])
-    got = sorted(map(tuple, lm_scoring.cross_entropy_difference(df, ids).collect()), key=key)
+    got = sorted(map(tuple, got), key=key)
     assert len(got) == len(rows)
-    for g, w in zip(got, sorted(want, key=key)):
+    for g, w in zip(got, sorted(plain(rows, good), key=key)):
         assert g[:2] == w[:2] and g[2:4] == (pytest.approx(w[2:], rel=1e-9) if g[1] else (None, None))
+        assert g[4] == (pytest.approx(g[2] - g[3]) if g[1] else None)
+
+
+@pytest.mark.parametrize(("block", "piece", "told", "bits"), [(8 << 20, 16 << 20, 1000, 26), (200, 3000, 1000, 26), (200, 3000, 0, 6), (8 << 20, 1 << 20, 0, 26)])
+def test_no_word_or_bigram_is_left_out(spark, monkeypatch, block, piece, told, bits):
+    monkeypatch.setattr(lm_scoring, "TOLD", told)
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", block)
+    monkeypatch.setattr(lm_scoring, "PIECE_BYTES", piece)
+    monkeypatch.setattr(lm_scoring, "SIEVE_BITS", bits)
+    rows = corpus()
+    good = {d for d, _ in rows if d is not None and d % 3 == 0}
+    df = spark.createDataFrame([(d, t, "clash") for d, t in rows], SCHEMA).repartition(3)
+    ids = spark.createDataFrame([(d,) for d in [*good, *good, 999, -7, None]], "doc_id long")
+    compare(lm_scoring.cross_entropy_difference(df, ids).collect(), rows, good)
+
+
+def test_many_words_of_one_count(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(i * 100, i * 100 + 100))) for i in range(301)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    good = set(range(0, 301, 7))
+    compare(lm_scoring.cross_entropy_difference(df, spark.createDataFrame([(i,) for i in good], "doc_id long")).collect(), rows, good)
 
 
 def test_target_like_documents_score_lower(spark):
@@ -104,15 +72,13 @@ def test_target_like_documents_score_lower(spark):
     assert max(by[i] for i in range(0, 60, 3)) < min(by[i] for i in range(60) if i % 3)
 
 
-@pytest.mark.parametrize("bits", [6, 26])
-def test_rows_of_ids(spark, monkeypatch, bits):
-    monkeypatch.setattr(lm_scoring, "SIEVE_BITS", bits)
-    df = spark.createDataFrame([(d, t) for d, t in corpus()], "doc_id long, text string")
-    ids = spark.createDataFrame([(i,) for i in (3, 4, 100, 999, -7)], "doc_id long")
-    assert sorted(r.doc_id for r in lm_scoring.with_ids(df, ids).collect()) == [3, 4, 4, 100]
-    assert lm_scoring.with_ids(df, ids.limit(0)).collect() == []
+def test_packed_integers():
+    for x in (np.empty(0, np.uint64), np.array([0, 1, 1 << 63], np.uint64), np.arange(70_000, dtype=np.uint32), np.array([-5, 7], np.int64)):
+        assert common.unpack(common.pack(x), x.dtype).tolist() == x.tolist()
 
 
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert lm_scoring.cross_entropy_difference(none, none).collect() == []
+    some = spark.createDataFrame([(1, None, ""), (None, "", "")], SCHEMA)
+    assert sorted(map(tuple, lm_scoring.cross_entropy_difference(some, none).collect()), key=str) == [(1, 0, None, None, None), (None, 0, None, None, None)]
