@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import progressive
-from .common import text_slices
+from .common import freed, text_slices
 
 #: Payload bytes come in multiples of this.
 UNIT = 576
@@ -42,7 +42,7 @@ def feature(rgb: np.ndarray) -> str:
 
 def _runs(docs: DataFrame, schema: str, make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             for part in text_slices(batch, "text", CALL):
                 sizes, payloads = zip(*map(padded, part.column("text").to_pylist()))
                 yield make(part.column("doc_id"), sizes, progressive.encode(list(payloads)))
@@ -65,8 +65,15 @@ def media_columns(docs: DataFrame) -> DataFrame:
     return _runs(docs, "doc_id long, n_bytes long, media binary, height int, width int, rgb binary", make)
 
 
-def media_digests(docs: DataFrame) -> DataFrame:
-    """Digests of what :func:`media_columns` stores and of what is read back."""
+def media_digests(docs: DataFrame, tensors: bool = False) -> DataFrame:
+    """Digests of what :func:`media_columns` stores and of what is read back, and with
+    ``tensors`` the stored tensors too: (height, width, rgb).
+
+    A null text is empty; equal texts have equal values; rows that repeat stay; other
+    columns are not read; an empty table gives an empty one. A text is one picture,
+    coded by one task at once; about 9 GB is the format's end.
+    """
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def make(ids, sizes, files):
         read = progressive.decode(files)
@@ -83,6 +90,9 @@ def media_digests(docs: DataFrame) -> DataFrame:
             "media_sha256": sha(files),
             "feature": pa.array([feature(d.rgb) for d in read], pa.string()),
         }
+        if tensors:
+            cols |= {n: pa.array([d.rgb.shape[i] for d in read], pa.int32()) for i, n in enumerate(("height", "width"))}
+            cols["rgb"] = pa.array([d.rgb.tobytes() for d in read], pa.binary())
         return pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    return _runs(docs, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", make)
+    return _runs(docs, schema + (", height int, width int, rgb binary" if tensors else ""), make)

@@ -34,6 +34,8 @@ SCANS = (
     ((2,), 1, 5, 1, 0),
 )
 BLOCKS = 6  # of an MCU
+#: Fixed value: MCUs of 16 pixels that 16 bits of size hold.
+MOST = 4095
 COLUMNS = 256  # MCUs in a row of an image
 STEP = 1 << 14  # lanes whose bits are put together at once
 
@@ -76,8 +78,12 @@ SIZE = np.array([int(v).bit_length() for v in range(1 << 11)], dtype=np.uint8)
 
 
 def shape_of(mcus: int) -> tuple[int, int]:
-    """Rows and columns of MCUs that hold ``mcus``."""
-    return -(-mcus // COLUMNS), min(mcus, COLUMNS)
+    """Rows and columns of MCUs that hold ``mcus``: wider where the format's ``MOST``
+    rows would not do (from about 600 MB); beyond ``MOST`` columns it has no room."""
+    cols = min(mcus, max(COLUMNS, -(-mcus // MOST)))
+    if cols > MOST:
+        raise ValueError("a payload of more than 9 GB does not fit into one picture")
+    return -(-mcus // cols), cols
 
 
 @lru_cache(maxsize=4096)

@@ -98,4 +98,17 @@ def test_query_and_columns(spark):
     m = {r.doc_id: r for r in media.media_columns(df.where("doc_id < 4")).collect()}
     for i in range(4):
         assert hashlib.sha256(m[i].media).hexdigest() == by[i].media_sha256 and len(m[i].rgb) == m[i].height * m[i].width * 3
+    stored = media.media_digests(df, tensors=True)
+    assert stored.columns[:8] == media.media_digests(df).columns
+    for r in stored.collect():
+        assert media.feature(np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3)) == r.feature
     assert media.media_digests(df.limit(0)).collect() == []
+
+
+def test_shapes():
+    assert P.shape_of(1) == (1, 1) and P.shape_of(256) == (1, 256) and P.shape_of(257) == (2, 256)
+    for n in (4095 * 256, 4095 * 256 + 1, 4095 * 4095):
+        rows, cols = P.shape_of(n)
+        assert rows * cols >= n and rows <= 4095 and cols <= 4095 and len(P._header(rows, cols)) > 0
+    with pytest.raises(ValueError):
+        P.shape_of(4095 * 4095 + 1)
