@@ -1,6 +1,6 @@
 """Language identification with bit-sliced Bloom filters of n-grams.
 
-One table of ``CELLS`` cells holds a Bloom filter for every language at once:
+One table of cells holds a Bloom filter for every language at once:
 a cell's bits are the languages that have set it. The AND of the ``HASHES``
 cells of an n-gram is the set of all languages that contain it. A document's
 n-grams are counted per language bit; what the filter's false positives add is
@@ -9,21 +9,26 @@ taken off again, and the language with the largest corrected share decides.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, splitmix64, text_slices
+from .common import checkpointed, freed, splitmix64, text_slices
 
-#: Documented bounds of the fit: labelled rows (expected number; picked by a hash
-#: of the id over all labelled rows), and n-grams that a language's filter holds.
-SAMPLE_ROWS, GRAMS = 20_000, 40_000
-CELL_BITS, HASHES = 18, 3
+#: Documented bound of the fit: labelled rows (expected number; picked by a hash of
+#: the id over all labelled rows). Every n-gram of theirs that counts is kept.
+SAMPLE_ROWS = 20_000
+#: Cells for each n-gram of the language that has most (rounded up to a power of
+#: two, of at least ``LEAST_BITS`` bits), and hashes of an n-gram.
+CELLS, LEAST_BITS, HASHES = 6, 12, 3
+#: Bytes of text that one step handles; n-grams take some forty times as much.
+STEP_BYTES = 1 << 20
 #: A language contains an n-gram that it shows at least this often, and at
 #: least this part as often as the language that shows it most.
 LEAST_COUNT, LEAST_PART = 3, 0.25
@@ -57,14 +62,17 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return key, np.searchsorted(ends, mid, side="right")
 
 
-def _cells(key: np.ndarray) -> list[np.ndarray]:
-    h, low = splitmix64(key), np.uint64((1 << CELL_BITS) - 1)
-    return [(h >> np.uint64(20 * i) & low).astype(np.int64) for i in range(HASHES)]
+def _cells(key: np.ndarray, size: int) -> list[np.ndarray]:
+    """``HASHES`` cells of each key; ``size``, their number, is a power of two."""
+    h = splitmix64(key)
+    step, low = h >> np.uint64(32) | np.uint64(1), np.uint64(size - 1)
+    with np.errstate(over="ignore"):
+        return [(h + np.uint64(i) * step & low).astype(np.int64) for i in range(HASHES)]
 
 
 @dataclass(frozen=True)
 class Model:
-    """``table``: CELLS x words of 64 language bits; ``wrong``: false positives by language."""
+    """``table``: cells x words of 64 language bits; ``wrong``: false positives by language."""
 
     langs: list[str]
     table: np.ndarray
@@ -77,7 +85,7 @@ class Model:
         n = np.bincount(text, minlength=len(texts))
         if not self.langs or not key.size:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        cells = _cells(key)
+        cells = _cells(key, len(self.table))
         share = np.empty((len(texts), len(self.langs)))
         starts = np.concatenate([[0], np.cumsum(n)])[:-1]
         some = np.flatnonzero(n)
@@ -99,9 +107,11 @@ class Model:
 def build(rows: list[tuple[int, list[str]]], langs: list[str]) -> Model:
     """The filters of ``rows``: (n-gram key, languages that contain it)."""
     at = {name: i for i, name in enumerate(langs)}
-    table = np.zeros((1 << CELL_BITS, max(1, -(-len(langs) // 64))), dtype=np.uint64)
+    most = max(Counter(x for _, has in rows for x in has).values(), default=0)
+    bits = max(LEAST_BITS, (CELLS * most - 1).bit_length())
+    table = np.zeros((1 << bits, max(1, -(-len(langs) // 64))), dtype=np.uint64)
     if rows:
-        cells = _cells(np.array([k for k, _ in rows], dtype=np.int64).view(np.uint64))
+        cells = _cells(np.array([k for k, _ in rows], dtype=np.int64).view(np.uint64), len(table))
         for w in range(table.shape[1]):
             masks = np.array([sum(1 << (at[x] % 64) for x in has if at[x] // 64 == w) for _, has in rows], dtype=np.uint64)
             for i in cells:
@@ -113,7 +123,7 @@ def build(rows: list[tuple[int, list[str]]], langs: list[str]) -> Model:
 def fit(docs: DataFrame) -> Model:
     """Filters learned from text and non-null lang of rows outside the held-out
     fold. At most about ``SAMPLE_ROWS`` rows are read, with their whole texts;
-    at most ``GRAMS`` n-grams a language reach the driver."""
+    what reaches the driver are the n-grams of these that count."""
     known = docs.where("lang is not null and text is not null").where(fold(F.col("doc_id")) != FOLD)
     total = known.count()
     if not total:
@@ -122,8 +132,8 @@ def fit(docs: DataFrame) -> Model:
     sample = known.where(F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in text_slices(batch, "text"):
+        for batch in freed(batches):
+            for piece in text_slices(batch, "text", STEP_BYTES):
                 names, which = np.unique(np.array(piece.column("lang").to_pylist(), dtype=object).astype(str), return_inverse=True)
                 key, text = grams(piece.column("text").to_pylist())
                 for i, name in enumerate(names):
@@ -137,9 +147,8 @@ def fit(docs: DataFrame) -> Model:
     often = counted.join(F.broadcast(sizes), "lang").withColumn("rate", F.col("n") / F.col("total"))
     by_key = often.groupBy("key").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "rate", "n")).alias("xs"))
     has = by_key.select("key", F.explode(F.filter("xs", lambda x: (x["n"] >= LEAST_COUNT) & (x["rate"] >= LEAST_PART * F.col("top")))).alias("x")).select("key", "x.*")
-    rank = Window.partitionBy("lang").orderBy(F.col("n").desc(), "key")
-    kept = has.withColumn("i", F.row_number().over(rank)).where(F.col("i") <= GRAMS).groupBy("key").agg(F.collect_list("lang").alias("langs"))
-    return build([(r[0], r[1]) for r in kept.collect()], langs)
+    kept = has.groupBy("key").agg(F.collect_list("lang").alias("langs")).toArrow()
+    return build(list(zip(kept.column("key").to_pylist(), kept.column("langs").to_pylist())), langs)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -149,8 +158,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
-        for batch in batches:
-            for piece in text_slices(batch, "text"):
+        for batch in freed(batches):
+            for piece in text_slices(batch, "text", STEP_BYTES):
                 names, score = m.predict(piece.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held_out"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -172,8 +181,8 @@ def keep_identified(docs: DataFrame, least_score: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
-        for batch in batches:
-            for piece in text_slices(batch, "text"):
+        for batch in freed(batches):
+            for piece in text_slices(batch, "text", STEP_BYTES):
                 names, score = m.predict(piece.column("text").to_pylist())
                 yield piece.filter(pa.array((np.array(names) != UNDETERMINED) & (score >= least_score)))
 

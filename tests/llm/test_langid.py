@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -44,7 +45,7 @@ def test_filters_hold_all_and_little_else():
     keys = rng.integers(0, 2**62, 3000)
     has = [sorted(rng.choice(70, rng.integers(1, 4), replace=False).tolist()) for _ in keys]
     m = langid.build([(int(k), [f"l{i:02d}" for i in h]) for k, h in zip(keys, has)], [f"l{i:02d}" for i in range(70)])
-    cells = langid._cells(keys.astype(np.uint64))
+    cells = langid._cells(keys.astype(np.uint64), len(m.table))
     for w in range(2):
         mask = m.table[cells[0], w] & m.table[cells[1], w] & m.table[cells[2], w]
         for i, h in enumerate(has):
@@ -52,6 +53,40 @@ def test_filters_hold_all_and_little_else():
     assert m.wrong.max() < 1e-3
 
 
+def plain_grams(text):
+    t = "".join(c if c.isalpha() else " " for c in " " + (text or "").lower() + " ")
+    return [t[i - 1 : i + 2] for i in range(1, len(t) - 1) if t[i] != " "]
+
+
+def test_predictions_against_sets(docs):
+    """The same rules with sets of n-grams instead of filters."""
+    rows = docs.collect()
+    counts = {}
+    for r in rows:
+        if r.lang and r.text is not None and r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != langid.FOLD:
+            counts.setdefault(r.lang, Counter()).update(plain_grams(r.text))
+    rate = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in counts.items()}
+    top = {g: max(r.get(g, 0) for r in rate.values()) for r in rate.values() for g in r}
+    known = {x: {g for g, n in c.items() if n >= langid.LEAST_COUNT and rate[x][g] >= langid.LEAST_PART * top[g]} for x, c in counts.items()}
+    want = {}
+    for r in rows:
+        gs = plain_grams(r.text)
+        want[r.doc_id, r.text] = {x: sum(g in k for g in gs) / len(gs) for x, k in known.items()} if gs else {}
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    clear = 0
+    for (d, _), shares in want.items():
+        if not shares:
+            assert got[d].lang_pred == "und"
+            continue
+        best = max(shares.values())
+        assert abs(got[d].score - best) < 0.05
+        second = sorted(shares.values())[-2]
+        if best - second > 0.1:
+            clear += 1
+            assert shares[got[d].lang_pred] == best
+    assert clear > 500
+
+
 def test_grams():
     key, text = langid.grams(["ab", None, "", "A-b", "é"])
     assert text.tolist() == [0, 0, 3, 3, 4] and len(set(key.tolist())) == 5
