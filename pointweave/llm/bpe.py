@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import freed, text_slices
 
 #: Words whose pieces (twice as many), and pairs whose compatibility, a worker keeps at most.
 KEPT_WORDS, KEPT_PAIRS = 250_000, 1_000_000
@@ -80,7 +80,11 @@ class WordBpe:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_added = regex.compile("|".join(f"({regex.escape(t)})" for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pattern = regex.compile(known_letters(pattern))
+        late = late_letters(path)
+        self.pattern = regex.compile(known_letters(pattern, [c for c, (_, kind) in late.items() if kind == "other"]))
+        self.lower = {ord(c): low for c, (low, _) in late.items() if low != c}
+        self.special = regex.compile("[" + "".join([*map(chr, self.lower), *apart(path)]) + "]") if self.lower or apart(path) else None
+        self.apart = regex.compile("(?=[" + "".join(apart(path)) + "])") if apart(path) else None
         self.ascii_pattern = re.compile(ascii_letters(pattern), re.ASCII)
         byte_of = {c: b for b, c in enumerate(byte_alphabet())}
         vocab: dict[str, int] = model["vocab"]
@@ -247,7 +251,19 @@ class WordBpe:
         return b"".join([*out, self._plain(text[at:])])
 
     def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, normalized(text)))
+        return b"".join(map(self.words.__getitem__, self.normalized(text)))
+
+    def normalized(self, text: str) -> list[str]:
+        """Runs without white space of the text in NFC and lower case, one code point
+        at a time (no final sigma)."""
+        if not text.isascii():
+            special = self.special is not None and self.special.search(text) is not None
+            parts = self.apart.split(text) if special and self.apart else [text]
+            text = "".join(unicodedata.normalize("NFC", x) for x in parts).replace("Σ", "σ")
+            if special:
+                text = text.translate(self.lower)
+        text = text.lower()
+        return text.split() if not any(c in text for c in NOT_SPACE) else SPACE.split(text)
 
     def decode(self, ids: np.ndarray) -> Iterator[bytes]:
         """The UTF-8 of the entries joined by blanks, in pieces."""
@@ -261,15 +277,6 @@ class WordBpe:
             yield self.blob[at].tobytes()
 
 
-def normalized(text: str) -> list[str]:
-    """Runs without white space of the text in NFC and lower case, one code point
-    at a time (no final sigma)."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-    text = text.lower()
-    return text.split() if not any(c in text for c in NOT_SPACE) else SPACE.split(text)
-
-
 #: Code points that str.split takes for white space and the pattern does not.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 SPACE = regex.compile(r"\s+")
@@ -284,20 +291,48 @@ def ascii_letters(pattern: str) -> str:
     return pattern
 
 
-def known_letters(pattern: str) -> str:
-    """``pattern`` with letters and numbers as this Python's Unicode data has
-    them; the regex library may know later ones, which other engines don't."""
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    late = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+@lru_cache(maxsize=2)
+def late_letters(path: str) -> dict[str, tuple[str, str]]:
+    """Code points that this Python's Unicode data lacks and the regex library or the
+    tokenizers library knows: what the latter makes of each in lower case, and whether
+    its words take it for a ``letter``, a ``number`` or an ``other``."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(path)
+    every = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x110000)) if unicodedata.category(chr(c)) == "Cn"]
+    lower = lib.normalizer.normalize_str("0".join(every)).split("0")
+    if len(lower) != len(every):
+        raise ValueError(f"the normalizer of {path} drops characters")
+    known = set(regex.findall(r"[\p{L}\p{N}]", "".join(every)))
+    out = {}
+    for c, low in zip(every, lower):
+        if c in known or low != c:
+            pieces = lambda text: len(lib.pre_tokenizer.pre_tokenize_str(text))
+            kind = "letter" if pieces("a" + c) == 1 else "other" if pieces("!" + c) == 1 else "number"
+            out[c] = (low, kind)
+    return out
+
+
+@lru_cache(maxsize=2)
+def apart(path: str) -> list[str]:
+    """Code points that this Python composes with the one before and the library doesn't."""
+    from tokenizers import Tokenizer
+
+    lib, out = Tokenizer.from_file(path).normalizer, set()
+    for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))):
+        pair = unicodedata.normalize("NFD", c)
+        if len(pair) == 2 and unicodedata.normalize("NFC", pair) == c and lib.normalize_str(pair) != lib.normalize_str(c):
+            out.add(pair[1])
+    return sorted(out)
+
+
+def known_letters(pattern: str, not_letters: list[str]) -> str:
+    """``pattern`` with letters and numbers as the regex library has them, but for
+    ``not_letters``: later ones, which count as others."""
+    late = sorted(set(regex.findall(r"[\p{L}\p{N}]", "".join(not_letters))))
     if not late:
         return pattern
-    runs: list[list[int]] = []
-    for c in map(ord, late):
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    new = "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]"
+    new = "[" + "".join(f"\\U{ord(c):08x}" for c in late) + "]"
     for name in ("L", "N"):
         pattern = pattern.replace(rf"[\p{{{name}}}]", rf"[\p{{{name}}}--{new}]")
     return "(?V1)" + pattern.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||{new}]")
@@ -320,15 +355,16 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]), one row a row of ``docs``.
 
-    Whole texts; a null text is empty and has no tokens. Long texts are decoded
-    and hashed in pieces. Other columns are not read. ``path``: the vocabulary
+    Whole texts; a null text is empty and has no tokens. Repeated rows stay, an empty
+    table gives an empty one. Long texts are decoded and hashed in pieces. Other
+    columns are not read. ``path``: the vocabulary
     file, which every worker must find there.
     """
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
+        for batch in freed(batches):
             for part in text_slices(batch, "text"):
                 n, ids_sha, text_sha, every = [], [], [], []
                 for text in part.column("text").to_pylist():

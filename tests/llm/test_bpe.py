@@ -2,7 +2,7 @@
 
 import hashlib
 import random
-from pathlib import Path
+import unicodedata
 
 import numpy as np
 import pytest
@@ -37,6 +37,15 @@ def test_ids_and_decoding_match_the_library(library):
         assert b"".join(mine.decode(ids)).decode() == library.decode(ids.tolist(), skip_special_tokens=False)
 
 
+def test_every_code_point(library):
+    mine = bpe.load(PATH)
+    every = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x110000))]
+    every += [d for c in every if (d := unicodedata.normalize("NFD", c)) != c]
+    lines = [" ".join(f"a{c}b {c} !{c}" for c in every[i : i + 64]) for i in range(0, len(every), 64)]
+    for line, e in zip(lines, library.encode_batch(lines, add_special_tokens=False)):
+        assert np.frombuffer(mine.encode(line), "<u4").tolist() == e.ids, line
+
+
 def test_vocabulary_entries_in_a_row(library):
     mine, rng = bpe.load(PATH), random.Random(9)
     names = [t.replace("</w>", "") for t in library.get_vocab()]
