@@ -6,9 +6,10 @@ Rounding takes two fractional documents, moves words' worth of probability
 from one to the other at random until one of them is 0 or 1, and goes on with
 the other. Expectations hold for each document, and the expected words of the
 whole source stay exactly what they were. Buckets of a source (by a hash of
-the id) are rounded apart and leave at most one fractional document each;
-those residuals meet in a reduction tree of fan-in ``FAN``. Random numbers
-come from ids alone, so reruns and other partitionings agree.
+the id and text) are rounded apart and leave at most one fractional document each;
+those residuals meet in a reduction tree of fan-in ``FAN``. Rows of one id, source
+and text are counted first and rounded as one. Random numbers come from ids and
+texts alone, so reruns and other partitionings agree.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from .common import checkpointed, splitmix64, uniform
+from .common import checkpointed, fresh, splitmix64, uniform
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3.0
@@ -85,10 +87,10 @@ def _rounder(level: int):
     salt = np.uint64(SEED * 1_000_003 + level)
 
     def rounded(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bucket", "doc_id", "size"], na_position="first", kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["bucket", "doc_id", "text_key", "size"], na_position="first", kind="stable").reset_index(drop=True)
         ids = pdf["doc_id"].fillna(-1).to_numpy().astype(np.int64).view(np.uint64)
-        same = pdf.groupby(["doc_id"], dropna=False).cumcount().to_numpy().astype(np.uint64)
-        key = splitmix64(ids ^ splitmix64(same + salt))
+        text = pdf["text_key"].to_numpy().astype(np.int64).view(np.uint64)
+        key = splitmix64(ids ^ splitmix64(text + salt))
         p, left = pivot(pdf["p"].to_numpy(np.float64), pdf["size"].to_numpy(np.float64), key)
         if left >= 0 and pdf["last"].iloc[0]:
             p[left] = float(uniform(key[left : left + 1])[0] < p[left])
@@ -99,23 +101,26 @@ def _rounder(level: int):
     return rounded
 
 
-def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MAX_COPIES) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies), one row a row of ``docs``.
+def text_key(docs: DataFrame):
+    """What tells texts of one id apart; null is not empty."""
+    text = F.col("text").cast("string")
+    return F.xxhash64(text, text.isNull())
 
-    A null text has size 0. Documents of size 0 are rounded like others; they
-    add no words. Rows that share an id are rounded one by one. Null ids hash
-    alike. An empty table gives an empty one; other columns are not read.
-    """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"))
+
+def grouped_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MAX_COPIES) -> DataFrame:
+    """(doc_id, source, text_key, size, rows, source_size, target, copies), one row for
+    each id, source and text of ``docs``: its rows, and the copies they take together."""
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_key(docs).alias("text_key"), words(F.col("text")).alias("size"))
     sized = checkpointed(sized)
     per = checkpointed(source_targets(sized, weights, most))
     f = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
-    d = sized.join(per.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    d = d.withColumn("f", f).withColumn("whole", F.floor(F.col("f") + EPS))
+    d = sized.groupBy("doc_id", "source", "text_key", "size").agg(F.count(F.lit(1)).alias("rows"))
+    d = d.join(per.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    d = d.withColumn("f", f * F.col("rows")).withColumn("whole", F.floor(F.col("f") + EPS))
     d = d.withColumn("p", F.greatest(F.lit(0.0), F.col("f") - F.col("whole")))
     d = d.withColumn("buckets", F.ceil(F.col("docs") / BUCKET))
-    d = d.withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.col("buckets")))
-    d = d.select("source_no", "bucket", "buckets", "doc_id", "source", "size", "source_size", "target", "whole", "p")
+    d = d.withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text_key"), F.col("buckets")))
+    d = d.select("source_no", "bucket", "buckets", "doc_id", "source", "text_key", "size", "rows", "source_size", "target", "whole", "p")
     most_buckets = per.agg(F.ceil(F.max("docs") / BUCKET)).first()[0] or 1
     done, level = [], 0
     while True:
@@ -132,24 +137,43 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.round("p").cast("long")).alias("copies"))
+    return out.select("doc_id", "source", "text_key", "size", "rows", "source_size", "target", (F.col("whole") + F.round("p").cast("long")).alias("copies"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MAX_COPIES) -> DataFrame:
-    """The mixed corpus: every row of ``docs`` as often as :func:`copies` says.
+def _share(copies, rows, nth):
+    """Copies of the ``nth`` (from 1) of equal rows: as equal as can be."""
+    return F.floor(copies / rows) + (nth <= F.pmod(copies, rows)).cast("long")
+
 
-    Rows that share id, source and size take the copies of that group in the
-    order of their texts.
+def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MAX_COPIES) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies), one row a row of ``docs``.
+
+    A null text has size 0. Documents of size 0 are rounded like others; they
+    add no words. Rows that share an id are rounded one by one, equal ones
+    together. Null ids hash alike. An empty table gives an empty one; other
+    columns are not read.
     """
-    keys = ["doc_id", "source", "size"]
-    made = copies(docs, weights, most).groupBy(*keys).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("made"))
-    made = made.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("made").alias("_made"))
-    d = docs.withColumn("_words", words(F.col("text")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    d = d.join(made, same)
-    nth = Window.partitionBy("_doc_id", "_source", "_size").orderBy(F.xxhash64("text"), "text")
-    d = d.withColumn("_n", F.element_at("_made", F.row_number().over(nth)))
-    return d.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*(f"`{c}`" for c in docs.columns))
+    g = grouped_copies(docs, weights, most).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return g.select("doc_id", "source", "size", "source_size", "target", _share(F.col("copies"), F.col("rows"), F.col("nth")).alias("copies"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MAX_COPIES) -> DataFrame:
+    """The mixed corpus: every row of ``docs`` as often as :func:`copies` says, with
+    its columns whatever their names. Rows of one id, source and text share their
+    copies in the order of the rows' hashes."""
+    keys = {fresh(docs, f"_{k}"): v for k, v in (("doc_id", F.col("doc_id").cast("long")), ("source", F.col("source").cast("string")), ("text_key", text_key(docs)))}
+    made, rows, nth, copy = (fresh(docs, c) for c in ("_made", "_rows", "_nth", "_copy"))
+    right = {k: f"{k}_found" for k in keys}
+    plan = grouped_copies(docs, weights, most).select(*(F.col(c).alias(right[k]) for k, c in zip(keys, ("doc_id", "source", "text_key"))), F.col("copies").alias(made), F.col("rows").alias(rows)).where(F.col(made) > 0)
+    d = docs.withColumns(keys)
+    same = [d[f"`{k}`"].eqNullSafe(plan[f"`{r}`"]) for k, r in right.items()]
+    d = d.join(plan, same)
+    # only rows that repeat are numbered
+    once = d.where(F.col(rows) == 1).withColumn(nth, F.lit(1))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns if not isinstance(docs.schema[c].dataType, MapType)))))
+    again = d.where(F.col(rows) > 1).withColumn(nth, number)
+    d = once.unionByName(again).withColumn(made, _share(F.col(made), F.col(rows), F.col(nth))).where(F.col(made) > 0)
+    return d.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(made)))).select(*(f"`{c}`" for c in docs.columns))
 
 
 def mixed_sizes(docs: DataFrame) -> DataFrame:

@@ -57,6 +57,24 @@ def test_mix_repeats_rows(docs):
     assert out.count() == plan.groupBy().sum("copies").first()[0]
 
 
+def test_mix_beside_any_column_names(spark):
+    names = ["size", "_size", "_n", "_nth", "_copy", "_made", "_rows", "rows", "copies", "_words", "_doc_id", "_source", "_text_key", "text_key", "_doc_id_found", "target", "s", "f", "whole", "p", "bucket"]
+    rows = [(i % 50, f"some words {i % 25}", "ab"[i % 2], *names) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in names))
+    out = mixing.mix(df)
+    assert out.columns == df.columns
+    assert out.count() == mixing.copies(df).groupBy().sum("copies").first()[0]
+    assert {tuple(r)[3:] for r in out.distinct().collect()} == {tuple(names)}
+
+
+def test_equal_rows_share_their_copies(spark):
+    rows = [(1, "one text", "a", 0)] * 1000 + [(None, f"text {i}", "b", 0) for i in range(300)]
+    got = mixing.copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    own = [r.copies for r in got if r.doc_id == 1]
+    target = next(r.target for r in got if r.doc_id == 1)
+    assert len(got) == 1300 and max(own) - min(own) <= 1 and abs(2 * sum(own) - target) <= 2
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert mixing.mixed_sizes(none).collect() == []
