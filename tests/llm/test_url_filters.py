@@ -45,13 +45,24 @@ def rules():
     return [u.prefix_rule(*r) for r in PREFIX] + [u.pattern_rule(*p) for p in PATTERNS]
 
 
-def test_judgements(spark, rules):
-    rows = [(i, x, "clash") for i, x in enumerate(urls())]
-    df = spark.createDataFrame([*rows, (0, rows[0][1], "clash")], "page_id long, url string, verdict string")
-    got = u.judge(df, rules).collect()
+#: Every name that the operator uses inside.
+CLASHES = ["verdict", "_judged", "_best", "_target", "target", "best", "token", "tokens", "regex", "n", "count", "prefix", "chars", "rule", "a.b"]
+
+
+@pytest.mark.parametrize("inline", [5000, 0])
+def test_judgements(spark, rules, monkeypatch, inline):
+    monkeypatch.setattr(u, "INLINE", inline or 1)
+    rows = [(i, x, *CLASHES) for i, x in enumerate(urls())]
+    schema = "page_id long, url string, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    df = spark.createDataFrame([*rows, (0, rows[0][1], *CLASHES)], schema)
+    judged = u.judge(df, rules)
+    kept = [c for c in df.columns if c not in ("verdict", "rule")]
+    assert judged.columns == [*kept, "host", "path", "rule", "pattern", "verdict"]
+    got = judged.collect()
     assert len(got) == len(rows) + 1
     for r in got:
         assert (r.host, r.path, r.rule, r.verdict, r.pattern) == plain(r.url), r.url
+        assert all(r[c] == c for c in kept[2:])
 
 
 def test_tokens_are_in_every_match(rules):
@@ -65,5 +76,10 @@ def test_many_rules_and_empty(spark):
     assert {r.page_id: r.rule for r in u.judge(df, many).collect()} == {i: f"h{i}.test/p{i}/" if i < 500 else None for i in range(0, 600, 7)}
     assert u.judge(df.limit(0), many).collect() == []
     assert {r.verdict for r in u.judge(df, []).collect()} == {"allow"}
-    with pytest.raises(ValueError):
-        u.judge(df, many * 50)
+
+
+def test_a_hundred_thousand_rules(spark):
+    many = [u.prefix_rule("block", f"h{i}.test", f"/p{i}/") for i in range(100_000)] + [u.pattern_rule("block", "*q*")]
+    df = spark.createDataFrame([(i, f"http://www.h{i}.test/p{i}/x") for i in range(0, 110_000, 997)] + [(-1, "http://q")], "page_id long, url string")
+    want = {i: (f"h{i}.test/p{i}/", "block") if i < 100_000 else (None, "allow") for i in range(0, 110_000, 997)} | {-1: (None, "block")}
+    assert {r.page_id: (r.rule, r.verdict) for r in u.judge(df, many).collect()} == want
