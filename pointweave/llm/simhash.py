@@ -17,7 +17,7 @@ no task ever holds more than two tiles of one bucket.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +25,23 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, splitmix64, text_slices
+from .common import checkpointed, freed, fresh, gaps, pack, splitmix64, text_slices, unpack
 
 RADIUS = 4
 SHINGLE = 4
 #: Buckets up to SMALL compare all pairs at once; above TILE they are tiled.
 SMALL, TILE = 16, 8192
-#: Near copies: words of a shingle, least similarity, fingerprints of a text.
-COPY_WORDS, COPY_LEAST, COPY_PRINTS = 5, 0.8, 4
+#: Near copies: words of a shingle, least similarity.
+COPY_WORDS, COPY_LEAST = 5, 0.8
+#: Texts of a shingle up to which the near copies' search compares all pairs.
+FEW = 32
 #: Texts that are looked at for common shingles, the texts of these that make a
 #: shingle common, and the common shingles known at most. They only set an order.
 LOOKED_AT, COMMON, COMMON_MOST = 20_000, 4, 200_000
+#: Bits (a power of two) that rule out most unlike pairs, and texts that meet one in a task.
+PARITIES, LEAVES = 1024, 256
+#: Bytes of text that are cut into shingles at once.
+STEP_BYTES = 1 << 20
 #: Text keys that a task remembers, and a text's shingles that TILE stands for.
 REMEMBERED, TILE_SHINGLES = 1_000_000, 512
 #: Bits (a power of two) of the sieve of candidate texts that tasks are sent.
@@ -157,13 +163,12 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     ``fps`` has distinct signed fingerprints in column fp.
     """
     keyed = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks(radius)))).alias("mask", "value"))
-    keyed = keyed.select("fp", F.xxhash64("mask", "value").alias("key"))
-    whole = Window.partitionBy("key")
-    keyed = keyed.withColumn("n", F.count(F.lit(1)).over(whole)).where("n > 1")
-    keyed = keyed.withColumn("tile", F.when(F.col("n") > TILE, F.floor((F.row_number().over(whole.orderBy("fp")) - 1) / TILE)).otherwise(F.lit(0)))
-    tiles = F.ceil(F.col("n") / TILE)
-    others = F.when(F.col("n") > TILE, F.transform(F.sequence(F.lit(0).cast("long"), tiles - 1), lambda t: F.xxhash64(F.col("key"), F.least(t, F.col("tile")), F.greatest(t, F.col("tile"))))).otherwise(F.array("key"))
-    spread = keyed.select("fp", F.explode(others).alias("key"))
+    spread = keyed.select("fp", F.xxhash64("mask", "value").alias("key"))
+    heavy = checkpointed(spread.groupBy("key").count().where(F.col("count") > TILE).select("key", F.ceil(F.col("count") / TILE).alias("tiles")))
+    if not heavy.isEmpty():  # counted by partial sums; no task sees such a bucket whole
+        tile = F.pmod(F.xxhash64(F.lit(5), "fp"), F.col("tiles"))
+        others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: F.xxhash64(F.col("key"), F.least(t, tile), F.greatest(t, tile)))
+        spread = spread.join(heavy, "key", "left").select("fp", F.explode(F.when(F.col("tiles").isNull(), F.array("key")).otherwise(others)).alias("key"))
     spread = spread.repartition("key").sortWithinPartitions("key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,18 +236,6 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE)
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one of the smallest id.
-
-    An id names a document: of rows that share it, the one of the least text
-    stays. A component whose ids are all null keeps one row.
-    """
-    stay = near_duplicates(docs, radius, words).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stays")), "left_semi")
-    nth = Window.partitionBy("doc_id").orderBy("text")
-    return kept.withColumn("_nth", F.row_number().over(nth)).where("_nth = 1").drop("_nth")
-
-
 def _parts(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
@@ -251,48 +244,6 @@ def _key(parts: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(parts), 42)
 
 
-def word_prints(texts: list[str | None], prints: int = COPY_PRINTS) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, fingerprints[text, print]): the XXH64 of each text's words, and for
-    each print the bits that over half of its distinct words' hashes have; 0
-    where a text has no words."""
-    digest = xxhash.xxh64_intdigest
-    keys = np.zeros(len(texts), dtype=np.uint64)
-    counts = np.zeros(len(texts), dtype=np.int64)
-    hashes: list[int] = []
-    for i, text in enumerate(texts):
-        parts = _parts(text)
-        keys[i] = _key(parts)
-        words = set(parts)
-        counts[i] = len(words)
-        hashes.extend([digest(w, 42) for w in words])
-    out = np.zeros((len(texts), prints), dtype=np.uint64)
-    rows = np.flatnonzero(counts)
-    if not rows.size:
-        return keys, out
-    # runs of at most 255 words of one text: their bits add up in eight byte lanes of 64 bits
-    runs = (counts[rows] + 254) // 255
-    first = np.concatenate([[0], np.cumsum(runs)[:-1]])
-    nth = np.arange(runs.sum()) - np.repeat(first, runs)
-    start = np.repeat(np.cumsum(counts[rows]) - counts[rows], runs) + nth * 255
-    every, lane = np.array(hashes, dtype=np.uint64), np.uint64(0x0101010101010101)
-    for p in range(prints):
-        v = splitmix64(every + np.uint64(p)) if p else every
-        ones = np.empty((rows.size, 8, 8), dtype=bool)
-        for bit in range(8):
-            sums = np.add.reduceat((v >> np.uint64(bit)) & lane, start).view(np.uint8).reshape(-1, 8)
-            ones[:, :, bit] = np.add.reduceat(sums, first, axis=0, dtype=np.int64) * 2 > counts[rows][:, None]
-        out[rows, p] = np.packbits(ones.reshape(-1, 64), axis=1, bitorder="little").view(np.uint64).ravel()
-    return keys, out
-
-
-def shingle_set(parts: list[bytes], words: int = COPY_WORDS) -> np.ndarray:
-    """Distinct 32-bit hashes of the ``words``-word shingles (all words, if fewer).
-
-    Sets move through a shuffle, so hashes are short: two unlike sets of 20,000
-    shingles are counted to share about 0.1 shingles, smaller ones far fewer."""
-    return np.unique((_shingle_hashes(parts, words) >> np.uint64(32)).astype(np.uint32)).view(np.int32)
-
-
 def _shingle_hashes(parts: list[bytes], words: int = COPY_WORDS) -> np.ndarray:
     known = {w: xxhash.xxh64_intdigest(w, 42) for w in set(parts)}
     h = np.array([known[w] for w in parts], dtype=np.uint64)
@@ -325,27 +276,45 @@ def _sieve(keys: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _shingles_of(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
-    """(key, shingles) of the texts whose key is in ``keys``, one row a key."""
+def _of_texts(docs: DataFrame, keys: DataFrame, words: int, schema: str, make: Callable[[np.ndarray], tuple]) -> DataFrame:
+    """(key, ..) of the texts whose key is in ``keys``, one row a key; ``make`` gives the
+    other columns from a text's sorted distinct shingles."""
     sieve = docs.sparkSession.sparkContext.broadcast(_sieve(keys))
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(sieve.value, dtype=np.uint8)
-        for batch in batches:
-            for part in text_slices(batch, "text"):
-                key, sets = [], []
+        for batch in freed(batches):
+            for part in text_slices(batch, "text", STEP_BYTES):
+                key, made = [], []
                 for text in part.column("text").to_pylist():
                     parts = _parts(text)
                     k = _key(parts)
                     at = k & (SIEVE_BITS - 1)
                     if bits[at >> 3] >> (at & 7) & 1:
                         key.append(k)
-                        sets.append(shingle_set(parts, words))
+                        made.append(make(np.unique(_shingle_hashes(parts, words))))
                 if key:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(key, dtype=np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int32()))], ["key", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(key, dtype=np.uint64).view(np.int64)), *(pa.array(c) for c in zip(*made))], ["key", *names])
 
-    made = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, shingles array<int>")
-    return made.join(keys, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    made = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, f"key long, {schema}")
+    return made.join(keys, "key", "left_semi").groupBy("key").agg(*(F.first(c).alias(c) for c in names))
+
+
+def _sets(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
+    """(key, shingles): the packed 64-bit shingles."""
+    return checkpointed(_of_texts(docs, keys, words, "shingles binary", lambda h: (pack(gaps(h)),)))
+
+
+def _set(packed: bytes) -> np.ndarray:
+    return np.cumsum(unpack(packed), dtype=np.uint64)
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """``PARITIES`` bits: how many of the hashes fall on each, odd or even. Two sets'
+    bits differ in at most as many places as the sets do."""
+    odd = np.bincount((hashes >> np.uint64(40)).astype(np.int64) & (PARITIES - 1), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
 def _common(docs: DataFrame, words: int) -> np.ndarray:
@@ -380,9 +349,8 @@ def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, least: floa
 
 
 def _prefixes(docs: DataFrame, least: float, words: int) -> DataFrame:
-    """(h, key, n, pos, big) of prefix shingles h that two texts or more have: text
-    key, its number of shingles, place in the order, whether over SMALL texts have
-    it. Rows of one h are together, by key."""
+    """(h, key, n, pos) of prefix shingles h that two texts or more have: text key, its
+    number of shingles, place in the order. Rows of one h are together, by key."""
     late = _common(docs, words)
     order = np.argsort(late)
     shared = docs.sparkSession.sparkContext.broadcast((late[order], order))
@@ -390,8 +358,8 @@ def _prefixes(docs: DataFrame, least: float, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank = shared.value
         seen: set[int] = set()
-        for batch in batches:
-            for part in text_slices(batch, "text"):
+        for batch in freed(batches):
+            for part in text_slices(batch, "text", STEP_BYTES):
                 hs, keys, sizes = [], [], []
                 for text in part.column("text").to_pylist():
                     parts = _parts(text)
@@ -412,58 +380,142 @@ def _prefixes(docs: DataFrame, least: float, words: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "key", "at"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 3
-
-        def out(h: np.ndarray, key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        for h, key, at in _whole_runs(batches, ["h", "key", "at"]):
             once = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])])
-            h, key, at = h[once], key[once], at[once]
-            edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
-            size = np.repeat(np.diff(edge), np.diff(edge))
-            many = size > 1
-            cols = [h[many], key[many], at[many] >> 32, at[many] & 0xFFFFFFFF, size[many] > SMALL]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "key", "n", "pos", "big"])
-
-        for batch in batches:
-            held = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, ("h", "key", "at"))]
-            cut = int(np.searchsorted(held[0], held[0][-1])) if held[0].size else 0  # the last run may go on
-            if cut:
-                yield out(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-        if held[0].size:
-            yield out(*held)
+            h, key, n, pos = h[once], key[once], at[once] >> 32, at[once] & 0xFFFFFFFF
+            # a text that is too far on even for the smallest set here meets no other
+            start = _runs(h)[0]
+            least_n = np.minimum.reduceat(n, np.flatnonzero(start == np.arange(h.size)))[np.cumsum(start == np.arange(h.size)) - 1]
+            on = n - pos >= least / (1 + least) * (n + least_n) - 1e-6
+            cols = [c[on] for c in (h, key, n, pos)]
+            many = _runs(cols[0])[1] > 1
+            cols = [c[many] for c in cols]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "key", "n", "pos"])
 
     made = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, key long, at long")
-    return made.repartition("h").sortWithinPartitions("h", "key").mapInArrow(meet, "h long, key long, n long, pos long, big boolean")
+    return made.repartition("h").sortWithinPartitions("h", "key").mapInArrow(meet, "h long, key long, n long, pos long")
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
+    """The columns, cut so that rows of one ``names[0]`` stay together; they come in a row."""
+    held: list[np.ndarray] | None = None
+    for batch in freed(batches):
+        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        held = new if held is None else [np.concatenate([x, y]) for x, y in zip(held, new)]
+        first = held[0]
+        cut = first.size - int(np.argmax(first[::-1] != first[-1])) if first.size and first[0] != first[-1] else 0
+        if cut:
+            yield [x[:cut] for x in held]
+            held = [x[cut:] for x in held]
+    if held is not None and held[0].size:
+        yield held
+
+
+def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row's run starts, and its length."""
+    edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]])) if h.size else np.zeros(1, np.int64)
+    size = np.diff(edge)
+    return np.repeat(edge[:-1], size), np.repeat(size, size)
+
 
+def _fits(n, pos, i, j, least: float) -> np.ndarray:
+    """Whether sets may be ``least`` alike that share no shingle before this one."""
+    return np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least / (1 + least) * (n[i] + n[j]) - 1e-6
 
-def _small_pairs(met: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b: pairs of the shingles that few texts have, without those
-    that are too few to be ``least`` alike from this shingle on."""
+
+def _star_pairs(met: DataFrame, least: float) -> DataFrame:
+    """(a, b): of each shingle's texts, the first with each other that may be alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 4
+        for h, key, n, pos in _whole_runs(batches, ["h", "key", "n", "pos"]):
+            i, j = _runs(h)[0], np.arange(h.size)
+            go = (i != j) & _fits(n, pos, i, j, least)
+            pair = np.unique(np.stack([key[i[go]], key[go]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
+def _open_buckets(met: DataFrame, unlinked: DataFrame, least: float) -> DataFrame:
+    """The rows of ``met`` of shingles some of whose texts the star left unlinked: those
+    where a pair of the first text is in ``unlinked`` (or its sieve) or was not tried."""
+    pair = lambda a, b: splitmix64(a.view(np.uint64) + splitmix64(b.view(np.uint64)))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(pair(batch.column("a").to_numpy(), batch.column("b").to_numpy()).view(np.int64))], ["key"])
+
+    sieve = met.sparkSession.sparkContext.broadcast(_sieve(unlinked.mapInArrow(mark, "key long")))
+    names = ["h", "key", "n", "pos"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(sieve.value, dtype=np.uint8)
+        for cols in _whole_runs(batches, names):
+            start, size = _runs(cols[0])
+            at = (pair(cols[1][start], cols[1]) & np.uint64(SIEVE_BITS - 1)).astype(np.int64)
+            tried = _fits(cols[2], cols[3], start, np.arange(start.size), least)
+            hit = ((bits[at >> 3] >> (at & 7) & 1).astype(bool) | ~tried) & (start != np.arange(start.size))
+            open_ = np.zeros(start.size, dtype=bool)
+            open_[start[hit]] = True
+            keep = open_[start]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in cols), pa.array(size[keep] > FEW)], [*names, "big"])
+
+    return met.mapInArrow(run, "h long, key long, n long, pos long, big boolean")
 
-        def out(h: np.ndarray, key: np.ndarray, n: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+
+def _small_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: of the shingles that few texts have, all pairs of texts that may be
+    alike and that are not known to be of one component (column comp)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, key, n, pos, comp in _whole_runs(batches, ["h", "key", "n", "pos", "comp"]):
             left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for shift in range(1, min(SMALL, h.size)):
-                i = np.flatnonzero(h[:-shift] == h[shift:])
-                j = i + shift
-                i, j = (x[np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least / (1 + least) * (n[i] + n[j]) - 1e-6] for x in (i, j))
+            for shift in range(1, min(FEW, h.size)):
+                i = np.flatnonzero((h[:-shift] == h[shift:]) & (comp[:-shift] != comp[shift:]))
+                i = i[_fits(n, pos, i, i + shift, least)]
                 left.append(key[i])
-                right.append(key[j])
+                right.append(key[i + shift])
             pair = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
 
-        for batch in batches:
-            held = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, ("h", "key", "n", "pos"))]
-            cut = held[0].size - int(np.argmax(held[0][::-1] != held[0][-1])) if held[0].size and held[0][0] != held[0][-1] else 0
-            if cut:
-                yield out(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-        if held[0].size:
-            yield out(*held)
+    few = rows.where("not big").repartition("h").sortWithinPartitions("h", "key")
+    return few.mapInArrow(run, "a long, b long").distinct()
 
-    return met.where("not big").select("h", "key", "n", "pos").mapInArrow(run, "a long, b long").distinct()
+
+def _possible(pairs: DataFrame, facts: DataFrame, least: float) -> DataFrame:
+    """The pairs whose parities do not differ in more places than such sets may."""
+    side = lambda c: facts.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"odd{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    apart = F.aggregate(F.zip_with("odda", "oddb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return both.where(apart <= (1 - least) / (1 + least) * (F.col("na") + F.col("nb")) + 1e-6).select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, least: float, words: int) -> DataFrame:
+    """The pairs whose sets are ``least`` alike. The sets of all b of one a meet its set;
+    many of them are dealt over parts."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEAVES).alias("parts"))
+    dealt = checkpointed(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")))
+    sets = _sets(docs, dealt.select(F.explode(F.array("a", "b")).alias("key")).distinct(), words)
+    heads = dealt.select("a", "part").distinct().join(sets.withColumnRenamed("key", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "shingles")
+    leaves = dealt.join(sets.withColumnRenamed("key", "b"), "b").select("a", "part", "b", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.empty(0, np.uint64)
+        for batch in freed(batches):
+            left, right = [], []
+            for a, b, packed in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("shingles")):
+                own = _set(packed.as_py())
+                if b is None:
+                    head = own
+                    continue
+                shared = np.intersect1d(head, own, assume_unique=True).size
+                if shared >= least * (head.size + own.size - shared):
+                    left.append(a)
+                    right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    both = heads.unionByName(leaves).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return both.mapInArrow(run, "a long, b long")
 
 
 def _walk_sets(key: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
@@ -500,16 +552,18 @@ def _walk_sets(key: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[l
     return left, right
 
 
-def _big_links(met: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b): verified links of the shingles that many texts have, whose closure is
-    that of all pairs; past a tile's shingles, a bucket is cut into pairs of tiles."""
+def _big_links(rows: DataFrame, docs: DataFrame, least: float, words: int) -> DataFrame:
+    """(a, b): verified links of the shingles that many texts have, whose closure is that
+    of all pairs; past a tile's shingles, a bucket is cut into pairs of tiles. Buckets
+    all of one component (column comp) have nothing to add."""
     limit = TILE * TILE_SHINGLES
-    run_of = Window.partitionBy("h").orderBy("n", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    keyed = met.where("big").select("h", "key", "n").withColumn("tile", F.floor((F.sum("n").over(run_of) - 1) / limit))
-    keyed = keyed.withColumn("tiles", F.max("tile").over(Window.partitionBy("h")))
-    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles")), lambda t: F.xxhash64(F.col("h"), F.least(t, F.col("tile")), F.greatest(t, F.col("tile"))))
-    spread = keyed.select("key", F.explode(others).alias("bucket")).join(sets, "key")
-    spread = spread.repartition("bucket").sortWithinPartitions("bucket", "key").select("bucket", "key", "shingles")
+    wide = rows.where("big")
+    sizes = wide.groupBy("h").agg(F.ceil(F.sum("n") / limit).alias("tiles"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("h", "tiles")
+    tile = F.pmod(F.xxhash64(F.lit(5), "key"), F.col("tiles"))
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: F.xxhash64(F.col("h"), F.least(t, tile), F.greatest(t, tile)))
+    buckets = checkpointed(wide.join(sizes, "h").select("key", F.explode(others).alias("bucket")))
+    sets = _sets(docs, buckets.select("key").distinct(), words)
+    spread = buckets.join(sets, "key").repartition("bucket").sortWithinPartitions("bucket", "key").select("bucket", "key", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, key, held = None, [], []
@@ -518,16 +572,14 @@ def _big_links(met: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             a, b = _walk_sets(np.array(key, dtype=np.int64), held, least)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        for batch in batches:
-            column = batch.column("shingles")
-            values, ends = column.values.to_numpy(), column.offsets.to_numpy()
-            for i, (h, k) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("key").to_pylist())):
+        for batch in freed(batches):
+            for h, k, packed in zip(batch.column("bucket").to_pylist(), batch.column("key").to_pylist(), batch.column("shingles")):
                 if h != bucket:
                     if len(key) > 1:
                         yield out()
                     bucket, key, held = h, [], []
                 key.append(k)
-                held.append(values[ends[i] : ends[i + 1]].copy())
+                held.append(_set(packed.as_py()))
         if len(key) > 1:
             yield out()
 
@@ -541,8 +593,10 @@ def near_copies(docs: DataFrame, least: float = COPY_LEAST, words: int = COPY_WO
     raw_key: Spark's xxhash64 of the text as it is. component_id: the smallest doc_id that links reach. Linked are texts of the
     same words (A-Z lower-cased) and all whose sets of ``words``-word shingles
     have a Jaccard similarity of ``least`` or more: of two such sets, the first
-    shingles in a fixed order (a fifth, for 0.8) share one. Shingles of few texts
-    give their pairs; those of many give spanning links, each tested on its sets.
+    shingles in a fixed order (a fifth, for 0.8) share one. A shingle's texts are
+    compared with one of them first; of those that this leaves apart, all pairs are,
+    or spanning links found from pivot to pivot where they are many. Every link is
+    tested on the sets of 64-bit shingles.
     Null and wordless texts are the same text. Null ids are never the smallest
     unless a component has no other. Repeated rows stay repeated; an empty table
     gives an empty one; other columns are not read.
@@ -559,13 +613,20 @@ def near_copies(docs: DataFrame, least: float = COPY_LEAST, words: int = COPY_WO
     rows = checkpointed(read.mapInArrow(run, "doc_id long, text_key long, raw_key long"))
     texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("first"))
     met = checkpointed(_prefixes(docs, least, words))
-    pairs = checkpointed(_small_pairs(met, least))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(met.where("big").select("key")).distinct()
-    sets = checkpointed(_shingles_of(docs, wanted, words))
-    checked = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    checked = checked.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
-    checked = checked.where(F.col("shared") >= F.lit(least) * (F.col("n") - F.col("shared"))).select("a", "b")
-    roots = components(checked.unionByName(_big_links(met, sets, least)))
+    # first each shingle's texts against one of them, which links most groups of copies
+    stars = _star_pairs(met, least)
+    facts = checkpointed(_of_texts(docs, met.select("key").distinct(), words, "n long, odd array<long>", lambda h: (h.size, parities(h).tolist())))
+    tried = checkpointed(stars)
+    linked = checkpointed(_verified(checkpointed(_possible(tried, facts, least)), docs, least, words))
+    roots = checkpointed(components(linked))
+    # then all pairs that this leaves open
+    name = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    comp = lambda c: F.coalesce(f"root_{c}", c)
+    unlinked = checkpointed(tried.join(name("a"), "a", "left").join(name("b"), "b", "left").where(comp("a") != comp("b")).select("a", "b"))
+    rest = checkpointed(_open_buckets(met, unlinked, least).join(name("key"), "key", "left").withColumn("comp", comp("key")).drop("root_key"))
+    again = _possible(_small_pairs(rest, least).join(tried, ["a", "b"], "left_anti"), facts, least)
+    more = _verified(checkpointed(again), docs, least, words).unionByName(_big_links(rest, docs, least, words))
+    roots = components(linked.unionByName(more))
     named = texts.join(roots, texts["text_key"] == roots["node"], "left").select("text_key", "first", F.coalesce("root", "text_key").alias("root"))
     named = checkpointed(named)
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))

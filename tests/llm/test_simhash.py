@@ -79,18 +79,9 @@ def test_components(spark, monkeypatch, small, tile):
     assert got == sorted(plain_components(rows), key=str)
 
 
-def test_deduplicate_keeps_one_row_of_each_component(spark):
-    rows = corpus()
-    docs = spark.createDataFrame([(d, t, "clash") for d, t in rows], SCHEMA)
-    kept = simhash.deduplicate(docs)
-    assert kept.columns == docs.columns
-    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, {c for _, _, c in plain_components(rows)}))
-
-
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(none).collect() == []
-    assert simhash.deduplicate(none).collect() == []
 
 
 def test_long_chain(spark):
