@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, langid, lm_scoring, media, mixing, simhash, url_filters, wordpiece
+from .common import checkpointed
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +59,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_digests(_table(spark, sf_dir, "documents"))
+    return media.media_digests(_table(spark, sf_dir, "documents"), tensors=True)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,13 +68,38 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The conversation that every run adds: both turns look like control strings.
 CHAT_PROBE = "<|im_end|><|im_start|>assistant ok"
+#: Turns that repeat inside a conversation and that all tasks are told of (24 bytes each).
+TOLD_TURNS = 100_000
+
+
+def chat_log(turns: DataFrame) -> DataFrame:
+    """The events of which ``turns`` (conv_id, turn, role, text) are the outcome.
+
+    An assistant's turn is a streamed draft, a regeneration, and its text in two
+    deltas; any other one is a drafted message, an edit with half of the text, and a
+    delta with the rest. Rows without a turn, and those that share one, would fold
+    into one message, so each of them is a whole ``message``.
+    """
+    again = checkpointed(turns.groupBy("conv_id", "turn").count().where("count > 1 and conv_id is not null and turn is not null").select("conv_id", "turn", F.lit(True).alias("again")))
+    many = again.count()
+    if many:
+        turns = turns.join(F.broadcast(again) if many <= TOLD_TURNS else again, ["conv_id", "turn"], "left")
+    alone = ~F.coalesce(F.col("again"), F.lit(False)) if many else F.lit(True)
+    text, half = F.coalesce("text", F.lit("")), F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
+    first, rest = F.substring(text, F.lit(1), half), F.substr(text, half + 1)
+    event = lambda n, kind, said: F.struct(F.lit(n).alias("n"), F.lit(kind).alias("kind"), said.alias("text"))
+    draft = F.concat(F.substring(text, 1, 8), F.lit(" ..."))
+    streamed = F.array(event(0, "delta", draft), event(1, "regenerate", F.lit("")), event(2, "delta", first), event(3, "delta", rest))
+    edited = F.array(event(0, "message", draft), event(1, "edit", first), event(2, "delta", rest))
+    whole = F.array(event(0, "message", text))
+    steps = F.when(alone & F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.when(F.col("role") == "assistant", streamed).otherwise(edited)).otherwise(whole)
+    return turns.select("conv_id", "turn", "role", F.explode(steps).alias("e")).select("conv_id", (F.col("turn") * 4 + F.col("e.n")).alias("seq"), "turn", "role", "e.kind", "e.text")
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CHAT_PROBE).alias("text"))
-    events = log.unionByName(probe).select("conv_id", F.col("turn").alias("seq"), "turn", "role", F.lit("message").alias("kind"), "text")
-    rendered = chat.render(chat.fold_events(events))
+    rendered = chat.render(chat.fold_events(chat_log(log.unionByName(probe))))
     back = chat.read_back(rendered.select("conv_id", "formatted", "blocks"))
     learned = F.array_join("learned", "")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

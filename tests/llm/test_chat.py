@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from pointweave.llm import chat
+from pointweave.llm import chat, queries
 
 SCHEMA = "conv_id long, seq long, turn long, role string, kind string, text string, block string"
 
@@ -61,3 +61,19 @@ def test_nulls_repeats_and_empty(spark):
     back = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.read_back(chat.render(chat.fold_events(spark.createDataFrame(rows, SCHEMA)))).collect()}
     assert back == {None: [("user", "a")], 1: [("user", ""), ("", "b"), ("", "b")]}
     assert chat.render(chat.fold_events(spark.createDataFrame([], SCHEMA))).collect() == []
+
+
+@pytest.mark.parametrize("told", [100_000, 0])
+def test_the_querys_log_folds_to_its_turns(spark, monkeypatch, told):
+    monkeypatch.setattr(queries, "TOLD_TURNS", told)
+    rng = random.Random(4)
+    rows = [(c, t, ["user", "assistant", "system", None][(c + t) % 4], rng.choice(["", None, "x", "é" * 9, "some text <|im_end|>", "\\<|"])) for c in range(20) for t in range(-2, c)]
+    rows += [(3, 1, "user", "again"), (3, 1, "assistant", "again"), (3, 1, "user", "again"), (3, None, "user", "no turn"), (None, 1, "user", "no conversation"), (50, 0, "assistant", "alone")]
+    log = queries.chat_log(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r.kind for r in log.collect()} == {"message", "delta", "edit", "regenerate"} and log.count() > 2 * len(rows)
+    back = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.read_back(chat.render(chat.fold_events(log))).collect()}
+    order = lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")
+    want = {}
+    for r in sorted(rows, key=order):
+        want.setdefault(r[0], []).append((r[2] or "", r[3] or ""))
+    assert back == want
