@@ -45,8 +45,9 @@ def label(points: DataFrame, links: DataFrame) -> DataFrame:
     return points.select("point_id").join(found, "point_id", "left").select("point_id", F.coalesce("root", "point_id").alias("cluster_id"))
 
 
-def by_distance(points: DataFrame, delta: float, strict: bool = False) -> DataFrame:
-    """Single linkage: closure of distance <= delta (``strict``: < delta).
+def by_distance(points: DataFrame, delta: float, strict: bool = False, within: Sequence[str] = ()) -> DataFrame:
+    """Single linkage: closure of distance <= delta (``strict``: < delta), apart for
+    each value of the columns ``within``.
 
     Points are first joined to the others of their own small cell (side
     delta / 2, whose diagonal is below delta): such points are linked by one
@@ -54,14 +55,15 @@ def by_distance(points: DataFrame, delta: float, strict: bool = False) -> DataFr
     nodes, so a crowded spot costs one row, not all pairs.
     """
     side = delta / 2.0
-    cell = F.struct(*(F.floor(F.col(c) / side).cast("long").alias(f"g{c}") for c in "xyz"))
+    own = [F.col(c).alias(f"w{i}") for i, c in enumerate(within)]
+    cell = F.struct(*own, *(F.floor(F.col(c) / side).cast("long").alias(f"g{c}") for c in "xyz"))
     p = points.select("point_id", "x", "y", "z", cell.alias("cell"))
     star = p.groupBy("cell").agg(F.min("point_id").alias("a"))
     inside = p.join(star, "cell").select("a", F.col("point_id").alias("b"))
-    spots = p.dropDuplicates(["x", "y", "z"])
+    spots = p.dropDuplicates(["cell", "x", "y", "z"])
     reach = range(-3, 4)
     moves = [(i, j, k) for i in reach for j in reach for k in reach if (i, j, k) > (0, 0, 0) and sum(max(0, abs(m) - 1) ** 2 for m in (i, j, k)) * side * side <= delta * delta]
-    around = F.array(*(F.struct(*((F.col(f"cell.g{c}") + m).alias(f"g{c}") for c, m in zip("xyz", move))) for move in moves))
+    around = F.array(*(F.struct(*(F.col(f"cell.w{i}").alias(f"w{i}") for i in range(len(own))), *((F.col(f"cell.g{c}") + m).alias(f"g{c}") for c, m in zip("xyz", move))) for move in moves))
     # cells that meet: at most one row a pair of cells
     heads = star.select(F.col("cell"), F.col("a"))
     near_cells = heads.select(F.col("cell").alias("from_cell"), "a", F.explode(around).alias("cell")).join(heads.withColumnRenamed("a", "b"), "cell").select("from_cell", F.col("cell").alias("to_cell"), "a", "b")

@@ -7,7 +7,7 @@ triangulating run for each mesh or face in NumPy.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,8 @@ from . import cluster
 
 Mesh = tuple[DataFrame, DataFrame]
 V = "xyz"
+#: A face's triangles are numbered face * FAN and up.
+FAN = 1 << 24
 
 
 def create(spark: SparkSession, vertices: np.ndarray, faces: Sequence[Sequence[int]], mesh_id: int = 0) -> Mesh:
@@ -165,6 +167,24 @@ def with_positions(mesh: Mesh) -> DataFrame:
     return mesh[1].join(mesh[0], ["mesh_id", "vi"])
 
 
+def _by_face(mesh: Mesh, make: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``make`` of whole faces with positions, a batch at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf])
+            last = (pdf["mesh_id"] == pdf["mesh_id"].iloc[-1]) & (pdf["fi"] == pdf["fi"].iloc[-1])
+            held = pdf[last]  # may go on in the next batch
+            if not last.all():
+                yield make(pdf[~last])
+        if held is not None:
+            yield make(held)
+
+    faces = with_positions(mesh).repartition("mesh_id", "fi").sortWithinPartitions("mesh_id", "fi", "fs")
+    return faces.mapInPandas(run, schema)
+
+
 def face_triangles(mesh: Mesh) -> DataFrame:
     """Fan triangles (mesh_id, fi, k, a.., b.., c..) of every face."""
     p = with_positions(mesh).groupBy("mesh_id", "fi").agg(F.array_sort(F.collect_list(F.struct("fs", "vi", "x", "y", "z"))).alias("ps"))
@@ -174,9 +194,10 @@ def face_triangles(mesh: Mesh) -> DataFrame:
 
 
 def as_objects(mesh: Mesh) -> DataFrame:
-    """Fan triangles as objects for ray queries; object_id packs face and fan step."""
+    """Fan triangles as objects for ray queries; object_id is (mesh_id, fi, k), which
+    keeps the triangles of several meshes and of faces of any size apart."""
     t = face_triangles(mesh)
-    return t.select((F.col("fi") * 4096 + F.col("k") - 1).alias("object_id"), F.lit("triangle").alias("kind"), *(F.col(f"{n}{x}") for n in "abc" for x in V), F.lit(0.0).alias("r"))
+    return t.select(F.struct("mesh_id", "fi", (F.col("k") - 1).alias("k")).alias("object_id"), F.lit("triangle").alias("kind"), *(F.col(f"{n}{x}") for n in "abc" for x in V), F.lit(0.0).alias("r"))
 
 
 def _fan_cross() -> list[Column]:
@@ -281,13 +302,14 @@ def transformed(mesh: Mesh, matrix) -> Mesh:
 
 
 def vertex_clustered(mesh: Mesh, delta: float) -> Mesh:
-    """Vertices closer than ``delta`` collapse to their centroid; faces that
-    lose a dimension go. One mesh at a time."""
-    p = mesh[0].select(F.col("vi").alias("point_id"), *V)
-    labels = cluster.by_distance(p, delta)
-    centres = cluster.centroids(p, labels)
-    v = centres.select(F.lit(0).cast("long").alias("mesh_id"), F.col("cluster_id").alias("vi"), *(F.col(f"c{x}").alias(x) for x in V))
-    c = mesh[1].join(labels, F.col("vi") == F.col("point_id")).select(F.lit(0).cast("long").alias("mesh_id"), "fi", "fs", F.col("cluster_id").alias("vi"))
+    """Vertices of one mesh closer than ``delta`` collapse to their centroid; faces
+    that lose a dimension go."""
+    p = mesh[0].select("mesh_id", F.struct("mesh_id", "vi").alias("point_id"), *V)
+    labels = cluster.by_distance(p, delta, within=["mesh_id"])
+    mean = p.join(labels, "point_id").groupBy("cluster_id").agg(*(F.avg(x).alias(x) for x in V))
+    v = mean.select("cluster_id.mesh_id", "cluster_id.vi", *V)
+    new = labels.select("point_id.mesh_id", "point_id.vi", F.col("cluster_id.vi").alias("new"))
+    c = mesh[1].join(new, ["mesh_id", "vi"]).select("mesh_id", "fi", "fs", F.col("new").alias("vi"))
     return compacted(without_degenerate((v, c)))
 
 
@@ -333,12 +355,10 @@ def triangulated(mesh: Mesh) -> Mesh:
                 a, b, c = tri
                 if np.dot(np.cross(p[b] - p[a], p[c] - p[a]), n) < 0:
                     tri = (a, c, b)
-                rows += [(m, f * 4096 + k, s, vi[i]) for s, i in enumerate(tri)]
+                rows += [(m, f * FAN + k, s, vi[i]) for s, i in enumerate(tri)]
         return pd.DataFrame(rows, columns=["mesh_id", "fi", "fs", "vi"])
 
-    bucket = F.pmod(F.xxhash64("mesh_id", "fi"), F.lit(1024)).alias("bucket")
-    c = with_positions(mesh).groupBy(bucket).applyInPandas(cut, "mesh_id long, fi long, fs long, vi long")
-    return mesh[0], c
+    return mesh[0], _by_face(mesh, cut, "mesh_id long, fi long, fs long, vi long")
 
 
 def clip(mesh: Mesh, normal: Sequence[float], offset: float) -> DataFrame:
@@ -362,8 +382,7 @@ def clip(mesh: Mesh, normal: Sequence[float], offset: float) -> DataFrame:
                 rows += [(m, f, s, *q) for s, q in enumerate(kept)]
         return pd.DataFrame(rows, columns=["mesh_id", "fi", "fs", *V])
 
-    bucket = F.pmod(F.xxhash64("mesh_id", "fi"), F.lit(1024)).alias("bucket")
-    return with_positions(mesh).groupBy(bucket).applyInPandas(cut, "mesh_id long, fi long, fs long, x double, y double, z double")
+    return _by_face(mesh, cut, "mesh_id long, fi long, fs long, x double, y double, z double")
 
 
 def split(mesh: Mesh, normal: Sequence[float], offset: float) -> tuple[DataFrame, DataFrame]:

@@ -4,17 +4,22 @@ Objects are rows (object_id, kind, then numbers by kind): ``box`` a = low and
 b = high corner; ``sphere`` a = centre, r; ``cylinder`` a, b = axis ends, r;
 ``triangle`` a, b, c; ``line`` a, b (no ray hits it).
 
-Rays and objects meet through a grid: an object goes to the cells of its box, a
-ray to the cells along it. Where the objects' count is known to be small
-(``SMALL``), they are sent to all tasks instead.
+Objects lie in grids of several levels, each in that whose cells are about its size,
+so that it is in a few cells. Rays meet them in the cells along the ray, points in
+the cells around, ring by ring. Where the objects' count is known to be small
+(``SMALL``), rays have them sent to all tasks instead.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL = 10_000
+from ..session import checkpointed
+
+SMALL = 256
 V = "xyz"
 COLUMNS = ["object_id", "kind", *(f"{p}{a}" for p in "abc" for a in V), "r"]
 
@@ -104,6 +109,48 @@ def object_bounds(objects: DataFrame) -> DataFrame:
     return objects.withColumns(out)
 
 
+@dataclass(frozen=True)
+class Levels:
+    """Grids over the box ``low`` .. ``high``: cells of level i have the side ``side`` * 2**i."""
+
+    low: tuple[float, ...]
+    high: tuple[float, ...]
+    side: float
+    used: tuple[int, ...]
+
+    @staticmethod
+    def of(objects: DataFrame) -> Levels | None:
+        """For objects with bounds: about one a cell, if they were spread evenly."""
+        whole = objects.agg(F.count(F.lit(1)).alias("n"), *(F.min(f"bb_min_{a}").alias(f"l{a}") for a in V), *(F.max(f"bb_max_{a}").alias(f"h{a}") for a in V)).first()
+        if not whole.n:
+            return None
+        low, high = (tuple(float(whole[f"{c}{a}"]) for a in V) for c in "lh")
+        span = max(h - lo for h, lo in zip(high, low))
+        side = span / max(1.0, whole.n ** (1 / 3)) or 1.0
+        grid = Levels(low, high, side, ())
+        return Levels(low, high, side, tuple(sorted(r[0] for r in objects.select(grid.level()).distinct().collect())))
+
+    def level(self, least: int = 0) -> Column:
+        """The level of an object with bounds."""
+        size = F.greatest(*(F.col(f"bb_max_{a}") - F.col(f"bb_min_{a}") for a in V))
+        return F.greatest(F.lit(least), F.ceil(F.log2(F.greatest(size / self.side, F.lit(1.0)))).cast("int"))
+
+    def at(self, a: str, value: Column, level: Column | int) -> Column:
+        scale = F.lit(self.side) * F.pow(F.lit(2.0), level)
+        return F.floor((value - self.low[V.index(a)]) / scale).cast("long")
+
+    def cells(self, df: DataFrame, lo: dict[str, Column], hi: dict[str, Column]) -> DataFrame:
+        """A row for each cell (gx, gy, gz) of column level that meets the box."""
+        for a in V:
+            df = df.withColumn(f"g{a}", F.explode(F.sequence(self.at(a, lo[a], F.col("level")), self.at(a, hi[a], F.col("level")))))
+        return df
+
+    def objects(self, df: DataFrame, least: int = 0) -> DataFrame:
+        slack = self.side * 1e-9  # a ray along a border looks at one side alone
+        df = df.withColumn("level", self.level(least))
+        return self.cells(df, {a: F.col(f"bb_min_{a}") - slack for a in V}, {a: F.col(f"bb_max_{a}") + slack for a in V})
+
+
 def hits(rays: DataFrame, objects: DataFrame, object_filter: Column | None = None, hit_filter: Column | None = None) -> DataFrame:
     """All (ray_id, object_id, t) with t_min <= t <= t_max.
 
@@ -114,42 +161,52 @@ def hits(rays: DataFrame, objects: DataFrame, object_filter: Column | None = Non
     for c, v in (("t_min", 0.0), ("t_max", float("inf"))):
         r = r if c in rays.columns else r.withColumn(c, F.lit(v))
     o = objects if object_filter is None else objects.where(object_filter)
-    r = r.repartition(rays.sparkSession.sparkContext.defaultParallelism)  # few rays can mean much work
     sizes = {k: n for k, n in o.groupBy("kind").count().collect()}  # a row a kind
     out = None
     for kind in sorted(HITS.keys() & sizes.keys()):  # apart, so that each kind's code stays small
         own = o.where(F.col("kind") == kind)
-        pairs = r.crossJoin(F.broadcast(own)) if sizes[kind] <= SMALL else _by_grid(r, own)
+        few = sizes[kind] <= SMALL
+        pairs = r.crossJoin(F.broadcast(own)) if few else _by_grid(r, own)
         found = pairs.withColumn("t", HITS[kind]()).where(F.col("t").between(F.col("t_min"), F.col("t_max")))
         if hit_filter is not None:
             found = found.where(hit_filter)
         found = found.select("ray_id", "object_id", "t")
+        found = found if few else found.distinct()  # a pair may share several cells
         out = found if out is None else out.unionByName(found)
     return r.select("ray_id", F.lit(0).alias("object_id"), F.lit(0.0).alias("t")).where(F.lit(False)) if out is None else out
 
 
-def _by_grid(rays: DataFrame, objects: DataFrame, cells: int = 64) -> DataFrame:
-    """Ray-object pairs that share a cell of a grid over the objects' bounds."""
+def _shifted(by: Column, scale: Column):
+    return lambda x: (x + by) / scale
+
+
+def _by_grid(rays: DataFrame, objects: DataFrame) -> DataFrame:
+    """Ray-object pairs that share a cell; a ray's cells lie between the planes it crosses."""
     b = object_bounds(objects)
-    whole = b.agg(*(F.min(f"bb_min_{a}").alias(f"l{a}") for a in V), *(F.max(f"bb_max_{a}").alias(f"h{a}") for a in V)).first()
-    low = [float(whole[f"l{a}"]) for a in V]
-    size = [max(1e-12, (float(whole[f"h{a}"]) - lo) / cells) for a, lo in zip(V, low)]
-    spans = [F.sequence(F.floor((F.col(f"bb_min_{a}") - lo) / s).cast("int"), F.floor((F.col(f"bb_max_{a}") - lo) / s).cast("int")) for a, lo, s in zip(V, low, size)]
-    o = b
-    for a, span in zip(V, spans):
-        o = o.withColumn(f"g{a}", F.explode(span))
-    # a ray visits cells in steps of half a cell along it, and their neighbours
-    length = F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2 + F.col("dz") ** 2)
-    step = min(size) / 2 / length
-    start, end = F.greatest(F.col("t_min"), F.col("_in")), F.least(F.col("t_max"), F.col("_out"))
-    slab = [((F.lit(lo) - F.col(f"o{a}")) / F.nullif(F.col(f"d{a}"), F.lit(0.0)), (F.lit(lo + s * cells) - F.col(f"o{a}")) / F.nullif(F.col(f"d{a}"), F.lit(0.0))) for a, lo, s in zip(V, low, size)]
-    r = rays.withColumn("_in", F.greatest(*(F.coalesce(F.least(x, y), F.lit(float("-inf"))) for x, y in slab))).withColumn("_out", F.least(*(F.coalesce(F.greatest(x, y), F.lit(float("inf"))) for x, y in slab)))
-    r = r.where(start <= end).withColumn("_t", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.ceil((end - start) / step)), lambda i: start + i * step)))
-    for a, lo, s in zip(V, low, size):
-        at = F.floor((F.col(f"o{a}") + F.col("_t") * F.col(f"d{a}") - lo) / s).cast("int")
-        r = r.withColumn(f"g{a}", F.explode(F.array(at - 1, at, at + 1)))
-    r = r.drop("_in", "_out", "_t").dropDuplicates(["ray_id", "gx", "gy", "gz"])
-    return r.join(o, ["gx", "gy", "gz"]).dropDuplicates(["ray_id", "object_id"])
+    grid = Levels.of(b)
+    slab = []
+    for a, lo, hi in zip(V, grid.low, grid.high):
+        o, d = F.col(f"o{a}"), F.nullif(F.col(f"d{a}"), F.lit(0.0))
+        slab.append(((F.lit(lo) - o) / d, (F.lit(hi) - o) / d))
+    start = F.greatest(F.col("t_min"), *(F.coalesce(F.least(x, y), F.lit(float("-inf"))) for x, y in slab))
+    end = F.least(F.col("t_max"), *(F.coalesce(F.greatest(x, y), F.lit(float("inf"))) for x, y in slab))
+    r = rays.withColumn("_in", start).withColumn("_out", end).where("_in <= _out")
+    r = r.withColumn("level", F.explode(F.array(*map(F.lit, grid.used))))
+    scale = F.lit(grid.side) * F.pow(F.lit(2.0), F.col("level"))
+    crossed = []
+    for a, lo in zip(V, grid.low):
+        o, d = F.col(f"o{a}"), F.col(f"d{a}")
+        ends = [grid.at(a, o + F.col(t) * d, F.col("level")) for t in ("_in", "_out")]
+        planes = F.sequence(F.least(*ends), F.greatest(*ends) + 1)
+        zero, d0 = F.lit(lo) - o, F.nullif(d, F.lit(0.0))
+        times = F.transform(F.transform(planes, lambda i: i * scale), _shifted(zero, d0))
+        crossed.append(F.when(d != 0, F.filter(times, lambda t: (t > F.col("_in")) & (t < F.col("_out")))).otherwise(F.array().cast("array<double>")))
+    times = F.array_sort(F.array_distinct(F.concat(F.array("_in", "_out"), *crossed)))
+    r = r.withColumn("_ts", times)
+    middle = F.when(F.size("_ts") == 1, F.col("_ts")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_ts") - 1, F.lit(1))), lambda i: (F.element_at("_ts", i) + F.element_at("_ts", i + 1)) / 2))
+    r = r.withColumn("_t", F.explode(middle))
+    r = r.withColumns({f"g{a}": grid.at(a, F.col(f"o{a}") + F.col("_t") * F.col(f"d{a}"), F.col("level")) for a in V}).drop("_in", "_out", "_ts", "_t")
+    return r.join(grid.objects(b), ["level", "gx", "gy", "gz"])
 
 
 def nearest_hit(rays: DataFrame, objects: DataFrame, **filters: Column) -> DataFrame:
@@ -158,12 +215,8 @@ def nearest_hit(rays: DataFrame, objects: DataFrame, **filters: Column) -> DataF
     return found.select("ray_id", "h.object_id", "h.t")
 
 
-def closest(queries: DataFrame, objects: DataFrame) -> DataFrame:
-    """(query_id, object_id, distance): the object nearest to each point (x, y, z),
-    to a surface; 0 inside boxes, spheres and cylinders. Ties: least object_id."""
-    # more objects than a task should hold meet the points part by part
-    few = objects.limit(SMALL + 1).count() <= SMALL
-    pairs = queries.crossJoin(F.broadcast(objects) if few else objects)
+def _distance() -> Column:
+    """Of the point x, y, z from an object."""
     q = [F.col(a) for a in V]
     k = F.col("kind")
     outside = [F.greatest(F.col(f"a{a}") - p, F.lit(0.0), p - F.col(f"b{a}")) for a, p in zip(V, q)]
@@ -171,9 +224,39 @@ def closest(queries: DataFrame, objects: DataFrame) -> DataFrame:
     e = _sub(q, vec("a"))
     sphere = F.greatest(F.lit(0.0), F.sqrt(_dot(e, e)) - F.col("r"))
     segment = _segment(q, vec("a"), vec("b"))
-    d = F.when(k == "box", box).when(k == "sphere", sphere).when(k == "line", segment).when(k == "cylinder", F.greatest(F.lit(0.0), segment - F.col("r"))).when(k == "triangle", _triangle(q))
-    found = pairs.withColumn("distance", d).groupBy("query_id").agg(F.min(F.struct("distance", "object_id")).alias("h"))
-    return found.select("query_id", "h.object_id", "h.distance")
+    return F.when(k == "box", box).when(k == "sphere", sphere).when(k == "line", segment).when(k == "cylinder", F.greatest(F.lit(0.0), segment - F.col("r"))).when(k == "triangle", _triangle(q))
+
+
+def closest(queries: DataFrame, objects: DataFrame) -> DataFrame:
+    """(query_id, object_id, distance): the object nearest to each point (x, y, z),
+    to a surface; 0 inside boxes, spheres and cylinders. Ties: least object_id.
+
+    Points look at the cells within a radius. One whose nearest object there is no
+    farther than that is done; the others try again with twice the radius, so the
+    rounds grow with the logarithm of the largest distance.
+    """
+    b = object_bounds(objects)
+    grid = Levels.of(b)
+    todo, done, k = queries.select("query_id", *V), None, 0
+    if grid is None:
+        return b.join(todo.limit(0)).select("query_id", "object_id", F.lit(0.0).alias("distance"))
+    while True:
+        radius = grid.side * 2.0**k
+        levels = sorted({max(k, i) for i in grid.used})
+        q = todo.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+        # no further than the objects' own box
+        near = {a: (F.greatest(F.col(a) - radius, F.lit(lo)), F.least(F.col(a) + radius, F.lit(hi))) for a, lo, hi in zip(V, grid.low, grid.high)}
+        for x, y in near.values():
+            q = q.where(x <= y)
+        q = grid.cells(q, {a: x for a, (x, _) in near.items()}, {a: y for a, (_, y) in near.items()})
+        pairs = q.join(grid.objects(b, k), ["level", "gx", "gy", "gz"])
+        best = pairs.withColumn("distance", _distance()).groupBy("query_id").agg(F.min(F.struct("distance", "object_id")).alias("h"))
+        best = checkpointed(best.where(F.col("h.distance") <= radius).select("query_id", "h.object_id", "h.distance"))
+        done = best if done is None else done.unionByName(best)
+        todo = checkpointed(todo.join(best, "query_id", "left_anti").where(" and ".join(f"{a} is not null and not isnan({a})" for a in V)))
+        if todo.isEmpty():
+            return done
+        k += 1
 
 
 def _segment(q, a, b) -> Column:

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import astro, colour, frames, geodesy, geom, sky
 from ..operators import cells, cluster, filters, knn, mask, mesh, normals, octree, points, rays
-from ..sources import ascii
+from ..session import shared_path
+from ..sources import ascii, binary, registry
+from ..streaming import ingest
 from . import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -316,9 +318,12 @@ def _tree(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return p, octree.nodes(p, LI_ROOT, LIMIT)
 
 
-#: Prefix counts of all levels; a leaf has few points and a parent with many.
+#: Points are counted at the deepest level once and rolled up; a leaf has few points
+#: and a parent with many.
+_UP = "".join(f", c{i} AS (SELECT {i} AS level, cx >> 1 AS cx, cy >> 1 AS cy, cz >> 1 AS cz, CAST(sum(n) AS BIGINT) AS n FROM c{i + 1} GROUP BY ALL)" for i in range(20, -1, -1))
 TREE = f"""WITH t AS (SELECT li.*, CAST(floor(x / 128e0 * 2097152e0) AS BIGINT) AS tx, CAST(floor(y / 128e0 * 2097152e0) AS BIGINT) AS ty, CAST(floor(z / 128e0 * 2097152e0) AS BIGINT) AS tz FROM li),
-c AS (SELECT CAST(l AS INTEGER) AS level, tx >> (21 - l) AS cx, ty >> (21 - l) AS cy, tz >> (21 - l) AS cz, count(*) AS n FROM t, generate_series(0, 21) g(l) GROUP BY ALL),
+c21 AS (SELECT 21 AS level, tx AS cx, ty AS cy, tz AS cz, count(*) AS n FROM t GROUP BY ALL){_UP},
+c AS ({" UNION ALL ".join(f"SELECT * FROM c{i}" for i in range(22))}),
 nodes AS (SELECT c.*, (c.n <= {LIMIT} OR c.level = 21) AS is_leaf FROM c LEFT JOIN c p ON p.level = c.level - 1 AND p.cx = c.cx >> 1 AND p.cy = c.cy >> 1 AND p.cz = c.cz >> 1 WHERE c.level = 0 OR p.n > {LIMIT})"""
 add("octree_nodes", lambda s, d: _tree(s, d)[1], f"{TREE} SELECT level, cx, cy, cz, n, is_leaf FROM nodes")
 add(
@@ -424,7 +429,44 @@ def objects(s: SparkSession, d: str) -> DataFrame:
 OBJ = """obj AS (SELECT p_partkey AS object_id, CASE p_partkey % 3 WHEN 0 THEN 'box' WHEN 1 THEN 'sphere' ELSE 'triangle' END AS kind,
   p_partkey * 7 % 97 + 0e0 AS ax, p_partkey * 11 % 97 + 0e0 AS ay, p_partkey * 13 % 97 + 0e0 AS az,
   p_partkey * 7 % 97 + 1e0 + p_size % 5 AS bx, p_partkey * 11 % 97 + 1e0 + p_size % 5 AS by_, p_partkey * 13 % 97 + 1e0 + p_size % 5 AS bz,
-  p_size % 4 + 1e0 AS r FROM part)"""
+  p_partkey * 7 % 97 + 3e0 AS cx, p_partkey * 11 % 97 + 0e0 AS cy, p_partkey * 13 % 97 + 2e0 AS cz, p_size % 4 + 1e0 AS r FROM part)"""
+
+
+def v_sub(a, b) -> list[str]:
+    return [f"({x} - {y})" for x, y in zip(a, b)]
+
+
+def v_dot(a, b) -> str:
+    return "(" + " + ".join(f"{x} * {y}" for x, y in zip(a, b)) + ")"
+
+
+def v_cross(a, b) -> list[str]:
+    return [f"({a[1]} * {b[2]} - {a[2]} * {b[1]})", f"({a[2]} * {b[0]} - {a[0]} * {b[2]})", f"({a[0]} * {b[1]} - {a[1]} * {b[0]})"]
+
+
+_PA, _PB, _PC, _PO, _PD, _PQ = (["ax", "ay", "az"], ["bx", "by_", "bz"], ["cx", "cy", "cz"], ["ox", "oy", "oz"], ["dx", "dy", "dz"], ["x", "y", "z"])
+
+
+def triangle_hit_sql(table: str, keep: str) -> str:
+    """(.., t): hits of rays at triangles by Cramer's rule."""
+    e1, e2 = v_sub(_PB, _PA), v_sub(_PC, _PA)
+    p = v_cross(_PD, e2)
+    s, q = v_sub(_PO, _PA), v_cross(v_sub(_PO, _PA), e1)
+    return f"SELECT {keep}, w / det AS t FROM (SELECT *, {v_dot(e1, p)} AS det, {v_dot(s, p)} AS u, {v_dot(_PD, q)} AS v, {v_dot(e2, q)} AS w FROM {table}) WHERE det <> 0 AND u / det >= 0 AND v / det >= 0 AND u / det + v / det <= 1 AND w / det >= 0"
+
+
+def _near_segment_sql(q, a, b) -> str:
+    axis = v_sub(b, a)
+    t = f"coalesce(greatest(0e0, least(1e0, {v_dot(v_sub(q, a), axis)} / nullif({v_dot(axis, axis)}, 0e0))), 0e0)"
+    e = [f"({p} - ({x} + {t} * {y}))" for p, x, y in zip(q, a, axis)]
+    return f"sqrt({v_dot(e, e)})"
+
+
+def _near_triangle_sql(q, a, b, c) -> str:
+    k = v_cross(v_sub(b, a), v_sub(c, a))
+    inside = " AND ".join(f"{v_dot(v_cross(v_sub(y, x), v_sub(q, x)), k)} >= 0" for x, y in ((a, b), (b, c), (c, a)))
+    edges = ", ".join(_near_segment_sql(q, x, y) for x, y in ((a, b), (b, c), (c, a)))
+    return f"CASE WHEN {inside} AND {v_dot(k, k)} > 0 THEN abs({v_dot(v_sub(q, a), k)}) / sqrt({v_dot(k, k)}) ELSE least({edges}) END"
 
 
 def ray_set(s: SparkSession, d: str) -> DataFrame:
@@ -451,7 +493,12 @@ add(
     f"WITH {OBJ}, {RAYS}, h AS (SELECT ray_id, object_id, {_A2} AS a, {_B2} AS b, {_B2} * {_B2} - {_A2} * {_C2} AS root FROM rays, obj WHERE kind = 'sphere'), g AS (SELECT ray_id, object_id, CASE WHEN (-b - sqrt(root)) / a >= 0 THEN (-b - sqrt(root)) / a ELSE (-b + sqrt(root)) / a END AS t FROM h WHERE root >= 0) SELECT ray_id, object_id, round(t, 6) AS t FROM g WHERE t >= 0",
     False,
 )
-add("ray_triangles", lambda s, d: rays.all_hits_ranked(ray_set(s, d), objects(s, d).where("kind = 'triangle'")).select("ray_id", "object_id", F.round("t", 6).alias("t"), "nth"))
+add(
+    "ray_triangles",
+    lambda s, d: rays.all_hits_ranked(ray_set(s, d), objects(s, d).where("kind = 'triangle'")).select("ray_id", "object_id", F.round("t", 6).alias("t"), F.col("nth").cast("long").alias("nth")),
+    f"WITH {OBJ}, {RAYS}, h AS ({triangle_hit_sql("(SELECT * FROM rays, obj WHERE kind = 'triangle')", 'ray_id, object_id')}) SELECT ray_id, object_id, round(t, 6) AS t, row_number() OVER (PARTITION BY ray_id ORDER BY t, object_id) AS nth FROM h",
+    False,
+)
 
 
 def _probes(s: SparkSession, d: str) -> DataFrame:
@@ -464,7 +511,13 @@ add(
     f"WITH {OBJ}, q AS (SELECT s_suppkey AS query_id, s_suppkey * 17 % 97 + 0.5e0 AS x, s_suppkey * 19 % 97 + 0.5e0 AS y, s_suppkey * 23 % 97 + 0.5e0 AS z FROM supplier), g AS (SELECT query_id, object_id, greatest(0e0, sqrt((x - ax) * (x - ax) + (y - ay) * (y - ay) + (z - az) * (z - az)) - r) AS d FROM q, obj WHERE kind = 'sphere') SELECT query_id, object_id, round(d, 6) AS distance FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, object_id) = 1",
     False,
 )
-add("closest_object", lambda s, d: rays.closest(_probes(s, d), objects(s, d)).select("query_id", "object_id", F.round("distance", 6).alias("distance")))
+_OUTSIDE = [f"greatest({a} - {q}, 0e0, {q} - {b})" for a, b, q in zip(_PA, _PB, _PQ)]
+add(
+    "closest_object",
+    lambda s, d: rays.closest(_probes(s, d), objects(s, d)).select("query_id", "object_id", F.round("distance", 6).alias("distance")),
+    f"WITH {OBJ}, q AS (SELECT s_suppkey AS query_id, s_suppkey * 17 % 97 + 0.5e0 AS x, s_suppkey * 19 % 97 + 0.5e0 AS y, s_suppkey * 23 % 97 + 0.5e0 AS z FROM supplier), g AS (SELECT query_id, object_id, CASE kind WHEN 'box' THEN sqrt({v_dot(_OUTSIDE, _OUTSIDE)}) WHEN 'sphere' THEN greatest(0e0, sqrt({v_dot(v_sub(_PQ, _PA), v_sub(_PQ, _PA))}) - r) ELSE {_near_triangle_sql(_PQ, _PA, _PB, _PC)} END AS d FROM q, obj) SELECT query_id, object_id, round(d, 6) AS distance FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, object_id) = 1",
+    False,
+)
 _MEET = " AND ".join(f"(CASE kind WHEN 'sphere' THEN a{a} + r ELSE greatest(a{a}, {b}) END) >= 20 AND (CASE kind WHEN 'sphere' THEN a{a} - r ELSE least(a{a}, {b}) END) <= 60" for a, b in (("x", "bx"), ("y", "by_"), ("z", "bz")))
 add("objects_meeting_box", lambda s, d: rays.meeting_box(objects(s, d).where("kind <> 'triangle'").withColumns({f"c{a}": F.lit(None).cast("double") for a in "xyz"}), (20, 20, 20), (60, 60, 60)), f"WITH {OBJ} SELECT object_id FROM obj WHERE kind <> 'triangle' AND {_MEET}", False)
 add("objects_inside_box", lambda s, d: rays.inside_box(objects(s, d).where("kind = 'sphere'"), (20, 20, 20), (60, 60, 60)), f"WITH {OBJ} SELECT object_id FROM obj WHERE kind = 'sphere' AND ax - r >= 20 AND ay - r >= 20 AND az - r >= 20 AND ax + r <= 60 AND ay + r <= 60 AND az + r <= 60", False)
@@ -509,21 +562,48 @@ mesh_query(
     lambda m: mesh.face_geometry(m).select("mesh_id", "fi", *(F.round(k, 6).alias(k) for k in ("area", "nx", "ny", "nz", "cx", "cy", "cz"))),
     ", s AS (SELECT mesh_id, fi, sum(sx) AS sx, sum(sy) AS sy, sum(sz) AS sz FROM fan GROUP BY 1, 2), u AS (SELECT *, sqrt(sx * sx + sy * sy + sz * sz) AS area FROM s), w AS (SELECT f.mesh_id, f.fi, (f.sx * u.sx + f.sy * u.sy + f.sz * u.sz) / area AS k, (ax + bx + cx) / 3 AS px, (ay + by_ + cy) / 3 AS py, (az + bz + cz) / 3 AS pz FROM fan f JOIN u USING (mesh_id, fi)) SELECT mesh_id, fi, round(any_value(area), 6) AS area, round(any_value(sx / area), 6) AS nx, round(any_value(sy / area), 6) AS ny, round(any_value(sz / area), 6) AS nz, round(sum(k * px) / any_value(area), 6) AS cx, round(sum(k * py) / any_value(area), 6) AS cy, round(sum(k * pz) / any_value(area), 6) AS cz FROM u JOIN w USING (mesh_id, fi) GROUP BY 1, 2",
 )
-mesh_query("mesh_vertex_normals", lambda m: mesh.vertex_normals(m, 60.0))
-mesh_query("mesh_outline", lambda m: mesh.outline(m, (0.0, -50.0, 2.0)))
-mesh_query("mesh_planar_clusters", lambda m: mesh.planar_clusters(m, 0.9))
+#: Faces with area, normal and centre.
+FACE = """, s AS (SELECT mesh_id, fi, sum(sx) AS sx, sum(sy) AS sy, sum(sz) AS sz FROM fan GROUP BY 1, 2), u AS (SELECT *, sqrt(sx * sx + sy * sy + sz * sz) AS area FROM s),
+w AS (SELECT f.mesh_id, f.fi, (f.sx * u.sx + f.sy * u.sy + f.sz * u.sz) / area AS k, (ax + bx + cx) / 3 AS px, (ay + by_ + cy) / 3 AS py, (az + bz + cz) / 3 AS pz FROM fan f JOIN u USING (mesh_id, fi)),
+face AS (SELECT mesh_id, fi, any_value(area) AS area, any_value(sx / area) AS nx, any_value(sy / area) AS ny, any_value(sz / area) AS nz, sum(k * px) / any_value(area) AS mx, sum(k * py) / any_value(area) AS my, sum(k * pz) / any_value(area) AS mz FROM u JOIN w USING (mesh_id, fi) GROUP BY 1, 2)"""
+mesh_query(
+    "mesh_vertex_normals",
+    lambda m: mesh.vertex_normals(m, 60.0).select("mesh_id", "fi", "vi", *((F.round(k, 6) + 0.0).alias(k) for k in ("nx", "ny", "nz"))),
+    FACE + f", cor AS (SELECT c.mesh_id, c.fi, c.vi, area, nx, ny, nz FROM c JOIN face USING (mesh_id, fi)), t AS (SELECT o.mesh_id, o.fi, o.vi, sum(p.area * p.nx) AS tx, sum(p.area * p.ny) AS ty, sum(p.area * p.nz) AS tz FROM cor o JOIN cor p ON o.mesh_id = p.mesh_id AND o.vi = p.vi AND o.nx * p.nx + o.ny * p.ny + o.nz * p.nz >= {n(math.cos(math.radians(60)))} - 1e-12 GROUP BY 1, 2, 3) SELECT mesh_id, fi, vi, {', '.join(f'round(t{a} / sqrt(tx * tx + ty * ty + tz * tz), 6) + 0e0 AS n{a}' for a in 'xyz')} FROM t",
+)
+mesh_query(
+    "mesh_outline",
+    lambda m: mesh.outline(m, (0.0, -50.0, 2.0)),
+    FACE + ", side AS (SELECT mesh_id, fi, nx * (0e0 - mx) + ny * (-50e0 - my) + nz * (2e0 - mz) > 0 AS front FROM face), ee AS (SELECT mesh_id, least(v0, v1) AS a, greatest(v0, v1) AS b, count(*) AS n, count(DISTINCT front) AS sides FROM he JOIN side USING (mesh_id, fi) GROUP BY 1, 2, 3) SELECT mesh_id, a, b FROM ee WHERE n = 1 OR sides = 2",
+)
+_REACH = "(SELECT mesh_id, {x} AS a, {x} AS b FROM {of} UNION SELECT r.mesh_id, r.a, p.b FROM r JOIN pairs p ON p.mesh_id = r.mesh_id AND p.a = r.b)"
+add(
+    "mesh_planar_clusters",
+    lambda s, d: mesh.planar_clusters(height_field(s, d), 0.9),
+    f"WITH RECURSIVE {MESH}{FACE}, pairs AS (SELECT DISTINCT p.mesh_id, p.fi AS a, q.fi AS b FROM he p JOIN he q ON p.mesh_id = q.mesh_id AND p.fi <> q.fi AND least(p.v0, p.v1) = least(q.v0, q.v1) AND greatest(p.v0, p.v1) = greatest(q.v0, q.v1) JOIN face f ON f.mesh_id = p.mesh_id AND f.fi = p.fi JOIN face g ON g.mesh_id = q.mesh_id AND g.fi = q.fi WHERE f.nx * g.nx + f.ny * g.ny + f.nz * g.nz >= 0.9e0), r AS {_REACH.format(x='fi', of='face')} SELECT mesh_id, a AS fi, min(b) AS cluster FROM r GROUP BY 1, 2",
+    False,
+)
 mesh_query("mesh_subset", lambda m: mesh.subset(m, F.col("fi") < 5)[1], ", u AS (SELECT DISTINCT mesh_id, vi FROM c WHERE fi < 5), w AS (SELECT *, row_number() OVER (PARTITION BY mesh_id ORDER BY vi) - 1 AS new FROM u) SELECT c.mesh_id, fi, fs, new AS vi FROM c JOIN w USING (mesh_id, vi) WHERE fi < 5")
 mesh_query("mesh_reversed", lambda m: mesh.reversed_faces(m[1]), "SELECT mesh_id, fi, 3 - fs AS fs, vi FROM c")
-mesh_query("mesh_without_degenerate", lambda m: mesh.without_degenerate((m[0], m[1].withColumn("vi", F.when(F.col("vi") == 7, 1).otherwise(F.col("vi")).cast("long"))))[1])
+mesh_query("mesh_without_degenerate", lambda m: mesh.without_degenerate((m[0], m[1].withColumn("vi", F.when(F.col("vi") == 7, 1).otherwise(F.col("vi")).cast("long"))))[1], ", d AS (SELECT mesh_id, fi, fs, CASE vi WHEN 7 THEN 1 ELSE vi END AS vi FROM c), h AS (SELECT a.mesh_id, a.fi, a.fs, a.vi AS v0, b.vi AS v1 FROM d a JOIN d b ON a.mesh_id = b.mesh_id AND a.fi = b.fi AND b.fs = (a.fs + 1) % 4), k AS (SELECT *, count(*) OVER (PARTITION BY mesh_id, fi) AS n FROM h WHERE v0 <> v1) SELECT mesh_id, fi, row_number() OVER (PARTITION BY mesh_id, fi ORDER BY fs) - 1 AS fs, v0 AS vi FROM k WHERE n >= 3")
 mesh_query("mesh_triangulated", lambda m: mesh.triangulated(m)[1].groupBy("mesh_id").agg(F.countDistinct("fi").alias("triangles")), "SELECT mesh_id, 2 * count(DISTINCT fi) AS triangles FROM c GROUP BY 1")
 mesh_query("mesh_indexed_geometry", lambda m: mesh.indexed_geometry(m), "SELECT mesh_id, fi, CAST(k AS INTEGER) AS k, CAST(p AS INTEGER) AS corner, CASE p WHEN 0 THEN ax WHEN 1 THEN bx ELSE cx END AS x, CASE p WHEN 0 THEN ay WHEN 1 THEN by_ ELSE cy END AS y, CASE p WHEN 0 THEN az WHEN 1 THEN bz ELSE cz END AS z FROM tri, generate_series(0, 2) g(p)")
 mesh_query("mesh_clip", lambda m: mesh.clip(m, (1.0, 0.0, 0.0), 2.5).groupBy("mesh_id", "fi").agg(F.count(F.lit(1)).alias("corners"), F.min("x").alias("min_x")), "SELECT DISTINCT mesh_id, fi, CAST(4 AS BIGINT) AS corners, greatest(2.5e0, fi % 5 + 0e0) AS min_x FROM c WHERE fi % 5 >= 2")
 mesh_query("mesh_transformed", lambda m: mesh.transformed(m, _M)[0], "SELECT mesh_id, vi, 5e0 - y AS x, x - 2e0 AS y, 2e0 * z + 1e0 AS z FROM v")
-mesh_query("mesh_ray_hits", lambda m: rays.hits(m[0].sparkSession.range(1).select(F.lit(0).cast("long").alias("ray_id"), *(F.lit(v).alias(k) for k, v in zip(("ox", "oy", "oz", "dx", "dy", "dz"), (2.3, 1.4, -9.0, 0.0, 0.0, 1.0)))), mesh.as_objects((m[0].where("mesh_id = 3"), m[1].where("mesh_id = 3")))).select("object_id", F.round("t", 6).alias("t")))
-mesh_query("mesh_draw_order", lambda m: mesh.draw_order(mesh.face_triangles(m).withColumn("object_id", F.col("fi") * 4096 + F.col("k") - 1), (0.0, -20.0, 10.0)))
+mesh_query(
+    "mesh_ray_hits",
+    lambda m: rays.hits(m[0].sparkSession.range(1).select(F.lit(0).cast("long").alias("ray_id"), *(F.lit(v).alias(k) for k, v in zip(("ox", "oy", "oz", "dx", "dy", "dz"), (2.3, 1.4, -9.0, 0.0, 0.0, 1.0)))), mesh.as_objects(m)).select("object_id.mesh_id", "object_id.fi", F.col("object_id.k").cast("long").alias("k"), F.round("t", 6).alias("t")),
+    ", h AS (" + triangle_hit_sql("(SELECT *, 2.3e0 AS ox, 1.4e0 AS oy, -9e0 AS oz, 0e0 AS dx, 0e0 AS dy, 1e0 AS dz FROM tri)", "mesh_id, fi, CAST(k - 1 AS BIGINT) AS k") + ") SELECT mesh_id, fi, k, round(t, 6) AS t FROM h",
+)
+mesh_query("mesh_draw_order", lambda m: mesh.draw_order(mesh.face_triangles(m).withColumn("object_id", F.col("fi") * mesh.FAN + F.col("k") - 1), (0.0, -20.0, 10.0)))
 add("mesh_group", lambda s, d: mesh.euler(mesh.group(*(mesh.create(s, *f) for f in (mesh.box(), mesh.sphere(6, 8), mesh.torus(8, 6))))[1]))
 add("point_in_mesh", lambda s, d: rays.inside_mesh(_probes(s, d).withColumns({a: F.col(a) / 100 for a in "xyz"}), mesh.as_objects(mesh.create(s, *mesh.box((0.1, 0.2, 0.3), (0.7, 0.8, 0.9))))), "SELECT s_suppkey AS query_id, ((s_suppkey * 17 % 97 + 0.5e0) / 100 BETWEEN 0.1e0 AND 0.7e0 AND (s_suppkey * 19 % 97 + 0.5e0) / 100 BETWEEN 0.2e0 AND 0.8e0 AND (s_suppkey * 23 % 97 + 0.5e0) / 100 BETWEEN 0.3e0 AND 0.9e0) AS inside FROM supplier", False)
-add("mesh_vertex_clusters", lambda s, d: mesh.vertex_clustered(mesh.create(s, *mesh.sphere(8, 12)), 0.2)[0].select("vi", *(F.round(a, 6).alias(a) for a in "xyz")))
+add(
+    "mesh_vertex_clusters",
+    lambda s, d: mesh.vertex_clustered(height_field(s, d), 1.1)[0].select("mesh_id", *(F.round(a, 6).alias(a) for a in "xyz")),
+    f"WITH RECURSIVE {MESH}, pairs AS (SELECT p.mesh_id, p.vi AS a, q.vi AS b FROM v p JOIN v q ON p.mesh_id = q.mesh_id WHERE (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) <= {n(1.1)} * {n(1.1)}), r AS {_REACH.format(x='vi', of='v')}, lab AS (SELECT mesh_id, a AS vi, min(b) AS cluster FROM r GROUP BY 1, 2), d AS (SELECT c.mesh_id, fi, fs, cluster AS vi FROM c JOIN lab USING (mesh_id, vi)), h AS (SELECT a.mesh_id, a.fi, a.vi AS v0 FROM d a JOIN d b ON a.mesh_id = b.mesh_id AND a.fi = b.fi AND b.fs = (a.fs + 1) % 4 AND a.vi <> b.vi), k AS (SELECT *, count(*) OVER (PARTITION BY mesh_id, fi) AS n FROM h), used AS (SELECT DISTINCT mesh_id, v0 AS cluster FROM k WHERE n >= 3) SELECT mesh_id, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM v JOIN lab USING (mesh_id, vi) JOIN used USING (mesh_id, cluster) GROUP BY mesh_id, cluster",
+    False,
+)
 
 # --- functions ---------------------------------------------------------------------------------
 
@@ -570,15 +650,49 @@ def _seen(position) -> Query:
 
 add("julian_day", lambda s, d: _times(s, d).select("point_id", "jd"), f"SELECT point_id, {_JD} AS jd FROM ev")
 add("sidereal_time", lambda s, d: _times(s, d).select("point_id", F.round(astro.sidereal_time(F.col("jd")), 4).alias("theta")), f"SELECT point_id, round({n(2 * math.pi)} * (0.7790572732640e0 + 1.002737811911354e0 * ({_JD} - 2451545e0)), 4) AS theta FROM ev")
-add("obliquity", lambda s, d: _times(s, d).select("point_id", *(F.round(astro.obliquity(F.col("jd"), m), 9).alias(m) for m in ("de200", "aa2010", "laskar"))), None)
+
+
+def poly_sql(t: str, *c: float) -> str:
+    out = n(c[-1])
+    for k in reversed(c[:-1]):
+        out = f"({out} * {t} + {n(k)})"
+    return out
+
+
+_ARC = "round({} / 3600 * " + _R + ", 9)"
+_T = f"(SELECT point_id, ({_JD} - 2451545e0) / 36525e0 AS t FROM ev)"
+_MODELS = {
+    "de200": poly_sql("t", 84381.448, -46.8150, -0.00059, 0.001813),
+    "aa2010": poly_sql("t", 84381.406, -46.836769, -0.0001831, 0.00200340, -5.76e-7, -4.34e-8),
+    "laskar": poly_sql("(t / 100)", 84381.448, -4680.93, -1.55, 1999.25, -51.38, -249.67, -39.05, 7.12, 27.87, 5.79, 2.45),
+}
+add("obliquity", lambda s, d: _times(s, d).select("point_id", *(F.round(astro.obliquity(F.col("jd"), m), 9).alias(m) for m in ("de200", "aa2010", "laskar"))), f"SELECT point_id, {', '.join(f'{_ARC.format(v)} AS {k}' for k, v in _MODELS.items())} FROM {_T}")
 add("moon_position", _seen(lambda jd: (lambda p: (p[0], p[1], p[2] / 1000))(astro.moon_position(jd, LON, LAT))), _observer_sql(f"SELECT point_id, jd, (218.316e0 + t * 13.176396e0 + 6.289e0 * sin((134.963e0 + t * 13.064993e0) * {_R})) * {_R} AS lam, 5.128e0 * sin((93.272e0 + t * 13.229350e0) * {_R}) * {_R} AS beta, 385001 - 20905 * cos((134.963e0 + t * 13.064993e0) * {_R}) AS dist FROM (SELECT point_id, {_JD} AS jd, {_JD} - 2451545e0 AS t FROM ev)", "round(dist, 5)"))
 _X, _Y, _Z = (f"-({k})" for k in _helio_sql("earth"))
 add("sun_position", _seen(lambda jd: astro.sun_position(jd, LON, LAT)), _observer_sql(f"SELECT point_id, jd, atan2(gy, gx) AS lam, asin(gz / sqrt(gx * gx + gy * gy + gz * gz)) AS beta, sqrt(gx * gx + gy * gy + gz * gz) AS dist FROM (SELECT point_id, jd, {_X} AS gx, {_Y} AS gy, {_Z} AS gz FROM (SELECT point_id, {_JD} AS jd, {_JD} - 2451545e0 AS t FROM ev))", "round(dist, 5)"))
 _G = [f"{p} - ({e})" for p, e in zip(_helio_sql("mars"), _helio_sql("earth"))]
 add("planet_position", _seen(lambda jd: astro.planet_position("mars", jd, LON, LAT)), _observer_sql(f"SELECT point_id, jd, atan2(gy, gx) AS lam, asin(gz / sqrt(gx * gx + gy * gy + gz * gz)) AS beta, sqrt(gx * gx + gy * gy + gz * gz) AS dist FROM (SELECT point_id, jd, {_G[0]} AS gx, {_G[1]} AS gy, {_G[2]} AS gz FROM (SELECT point_id, {_JD} AS jd, {_JD} - 2451545e0 AS t FROM ev))", "round(dist, 5)"))
-add("planets", lambda s, d: astro.planets_table(_times(s, d), LON, LAT).select("point_id", "planet", *(F.round(c, 5).alias(c) for c in ("phi", "theta", "distance"))))
-add("kepler", lambda s, d: _times(s, d).select("point_id", F.round(astro.kepler_true_anomaly(astro.mean_anomaly("mercury", F.col("jd")), 0.20563), 6).alias("v")))
-add("precession", lambda s, d: _times(s, d).select("point_id", *(F.round(c, 9).alias(k) for k, c in astro.precession(F.col("jd")).items())))
+
+
+def _planet_sql(planet: str) -> str:
+    g = [f"{p} - ({e})" for p, e in zip(_helio_sql(planet), _helio_sql("earth"))]
+    seen = _observer_sql(f"SELECT point_id, jd, atan2(gy, gx) AS lam, asin(gz / sqrt(gx * gx + gy * gy + gz * gz)) AS beta, sqrt(gx * gx + gy * gy + gz * gz) AS dist FROM (SELECT point_id, jd, {g[0]} AS gx, {g[1]} AS gy, {g[2]} AS gz FROM (SELECT point_id, {_JD} AS jd, {_JD} - 2451545e0 AS t FROM ev))", "round(dist, 5)")
+    return f"SELECT point_id, '{planet}' AS planet, phi, theta, distance FROM ({seen})"
+
+
+add("planets", lambda s, d: astro.planets_table(_times(s, d), LON, LAT).select("point_id", "planet", *(F.round(c, 5).alias(c) for c in ("phi", "theta", "distance"))), " UNION ALL ".join(_planet_sql(p) for p in astro.PLANETS if p != "earth"))
+_MERCURY, _E = astro.ORBITS["mercury"], 0.20563
+_KEPLER = f"SELECT point_id, m, m + {n(_E)} * sin(m) * (1 + {n(_E)} * cos(m)) AS e FROM (SELECT point_id, m - {n(2 * math.pi)} * round(m / {n(2 * math.pi)}) AS m FROM (SELECT point_id, {n(_MERCURY[5] * math.pi / 180)} + {n(_MERCURY[6] * math.pi / 180)} * ({_JD} - 2451545e0) AS m FROM ev))"
+for _ in range(12):
+    _KEPLER = f"SELECT point_id, m, e - (e - {n(_E)} * sin(e) - m) / (1 - {n(_E)} * cos(e)) AS e FROM ({_KEPLER})"
+add("kepler", lambda s, d: _times(s, d).select("point_id", F.round(astro.kepler_true_anomaly(astro.mean_anomaly("mercury", F.col("jd")), _E), 6).alias("v")), f"SELECT point_id, round(2 * atan({n(math.sqrt((1 + _E) / (1 - _E)))} * tan(e / 2)), 6) AS v FROM ({_KEPLER})")
+_ANGLES = ", ".join(f"{poly_sql('t', 0.0, *c)} / 3600 * {_R} AS {k}" for k, c in (("zeta", (2306.2181, 0.30188, 0.017998)), ("z", (2306.2181, 1.09468, 0.018203)), ("theta", (2004.3109, -0.42665, -0.041833))))
+_TURN = [["cz * ct * cc - sz * sc", "-sz * ct * cc - cz * sc", "-st * cc"], ["cz * ct * sc + sz * cc", "-sz * ct * sc + cz * cc", "-st * sc"], ["cz * st", "-sz * st", "ct"]]
+add(
+    "precession",
+    lambda s, d: _times(s, d).select("point_id", *((F.round(c, 9) + 0.0).alias(k) for k, c in astro.precession(F.col("jd")).items())),
+    f"SELECT point_id, {', '.join(f'round({_TURN[i][j]}, 9) + 0e0 AS m{i}{j}' for i in range(3) for j in range(3))} FROM (SELECT point_id, cos(zeta) AS cz, sin(zeta) AS sz, cos(z) AS cc, sin(z) AS sc, cos(theta) AS ct, sin(theta) AS st FROM (SELECT point_id, {_ANGLES} FROM {_T}))",
+)
 add("star_frames", lambda s, d: frames.star_frames(_times(s, d), LON, LAT))
 add("angular_diameter", lambda s, d: views.event_points(s, d).select("point_id", F.round(astro.angular_diameter(astro.MOON_DIAMETER, F.col("y") * 1e6 + 3e8), 8).alias("a")), "SELECT point_id, round(2 * atan(1737100e0 / (y * 1e6 + 3e8)), 8) AS a FROM ev")
 _GEO = "(SELECT point_id, x / 3 AS lon, y * 0.8e0 - 40 AS lat, z * 10 AS h FROM li)"
@@ -621,3 +735,76 @@ def _first_of_parts(s: SparkSession, d: str) -> DataFrame:
 
 
 add("first_per_part", _first_of_parts, "SELECT part_index, point_id FROM li QUALIFY row_number() OVER (PARTITION BY part_index ORDER BY point_id) <= 5")
+
+
+# --- sources, stores and streams: written and read back ---------------------------------
+
+
+def _scan(s: SparkSession, d: str) -> DataFrame:
+    """Points in whole thousandths, with colours, as scanners' files have them."""
+    p = views.lineitem_points(s, d)
+    return p.select("x", (F.floor(F.col("y") * 1000) / 1000).alias("y"), "z", "intensity", "classification", "part_index", *((F.col("point_id") % m).cast("int").alias(c) for c, m in zip("rgb", (251, 241, 239))))
+
+
+_SCAN = "SELECT x, floor(y * 1000) / 1000 AS y, z, intensity, classification, part_index, CAST(point_id % 251 AS INTEGER) AS r, CAST(point_id % 241 AS INTEGER) AS g, CAST(point_id % 239 AS INTEGER) AS b FROM li"
+_INTS = {c: "u1" for c in "rgb"}
+
+
+def _columns(df: DataFrame, *names: str) -> DataFrame:
+    """Positions in thousandths, and whole numbers, under plain types."""
+    whole = lambda c: F.col(c).cast("long").alias(c)
+    return df.select(*(F.round(c, 3).alias(c) if c in "xyz" else whole(c) for c in names))
+
+
+def _columns_sql(*names: str) -> str:
+    return ", ".join(c if c in "xyz" else f"CAST({c} AS BIGINT) AS {c}" for c in names)
+
+
+def source_query(kind: str, columns: dict[str, str], *shown: str) -> None:
+    add(f"source_{kind}", lambda s, d: _columns(binary.unpacked(binary.pack_files(_scan(s, d), kind, "part_index", columns), kind), *shown), f"SELECT {_columns_sql(*shown)} FROM ({_SCAN})")
+
+
+source_query("las", dict.fromkeys("xyz", "f8") | {"intensity": "i4", "classification": "i4"} | _INTS, "x", "y", "z", "intensity", "classification", "r", "g", "b")
+source_query("ply", dict.fromkeys("xyz", "f8") | _INTS, "x", "y", "z", "r", "g", "b")
+source_query("e57", dict.fromkeys("xyz", "f8") | _INTS, "x", "y", "z", "r", "g", "b")
+for _name in ("pts", "yxh", "xyzrgb", "xyz"):
+    _shown = ["x", "y", "z", *(("intensity",) if _name == "yxh" else ()), *(() if _name == "xyz" else "rgb")]
+    add(f"source_{_name}", (lambda name, shown: lambda s, d: _columns(ascii.parse_lines(ascii.lines(_scan(s, d), name), ascii.LAYOUTS[name]), *shown))(_name, _shown), f"SELECT {_columns_sql(*_shown)} FROM ({_SCAN})")
+_BROKEN = "CASE point_id % 5 WHEN 0 THEN '# ' WHEN 1 THEN 'x ' ELSE '' END"
+add(
+    "source_malformed",
+    lambda s, d: _columns(ascii.parse_lines(views.lineitem_points(s, d).select(F.concat(F.when(F.col("point_id") % 5 == 0, "# ").when(F.col("point_id") % 5 == 1, "x ").otherwise(""), F.concat_ws("\t", "x", F.floor(F.col("y") * 1000) / 1000, "z"), F.when(F.col("point_id") % 3 == 0, " junk 7").otherwise("")).alias("value")), ascii.LAYOUTS["xyz"]), "x", "y", "z"),
+    "SELECT x, floor(y * 1000) / 1000 AS y, z FROM li WHERE point_id % 5 > 1",
+)
+add(
+    "source_particles",
+    lambda s, d: ascii.parse_particles(_scan(s, d).select(F.concat_ws(" ", "x", "y", "z", *(F.lit(float(i)) for i in range(7)), "intensity", "classification", F.lit(0), F.lit(1), *(F.lit(0.25) for _ in range(13))).alias("value"))).select("x", "y", "z", "interactions", F.col("material").cast("long").alias("material"), F.size("sigma").alias("tensor"), "pressure"),
+    f"SELECT x, y, z, intensity AS interactions, CAST(classification AS BIGINT) AS material, 9 AS tensor, 0.25e0 AS pressure FROM ({_SCAN})",
+)
+
+
+def _stored(s: SparkSession, d: str) -> DataFrame:
+    """Points of a cloud that was saved, exported to another store and loaded."""
+    from .cloud import ImportConfig, PointCloud
+
+    first, second = (registry.Store(s, shared_path(s, "store")) for _ in range(2))
+    PointCloud(views.embedding_points(s, d), ImportConfig(split_limit=100)).save(first, "a")
+    first.copy_to("a", second)
+    return PointCloud.load(second, "a").points.select(*XYZ)
+
+
+add("store_round_trip", _stored, "SELECT point_id, x, y, z FROM emb")
+
+
+def _streamed(s: SparkSession, d: str, sink: Callable[[DataFrame, str], object]) -> DataFrame:
+    """What a stream over text files that were just written leaves in its sink."""
+    folder, out, state = (shared_path(s, n) for n in ("lines", "sink", "state"))
+    ascii.write(_scan(s, d), folder, "yxh")
+    points = ingest.text_stream(s, folder, "yxh")
+    query = sink(points, out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return s.read.parquet(out)
+
+
+add("stream_ingest", lambda s, d: _columns(_streamed(s, d, lambda p, out: p.writeStream.format("parquet").option("path", out)), "x", "y", "z", "intensity"), f"SELECT {_columns_sql('x', 'y', 'z', 'intensity')} FROM ({_SCAN})")
+add("stream_batches", lambda s, d: _streamed(s, d, lambda p, out: ingest.append_to(p.where("intensity > 3"), out, shared_path(s, "state"))).groupBy("intensity").agg(F.count(F.lit(1)).alias("n"), F.max("y").alias("top")), f"SELECT intensity, count(*) AS n, max(y) AS top FROM ({_SCAN}) WHERE intensity > 3 GROUP BY 1")

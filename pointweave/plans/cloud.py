@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geom
 from ..operators import cells, filters, knn, normals, octree, points
+from ..sources.binary import with_ids
 from ..sources.registry import Store, read
 
 
@@ -34,7 +35,7 @@ class PointCloud:
     @classmethod
     def build(cls, source: DataFrame, config: ImportConfig = ImportConfig()) -> PointCloud:
         """Normalises a source in one order: re-projection, duplicates, thinning, normals, defaults."""
-        p = source if "point_id" in source.columns else source.withColumn("point_id", F.monotonically_increasing_id())
+        p = source if "point_id" in source.columns else with_ids(source)
         if config.reproject:
             p = config.reproject(p)
         if config.deduplicate:

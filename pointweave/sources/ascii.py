@@ -84,10 +84,15 @@ def read(spark: SparkSession, path: str | Sequence[str], layout: str | Sequence[
     return parse_lines(spark.read.text(path if isinstance(path, str) else list(path)), layout)
 
 
-def write(points: DataFrame, path: str, layout: str | Sequence[str]) -> None:
+def lines(points: DataFrame, layout: str | Sequence[str]) -> DataFrame:
+    """(value): the text of each point; columns that the layout skips are 0."""
     layout = LAYOUTS[layout] if isinstance(layout, str) else layout
     names = [TOKENS[t][0] for t in layout]
-    points.select(F.concat_ws(" ", *(F.col(n).cast("string") if n else F.lit("0") for n in names)).alias("value")).write.text(path)
+    return points.select(F.concat_ws(" ", *(F.col(n).cast("string") if n else F.lit("0") for n in names)).alias("value"))
+
+
+def write(points: DataFrame, path: str, layout: str | Sequence[str]) -> None:
+    lines(points, layout).write.text(path)
 
 
 #: Columns of the particle files.
@@ -101,8 +106,13 @@ PARTICLES = (
 
 def read_particles(spark: SparkSession, path: str) -> DataFrame:
     """Smoothed-particle text: 27 numbers a line; the 3 x 3 tensor is one array."""
+    return parse_particles(spark.read.text(path))
+
+
+def parse_particles(lines: DataFrame) -> DataFrame:
+    """Particles of the lines (value) that have all numbers."""
     parts = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
-    d = spark.read.text(path).select(parts.alias("p")).where(F.size("p") >= len(PARTICLES))
+    d = lines.select(parts.alias("p")).where(F.size("p") >= len(PARTICLES))
     whole = ("interactions", "material", "flaws", "active")
     cols = {n: F.get("p", F.lit(i)).try_cast("int" if n in whole else "double") for i, n in enumerate(PARTICLES)}
     d = d.select(*(c.alias(n) for n, c in cols.items())).where("x is not null and y is not null and z is not null")

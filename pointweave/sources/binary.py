@@ -15,13 +15,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 POINTS = "path string, x double, y double, z double, r smallint, g smallint, b smallint, a smallint, nx float, ny float, nz float, intensity int, classification smallint, part_index int"
 NAMES = [c.split()[0] for c in POINTS.split(", ")]
 #: Points of a batch that leaves a task's reader.
 BATCH = 1 << 16
 
 
-def _read(spark: SparkSession, path: str, unpack, schema: str = POINTS) -> DataFrame:
+def unpack_files(files: DataFrame, unpack, schema: str) -> DataFrame:
+    """Points of files (path, content), a file in one task."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -33,7 +36,28 @@ def _read(spark: SparkSession, path: str, unpack, schema: str = POINTS) -> DataF
                         part = {k: v[a : a + BATCH] for k, v in cols.items()}
                         yield pd.DataFrame({c: p if c == "path" else part.get(c, pd.Series([None] * len(part["x"]), dtype="object")) for c in names})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+    return files.select("path", "content").mapInPandas(run, schema)
+
+
+def _read(spark: SparkSession, path: str, unpack, schema: str = POINTS) -> DataFrame:
+    return unpack_files(spark.read.format("binaryFile").load(path), unpack, schema)
+
+
+def pack_files(points: DataFrame, kind: str, by: str, columns: dict[str, str]) -> DataFrame:
+    """(path, content): a file of each value of ``by``, named after it. ``columns``:
+    names and NumPy types of what it holds. A file is made in one task."""
+    make = {"las": las_bytes, "ply": ply_bytes, "e57": lambda cols: e57_bytes([{k: v[a : a + 2000] for k, v in cols.items()} for a in range(0, len(cols["x"]), 2000)])}[kind]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"path": [f"{key[0]}.{kind}"], "content": [make({c: pdf[c].to_numpy(t) for c, t in columns.items()})]})
+
+    return points.select(by, *(c for c in columns if c != by)).groupBy(by).applyInPandas(run, "path string, content binary")
+
+
+def unpacked(files: DataFrame, kind: str) -> DataFrame:
+    """Points of files (path, content) of a format: what reading them gives."""
+    unpack, schema = {"las": (_las_points, LAS_SCHEMA), "ply": (_ply_points, POINTS), "e57": (_e57_points, E57_SCHEMA)}[kind]
+    return unpack_files(files, unpack, schema)
 
 
 # --- PLY -------------------------------------------------------------------------
@@ -261,30 +285,24 @@ def las_bytes(columns: dict[str, np.ndarray], scale: float = 0.001) -> bytes:
 PAGE = 1024
 
 
-def crc32c(data: bytes) -> int:
-    table = _crc_table()
-    c = 0xFFFFFFFF
-    for b in data:
-        c = table[(c ^ b) & 255] ^ c >> 8
-    return c ^ 0xFFFFFFFF
-
-
-def _crc_table() -> list[int]:
-    out = []
-    for i in range(256):
-        for _ in range(8):
-            i = i >> 1 ^ (0x82F63B78 if i & 1 else 0)
-        out.append(i)
-    return out
+def crc32c(rows: np.ndarray) -> np.ndarray:
+    """CRC-32C of each row of bytes; all rows go through a byte at a time."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = table >> np.uint32(1) ^ np.where(table & np.uint32(1), np.uint32(0x82F63B78), np.uint32(0))
+    c = np.full(len(rows), 0xFFFFFFFF, np.uint32)
+    for column in rows.T:
+        c = table[(c ^ column) & np.uint32(255)] ^ c >> np.uint32(8)
+    return c ^ np.uint32(0xFFFFFFFF)
 
 
-def e57_logical(data: bytes, verify: bool = False) -> bytes:
-    """The file without its page checksums."""
-    if verify:
-        for a in range(0, len(data), PAGE):
-            if struct.unpack_from(">I", data, a + PAGE - 4)[0] != crc32c(data[a : a + PAGE - 4]):
-                raise ValueError(f"checksum of page {a // PAGE}")
+def e57_logical(data: bytes, verify: bool = True) -> bytes:
+    """The file without its page checksums, which are looked at first."""
     pages = np.frombuffer(data, np.uint8, len(data) // PAGE * PAGE).reshape(-1, PAGE)
+    if verify:
+        wrong = np.flatnonzero(crc32c(pages[:, : PAGE - 4]) != np.ascontiguousarray(pages[:, PAGE - 4 :]).view(">u4").ravel())
+        if wrong.size:
+            raise ValueError(f"checksum of page {wrong[0]}")
     return pages[:, : PAGE - 4].tobytes()
 
 
@@ -453,11 +471,8 @@ def e57_bytes(scans: list[dict]) -> bytes:
     logical += text
     logical += b"\0" * (-len(logical) % (PAGE - 4))
     struct.pack_into("<8sIIQQQQ", logical, 0, b"ASTM-E57", 1, 0, len(logical) // (PAGE - 4) * PAGE, at // (PAGE - 4) * PAGE + at % (PAGE - 4), len(text), PAGE)
-    out = bytearray()
-    for a in range(0, len(logical), PAGE - 4):
-        page = bytes(logical[a : a + PAGE - 4])
-        out += page + struct.pack(">I", crc32c(page))
-    return bytes(out)
+    pages = np.frombuffer(bytes(logical), np.uint8).reshape(-1, PAGE - 4)
+    return np.hstack([pages, crc32c(pages).astype(">u4").view(np.uint8).reshape(-1, 4)]).tobytes()
 
 
 def header_info(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -481,5 +496,7 @@ def header_info(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def with_ids(points: DataFrame) -> DataFrame:
-    """A point_id for sources without one: unique, in file order within a task."""
-    return points.withColumn("point_id", F.monotonically_increasing_id())
+    """A point_id for sources without one: unique, in file order within a task. The
+    numbered points are written to the shared folder, as the next action might else
+    deal the files out differently and number them anew."""
+    return checkpointed(points.withColumn("point_id", F.monotonically_increasing_id()))

@@ -94,7 +94,7 @@ def test_box_mesh(spark):
         assert (r.cx - 0.5) * r.nx + (r.cy - 1) * r.ny + (r.cz - 1.5) * r.nz > 0
     tri = mesh.triangulated(m)
     assert tri[1].select("fi").distinct().count() == 12 and mesh.consistent_winding(tri[1]).first().conflicts == 0
-    assert {r.cluster for r in mesh.planar_clusters(tri).collect()} == {0, 4096, 8192, 12288, 16384, 20480}
+    assert {r.cluster for r in mesh.planar_clusters(tri).collect()} == {i * mesh.FAN for i in range(6)}
     assert mesh.connected_components(mesh.group(m, m)[1]).select("cluster").distinct().count() == 2
     front, back = mesh.split(m, (0, 0, 1), 1.5)
     assert front.agg(F.min("z")).first()[0] == 1.5 and back.agg(F.max("z")).first()[0] == 1.5
@@ -109,15 +109,32 @@ def test_rays(spark):
     assert {r.query_id: (r.object_id, round(r.distance, 9)) for r in rays.closest(q, objects).collect()} == {0: (2, 0.6), 1: (4, 0.0), 2: (1, 0.0)}
 
 
-def test_closest_of_more_objects_than_are_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(rays, "SMALL", 5)
+def test_closest_of_objects_of_all_kinds_and_sizes(spark):
     rng = np.random.default_rng(2)
-    at, r = rng.uniform(0, 50, (40, 3)), rng.uniform(0, 2, 40)
-    objects = spark.createDataFrame([(i, "sphere", *map(float, at[i]), *[None] * 6, float(r[i])) for i in range(40)], "object_id long, kind string, ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double, r double")
-    q = rng.uniform(0, 50, (30, 3))
-    got = {x.query_id: (x.object_id, x.distance) for x in rays.closest(spark.createDataFrame([(i, *map(float, q[i])) for i in range(30)], "query_id long, x double, y double, z double"), objects).collect()}
-    distance = np.maximum(0, np.linalg.norm(q[:, None] - at, axis=2) - r)
-    assert got == {i: (int(distance[i].argmin()), pytest.approx(distance[i].min())) for i in range(30)}
+    rows = []
+    for i in range(120):
+        a, size = rng.uniform(0, 50, 3), float(rng.choice([0.01, 1, 20]))
+        b, c, r = a + rng.uniform(0, size, 3), a + rng.uniform(-size, size, 3), float(rng.uniform(0, size) / 4)
+        kind = ("box", "sphere", "cylinder", "triangle", "line")[i % 5]
+        rows.append((i, kind, *map(float, a), *map(float, b), *map(float, c), r))
+    names = "object_id long, kind string, ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double, r double"
+    objects = spark.createDataFrame(rows, names)
+    q = [(i, *map(float, p)) for i, p in enumerate(np.vstack([rng.uniform(0, 50, (30, 3)), rng.uniform(-900, 900, (10, 3))]))]
+    queries = spark.createDataFrame(q, "query_id long, x double, y double, z double")
+    every = queries.crossJoin(objects).withColumn("d", rays._distance()).groupBy("query_id").agg(F.min(F.struct("d", "object_id")).alias("h"))
+    want = {r.query_id: (r.h.object_id, r.h.d) for r in every.collect()}
+    assert {r.query_id: (r.object_id, r.distance) for r in rays.closest(queries, objects).collect()} == want and len(want) == 40
+    assert rays.closest(queries, objects.limit(0)).collect() == []
+
+
+def test_two_meshes_stay_apart(spark):
+    one, two = mesh.create(spark, *mesh.box((0, 0, 0), (1, 1, 1)), mesh_id=1), mesh.create(spark, *mesh.box((0, 0, 0), (1, 1, 1)), mesh_id=2)
+    both = one[0].union(two[0]), one[1].union(two[1])
+    assert mesh.as_objects(both).select("object_id").distinct().count() == 24
+    ray = spark.createDataFrame([(0, 0.25, 0.5, -1.0, 0.0, 0.0, 1.0)], "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double")
+    assert rays.hits(ray, mesh.as_objects(both)).count() == 4
+    v, c = mesh.vertex_clustered(both, 0.1)
+    assert {(r.mesh_id, r["count"]) for r in v.groupBy("mesh_id").count().collect()} == {(1, 8), (2, 8)} and c.count() == 48
 
 
 def test_rays_through_the_grid(spark, monkeypatch):

@@ -81,7 +81,7 @@ def test_e57(spark, tmp_path):
 
 
 def test_crc32c_and_bits():
-    assert binary.crc32c(b"123456789") == 0xE3069283
+    assert binary.crc32c(np.frombuffer(b"123456789", np.uint8)[None])[0] == 0xE3069283
     v = np.array([5, 0, 1023, 512])
     raw = np.packbits((v[:, None] >> np.arange(10) & 1).astype(np.uint8).ravel(), bitorder="little").tobytes()
     assert binary.unpack_bits(raw, 10, 4).tolist() == v.tolist()
