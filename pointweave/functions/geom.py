@@ -239,6 +239,29 @@ def box_inside(lo: Vec, hi: Vec, prefix: str = "bb_") -> Column:
     return all_of([(F.col(f"{prefix}min_{a}") >= float(lo[i])) & (F.col(f"{prefix}max_{a}") <= float(hi[i])) for i, a in enumerate("xyz")])
 
 
+def box_may_meet_hull(planes: Sequence[tuple[Vec, float]], prefix: str = "bb_") -> Column:
+    """Whether no plane of the hull has a row's whole box on its outer side."""
+    return all_of([box_heights(n, d, prefix)[0] <= 0 for n, d in planes])
+
+
+def box_may_leave_hull(planes: Sequence[tuple[Vec, float]], prefix: str = "bb_") -> Column:
+    """Whether a part of a row's box lies beyond some plane of the hull."""
+    return any_of([box_heights(n, d, prefix)[1] > 0 for n, d in planes])
+
+
+def box_may_leave_plane(n: Vec, d: float, within: float, prefix: str = "bb_") -> Column:
+    """Whether a part of a row's box is farther than ``within`` from the plane."""
+    lo, hi = box_heights(n, d, prefix)
+    return (lo < -float(within)) | (hi > float(within))
+
+
+def box_may_meet_polygon(ring: Sequence[Vec], within: float, prefix: str = "bb_") -> Column:
+    """Whether a row's box comes near the polygon's plane and its corners' box."""
+    k, d, _, _ = plane_frame(ring)
+    corners = np.asarray(ring, float)
+    return box_meets_plane(k, d, within, prefix) & boxes_overlap(corners.min(axis=0) - within, corners.max(axis=0) + within, prefix)
+
+
 def normal_within(direction: Vec, degrees: float, n: Sequence[Column]) -> Column:
     """Two-sided: |direction x normal|^2 <= sin^2 of the angle, clamped to 0..90."""
     a = np.asarray(direction, float) / np.linalg.norm(direction)

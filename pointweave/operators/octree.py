@@ -240,7 +240,20 @@ def level_below(counts: list[int], most: int) -> int:
 
 def approximate_count(boxes: DataFrame, lo, hi) -> DataFrame:
     """Points of nodes whose bounds meet a box: at least the exact count."""
-    return boxes.where(geom.boxes_overlap(lo, hi)).agg(F.coalesce(F.sum("count_cell"), F.lit(0)).alias("n"))
+    return approximate_count_where(boxes, geom.boxes_overlap(lo, hi))
+
+
+def approximate_count_where(boxes: DataFrame, may: Column) -> DataFrame:
+    """Points of the nodes that a test of their bounds does not rule out: at least the
+    exact count of a predicate, if the test holds wherever a point may fit."""
+    return boxes.where(may).agg(F.coalesce(F.sum("count_cell"), F.lit(0)).alias("n"))
+
+
+def traverse(boxes: DataFrame, hull) -> DataFrame:
+    """(level, cx, cy, cz, fully_inside): nodes whose bounds may meet the hull; all
+    points of those fully inside are in it."""
+    met = boxes.where(geom.box_may_meet_hull(hull))
+    return met.select(*KEYS, (~geom.box_may_leave_hull(hull)).alias("fully_inside"))
 
 
 def tree_stats(tree: DataFrame) -> DataFrame:

@@ -349,6 +349,73 @@ add(
 )
 
 
+#: Bounds of the leaves, and heights of their boxes over a plane.
+_BOUNDS = f"{TREE}, {_LEAF}, b AS (SELECT level, cx, cy, cz, count(*) AS n, min(x) lx, max(x) hx, min(y) ly, max(y) hy, min(z) lz, max(z) hz FROM leaf GROUP BY level, cx, cy, cz)"
+
+
+def _boxes(s: SparkSession, d: str) -> DataFrame:
+    p, t = _tree(s, d)
+    return octree.with_stats(octree.assign(p, t, LI_ROOT))
+
+
+def heights_sql(v, d) -> tuple[str, str]:
+    ends = [" + ".join(f"{n(k)} * {(x if k >= 0 else y) + a}" for k, a in zip(v, "xyz")) for x, y in ("lh", "hl")]
+    return f"(({ends[0]}) - {n(d)})", f"(({ends[1]}) - {n(d)})"
+
+
+def _unit(v, d) -> tuple[list[float], float]:
+    k = float(np.linalg.norm(v))
+    return [float(a) / k for a in v], float(d) / k
+
+
+def _overlap_sql(lo, hi, axes: str = "xyz") -> str:
+    return " AND ".join(f"h{a} >= {n(p)} AND l{a} <= {n(q)}" for a, p, q in zip(axes, lo, hi))
+
+
+def _within_sql(lo, hi, axes: str = "xyz") -> str:
+    return " AND ".join(f"l{a} >= {n(p)} AND h{a} <= {n(q)}" for a, p, q in zip(axes, lo, hi))
+
+
+def _near_sql(v, d, within: float) -> str:
+    low, high = heights_sql(*_unit(v, d))
+    return f"({low} <= {n(within)} AND {high} >= {n(-within)})"
+
+
+def _far_sql(v, d, within: float) -> str:
+    low, high = heights_sql(*_unit(v, d))
+    return f"({low} < {n(-within)} OR {high} > {n(within)})"
+
+
+def _ring_sql(ring, within: float) -> str:
+    k, d, _, _ = geom.plane_frame(ring)
+    low, high = heights_sql(k, d)
+    c = np.asarray(ring, float)
+    return f"({low} <= {n(within)} AND {high} >= {n(-within)} AND {_overlap_sql(c.min(axis=0) - within, c.max(axis=0) + within)})"
+
+
+_FLAT = (-1e300, 1e300)
+_XY = ((LO[0], LO[1], _FLAT[0]), (HI[0], HI[1], _FLAT[1]))
+for _name, _may, _sql in (
+    ("outside_box", lambda: ~geom.box_inside(LO, HI), f"NOT ({_within_sql(LO, HI)})"),
+    ("inside_xy", lambda: geom.boxes_overlap(*_XY), _overlap_sql(LO[:2], HI[:2])),
+    ("outside_xy", lambda: ~geom.box_inside(*_XY), f"NOT ({_within_sql(LO[:2], HI[:2])})"),
+    ("inside_hull", lambda: geom.box_may_meet_hull(HULL), " AND ".join(f"{heights_sql(v, d)[0]} <= 0" for v, d in HULL)),
+    ("outside_hull", lambda: geom.box_may_leave_hull(HULL), " OR ".join(f"{heights_sql(v, d)[1]} > 0" for v, d in HULL)),
+    ("near_plane", lambda: geom.box_meets_plane(*_unit(*PLANES[0]), 0.75), _near_sql(*PLANES[0], 0.75)),
+    ("near_any_plane", lambda: geom.any_of([geom.box_meets_plane(*_unit(*p), 0.75) for p in PLANES]), " OR ".join(_near_sql(*p, 0.75) for p in PLANES)),
+    ("not_near_plane", lambda: geom.box_may_leave_plane(*_unit(*PLANES[0]), 0.75), _far_sql(*PLANES[0], 0.75)),
+    ("not_near_any_plane", lambda: geom.all_of([geom.box_may_leave_plane(*_unit(*p), 0.75) for p in PLANES]), " AND ".join(_far_sql(*p, 0.75) for p in PLANES)),
+    ("near_polygon", lambda: geom.box_may_meet_polygon(RINGS[0], 1.5), _ring_sql(RINGS[0], 1.5)),
+    ("near_any_polygon", lambda: geom.any_of([geom.box_may_meet_polygon(r, 1.5) for r in RINGS]), " OR ".join(_ring_sql(r, 1.5) for r in RINGS)),
+):
+    add(f"approx_{_name}", (lambda may: lambda s, d: octree.approximate_count_where(_boxes(s, d), may()))(_may), f"{_BOUNDS} SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM b WHERE {_sql}")
+add(
+    "nodes_in_hull",
+    lambda s, d: octree.traverse(_boxes(s, d), HULL),
+    f"{_BOUNDS} SELECT level, cx, cy, cz, {' AND '.join(f'{heights_sql(v, d)[1]} <= 0' for v, d in HULL)} AS fully_inside FROM b WHERE {' AND '.join(f'{heights_sql(v, d)[0]} <= 0' for v, d in HULL)}",
+)
+
+
 def _lod(s: SparkSession, d: str) -> DataFrame:
     p, t = _tree(s, d)
     return octree.level_of_detail(octree.assign(p, t, LI_ROOT), t, LIMIT)

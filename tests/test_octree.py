@@ -139,3 +139,29 @@ def test_normals_of_a_plane(spark):
         assert np.allclose([r.nx, r.ny, r.nz], want, atol=1e-5) and r.flatness == pytest.approx(1, abs=1e-6)
     with pytest.raises(ValueError):
         normals.estimate(df, 0.5, 2)
+
+
+def test_a_box_test_never_rules_out_a_point(spark):
+    """Wherever a point of a node fits a predicate, the test of the node's bounds holds."""
+    rng = np.random.default_rng(5)
+    p = spark.createDataFrame([(i, i % 40, *map(float, q)) for i, q in enumerate(rng.uniform(-3, 3, (800, 3)) + rng.integers(-4, 5, (800, 3)))], "point_id long, cx int, x double, y double, z double").withColumns({k: F.lit(0) for k in ("level", "cy", "cz")})
+    lo, hi, flat = (-2.0, -1.0, 0.0), (3.0, 4.0, 2.0), 1e300
+    hull = geom.hull_of_box(lo, hi)
+    ring = [(-2.0, -2.0, 0.5), (3.0, -2.0, 0.5), (2.0, 3.0, 0.5)]
+    plane = ((0.0, 0.6, 0.8), 1.0)
+    xy = (F.col("x"), F.col("y"))
+    pairs = [
+        (geom.in_box(lo, hi), geom.boxes_overlap(lo, hi)),
+        (~geom.in_box(lo, hi), ~geom.box_inside(lo, hi)),
+        (geom.in_box(lo[:2], hi[:2], xy), geom.boxes_overlap((*lo[:2], -flat), (*hi[:2], flat))),
+        (~geom.in_box(lo[:2], hi[:2], xy), ~geom.box_inside((*lo[:2], -flat), (*hi[:2], flat))),
+        (geom.in_hull(hull), geom.box_may_meet_hull(hull)),
+        (~geom.in_hull(hull), geom.box_may_leave_hull(hull)),
+        (geom.near_plane(*plane, 0.5), geom.box_meets_plane(*plane, 0.5)),
+        (~geom.near_plane(*plane, 0.5), geom.box_may_leave_plane(*plane, 0.5)),
+        (geom.near_polygon(ring, 0.5), geom.box_may_meet_polygon(ring, 0.5)),
+    ]
+    whole = octree.with_stats(p)
+    own = p.groupBy("cx").agg(*(F.bool_or(a).alias(f"p{i}") for i, (a, _) in enumerate(pairs)))
+    got = whole.join(own, "cx").select(*(F.count_if(F.col(f"p{i}") & ~b).alias(f"wrong{i}") for i, (_, b) in enumerate(pairs)), *(F.count_if(F.col(f"p{i}")).alias(f"some{i}") for i in range(len(pairs)))).first()
+    assert not any(got[: len(pairs)]) and all(got[len(pairs) :])
