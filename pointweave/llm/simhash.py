@@ -21,8 +21,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, freed, fresh, gaps, pack, splitmix64, text_slices, unpack
@@ -39,7 +40,7 @@ FEW = 32
 #: shingle common, and the common shingles known at most. They only set an order.
 LOOKED_AT, COMMON, COMMON_MOST = 20_000, 4, 200_000
 #: Bits (a power of two) that rule out most unlike pairs, and texts that meet one in a task.
-PARITIES, LEAVES = 1024, 256
+PARITIES, LEAVES = 4096, 256
 #: Bytes of text that are cut into shingles at once.
 STEP_BYTES = 1 << 20
 #: Text keys that a task remembers, and a text's shingles that TILE stands for.
@@ -552,16 +553,54 @@ def _walk_sets(key: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[l
     return left, right
 
 
-def _big_links(rows: DataFrame, docs: DataFrame, least: float, words: int) -> DataFrame:
-    """(a, b): verified links of the shingles that many texts have, whose closure is that
-    of all pairs; past a tile's shingles, a bucket is cut into pairs of tiles. Buckets
-    all of one component (column comp) have nothing to add."""
-    limit = TILE * TILE_SHINGLES
-    wide = rows.where("big")
-    sizes = wide.groupBy("h").agg(F.ceil(F.sum("n") / limit).alias("tiles"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("h", "tiles")
+def _tile_pairs(rows: DataFrame, size: Column, limit: int) -> DataFrame:
+    """The ``rows`` of shingles whose texts are of several components (column comp), with
+    bucket: the shingle's, or past ``limit`` of the summed ``size`` one for each pair of
+    tiles, so that every two rows meet in one."""
+    sizes = rows.groupBy("h").agg(F.ceil(F.sum(size) / limit).alias("tiles"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("h", "tiles")
     tile = F.pmod(F.xxhash64(F.lit(5), "key"), F.col("tiles"))
     others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: F.xxhash64(F.col("h"), F.least(t, tile), F.greatest(t, tile)))
-    buckets = checkpointed(wide.join(sizes, "h").select("key", F.explode(others).alias("bucket")))
+    return rows.join(sizes, "h").withColumn("bucket", F.explode(others)).drop("tiles")
+
+
+def _big_pairs(rows: DataFrame, facts: DataFrame, least: float) -> DataFrame:
+    """(h, a, b), a < b: for each text of a shingle that many have, its first possible
+    partner (by sizes, places and parities) in each other component, if there is one."""
+    spread = _tile_pairs(rows, F.lit(1), TILE).join(facts.select("key", "odd"), "key")
+    spread = spread.repartition("bucket").sortWithinPartitions("bucket", "key").select("bucket", "h", "key", "n", "pos", "comp", "odd")
+    names = ["bucket", "h", "key", "n", "pos", "comp"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = (pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *(pc.list_element(b.column("odd"), i) for i in range(PARITIES // 64))], [*names, *(f"odd{i}" for i in range(PARITIES // 64))]) for b in batches)
+        for cols in _whole_runs(flat, [*names, *(f"odd{i}" for i in range(PARITIES // 64))]):
+            start, size = _runs(cols[0])
+            found = []
+            for at in np.flatnonzero(start == np.arange(start.size)).tolist():
+                h, key, n, pos, comp = (c[at : at + size[at]] for c in cols[1:6])
+                odd = np.stack([c[at : at + size[at]] for c in cols[6:]]).view(np.uint64)
+                for a in range(0, key.size, 64):
+                    i, j = np.nonzero(comp[a : a + 64, None] != comp[None])
+                    i += a
+                    fit = _fits(n, pos, i, j, least)
+                    i, j = i[fit], j[fit]
+                    apart = np.zeros(i.size, np.int64)
+                    for word in odd:
+                        apart += np.bitwise_count(word[i] ^ word[j])
+                    near = apart <= (1 - least) / (1 + least) * (n[i] + n[j]) + 1e-6
+                    i, j = i[near], j[near]
+                    first = np.unique(np.stack([i, comp[j]]), axis=1, return_index=True)[1]
+                    i, j = i[first], j[first]
+                    found.append(np.stack([h[i], np.minimum(key[i], key[j]), np.maximum(key[i], key[j])]))
+            pair = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in pair], ["h", "a", "b"])
+
+    return spread.mapInArrow(run, "h long, a long, b long")
+
+
+def _big_links(rows: DataFrame, docs: DataFrame, least: float, words: int) -> DataFrame:
+    """(a, b): verified links of the shingles that many texts have, whose closure is that
+    of all pairs; past a tile's shingles, a bucket is cut into pairs of tiles."""
+    buckets = checkpointed(_tile_pairs(rows, F.col("n"), TILE * TILE_SHINGLES).select("key", "bucket"))
     sets = _sets(docs, buckets.select("key").distinct(), words)
     spread = buckets.join(sets, "key").repartition("bucket").sortWithinPartitions("bucket", "key").select("bucket", "key", "shingles")
 
@@ -594,9 +633,9 @@ def near_copies(docs: DataFrame, least: float = COPY_LEAST, words: int = COPY_WO
     same words (A-Z lower-cased) and all whose sets of ``words``-word shingles
     have a Jaccard similarity of ``least`` or more: of two such sets, the first
     shingles in a fixed order (a fifth, for 0.8) share one. A shingle's texts are
-    compared with one of them first; of those that this leaves apart, all pairs are,
-    or spanning links found from pivot to pivot where they are many. Every link is
-    tested on the sets of 64-bit shingles.
+    compared with one of them first; of those that this leaves apart, all pairs that
+    their parities allow, or, where they are many, one for each text and component,
+    and at last from pivot to pivot. Every link is tested on the sets of 64-bit shingles.
     Null and wordless texts are the same text. Null ids are never the smallest
     unless a component has no other. Repeated rows stay repeated; an empty table
     gives an empty one; other columns are not read.
@@ -624,9 +663,16 @@ def near_copies(docs: DataFrame, least: float = COPY_LEAST, words: int = COPY_WO
     comp = lambda c: F.coalesce(f"root_{c}", c)
     unlinked = checkpointed(tried.join(name("a"), "a", "left").join(name("b"), "b", "left").where(comp("a") != comp("b")).select("a", "b"))
     rest = checkpointed(_open_buckets(met, unlinked, least).join(name("key"), "key", "left").withColumn("comp", comp("key")).drop("root_key"))
-    again = _possible(_small_pairs(rest, least).join(tried, ["a", "b"], "left_anti"), facts, least)
-    more = _verified(checkpointed(again), docs, least, words).unionByName(_big_links(rest, docs, least, words))
-    roots = components(linked.unionByName(more))
+    few = _possible(_small_pairs(rest, least).join(tried, ["a", "b"], "left_anti"), facts, least)
+    many = _big_pairs(rest.where("big").drop("big"), facts, least).select("a", "b")
+    again = checkpointed(few.unionByName(many).distinct())
+    linked = checkpointed(linked.unionByName(_verified(again, docs, least, words)))
+    roots = checkpointed(components(linked))
+    # what of the shingles of many texts is open still, from pivot to pivot
+    rest = checkpointed(rest.where("big").drop("big", "comp").join(name("key"), "key", "left").withColumn("comp", comp("key")).drop("root_key"))
+    left = checkpointed(_big_pairs(rest, facts, least).select("h").distinct())
+    if not left.isEmpty():
+        roots = components(linked.unionByName(_big_links(rest.join(left, "h", "left_semi"), docs, least, words)))
     named = texts.join(roots, texts["text_key"] == roots["node"], "left").select("text_key", "first", F.coalesce("root", "text_key").alias("root"))
     named = checkpointed(named)
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
