@@ -43,7 +43,7 @@ CENTRE = {
 }
 #: Ecliptic longitude of the perihelion (degrees).
 PERIHELION = {"mercury": 230.3265, "venus": 73.7576, "earth": 102.9373, "mars": 71.0041, "jupiter": 237.1015, "saturn": 99.4587, "uranus": 5.4634, "neptune": 182.2100, "pluto": 184.5484}
-#: Solar time J0, J1, J2, J3 (days).
+#: Solar time (days): a transit's offset, its two series, a solar day.
 SOLAR_TIME = {
     "mercury": (45.3497, 11.4556, 0.0000, 175.9386),
     "venus": (52.1268, -0.2516, 0.0099, -116.7505),
@@ -55,7 +55,7 @@ SOLAR_TIME = {
     "neptune": (0.3841, 0.0019, -0.0066, 0.6712575),
     "pluto": (4.5635, -0.5024, 0.3429, 6.387672),
 }
-#: Horizon coefficients (degrees).
+#: Series of the sun's hour angle at the horizon (degrees).
 HORIZON = {
     "mercury": (0.035, 0.0, 0.0),
     "venus": (2.636, 0.001, 0.0),
@@ -103,6 +103,7 @@ def obliquity(jd: Column, model: str = "aa2010") -> Column:
 
 def sidereal_time(jd: Column) -> Column:
     """Earth rotation angle at the prime meridian, not reduced to one turn."""
+    # fixed values
     return F.lit(2 * math.pi) * (F.lit(0.7790572732640) + F.lit(1.002737811911354) * (jd - J2000))
 
 
@@ -190,9 +191,32 @@ def sun_position(jd: Column, longitude: float, latitude: float) -> tuple[Column,
     return (*spherical(h, a), d)
 
 
+def solar_longitude(planet: str, jd: Column) -> Column:
+    """Ecliptic longitude of the sun as a planet sees it (radians, not reduced)."""
+    return true_anomaly(planet, mean_anomaly(planet, jd)) + (PERIHELION[planet] + 180) * RAD
+
+
+def solar_transit(planet: str, jd: Column, longitude: float) -> Column:
+    """Julian day of the sun's transit nearest to ``jd`` at an eastern longitude (degrees)."""
+    offset, first, second, day = SOLAR_TIME[planet]
+    turns = (jd - J2000 - F.lit(offset)) / F.lit(day) + longitude / 360
+    near = jd + F.lit(day) * (F.round(turns) - turns)
+    m = mean_anomaly(planet, near)
+    return near + first * F.sin(m) + second * F.sin(2 * (m + (PERIHELION[planet] + 180) * RAD))
+
+
+def horizon_hour_angle(planet: str, longitude_of_sun: Column, latitude: float) -> Column:
+    """Hour angle (radians) at which the sun's centre meets the horizon, by the series in
+    the sine of its ecliptic longitude; for latitudes where it does."""
+    a, b, c = HORIZON[planet]
+    s, t = F.sin(longitude_of_sun), math.tan(latitude * RAD)
+    return (90 + a * s * t + b * F.pow(s, F.lit(3)) * t * (3 + t * t) + c * F.pow(s, F.lit(5)) * t * (15 + 10 * t * t + 3 * t**4)) * RAD
+
+
 def moon_position(jd: Column, longitude: float, latitude: float) -> tuple[Column, Column, Column]:
-    """phi, theta and distance (m)."""
+    """phi, theta and distance (m), by one term of each published series."""
     t = jd - J2000
+    # fixed values
     m = (F.lit(134.963) + t * 13.064993) * RAD
     lam = F.lit(218.316) + t * 13.176396 + 6.289 * F.sin(m)
     beta = 5.128 * F.sin((F.lit(93.272) + t * 13.229350) * RAD)

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from . import knn
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -148,9 +147,3 @@ def at_least(labels: DataFrame, n: int) -> DataFrame:
 
 def centroids(points: DataFrame, labels: DataFrame) -> DataFrame:
     return points.join(labels, "point_id").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"c{c}") for c in "xyz"))
-
-
-def neighbours(points: DataFrame, delta: float) -> DataFrame:
-    """(a, b, distance) of all pairs within delta: for small, sparse clouds."""
-    q = points.select(F.col("point_id").alias("query_id"), "x", "y", "z")
-    return knn.nearest_join(q, points, delta).where("query_id < point_id").select(F.col("query_id").alias("a"), F.col("point_id").alias("b"), "distance")

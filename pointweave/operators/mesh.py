@@ -114,13 +114,6 @@ def opposite(corners: DataFrame) -> DataFrame:
     return h.join(o, ["mesh_id", "v0", "v1"], "left")
 
 
-def around_vertex(corners: DataFrame) -> DataFrame:
-    """(mesh_id, vi, fi, next_fi): from a vertex' face to the next one counter-clockwise."""
-    h = opposite(corners)
-    into = h.select("mesh_id", "fi", F.col("v1").alias("vi"), F.col("other_fi").alias("next_fi"))
-    return into
-
-
 def adjacency(corners: DataFrame) -> DataFrame:
     """(mesh_id, f, g, a, b), f < g: faces that share an edge."""
     e = half_edges(corners).select("mesh_id", "fi", F.least("v0", "v1").alias("a"), F.greatest("v0", "v1").alias("b"))

@@ -30,10 +30,6 @@ def exists(points: DataFrame, test: Column) -> bool:
     return not points.where(test).limit(1).isEmpty()
 
 
-def near_any(tests: Sequence[Column]) -> Column:
-    return geom.any_of(list(tests))
-
-
 def bounds(points: DataFrame) -> tuple[list[float], list[float]] | None:
     r = points.agg(*(f(c).alias(f"{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in "xyz")).first()
     return None if r[0] is None else ([r["lox"], r["loy"], r["loz"]], [r["hix"], r["hiy"], r["hiz"]])

@@ -760,6 +760,30 @@ add(
     lambda s, d: _times(s, d).select("point_id", *((F.round(c, 9) + 0.0).alias(k) for k, c in astro.precession(F.col("jd")).items())),
     f"SELECT point_id, {', '.join(f'round({_TURN[i][j]}, 9) + 0e0 AS m{i}{j}' for i in range(3) for j in range(3))} FROM (SELECT point_id, cos(zeta) AS cz, sin(zeta) AS sz, cos(z) AS cc, sin(z) AS sc, cos(theta) AS ct, sin(theta) AS st FROM (SELECT point_id, {_ANGLES} FROM {_T}))",
 )
+_PI180 = math.pi / 180
+
+
+def _anomaly_sql(planet: str, jd: str) -> str:
+    return f"({n(astro.ORBITS[planet][5] * _PI180)} + {n(astro.ORBITS[planet][6] * _PI180)} * ({jd} - 2451545e0))"
+
+
+def _transit_sql(planet: str) -> str:
+    offset, first, second, day = astro.SOLAR_TIME[planet]
+    turns = f"((jd - 2451545e0 - {n(offset)}) / {n(day)} + {n(LON / 360)})"
+    m = _anomaly_sql(planet, "near")
+    return f"SELECT point_id, round(near + {n(first)} * sin({m}) + {n(second)} * sin(2 * ({m} + {n((astro.PERIHELION[planet] + 180) * _PI180)})), 5) AS transit FROM (SELECT point_id, jd + {n(day)} * (round({turns}) - {turns}) AS near FROM (SELECT point_id, {_JD} AS jd FROM ev))"
+
+
+def _horizon_sql(planet: str) -> str:
+    a, b, c = astro.HORIZON[planet]
+    t, m = math.tan(LAT * _PI180), _anomaly_sql(planet, _JD)
+    lam = f"({m} + ({' + '.join(f'{n(k)} * sin({m} * {i + 1})' for i, k in enumerate(astro.CENTRE[planet]))}) * {_R} + {n((astro.PERIHELION[planet] + 180) * _PI180)})"
+    return f"SELECT point_id, round((90 + {n(a * t)} * s + {n(b * t * (3 + t * t))} * s * s * s + {n(c * t * (15 + 10 * t * t + 3 * t**4))} * s * s * s * s * s) * {_R}, 6) AS h FROM (SELECT point_id, sin({lam}) AS s FROM ev)"
+
+
+for _name in ("earth", "mars"):
+    add(f"solar_transit_{_name}", (lambda p: lambda s, d: _times(s, d).select("point_id", F.round(astro.solar_transit(p, F.col("jd"), LON), 5).alias("transit")))(_name), _transit_sql(_name))
+    add(f"sun_horizon_{_name}", (lambda p: lambda s, d: _times(s, d).select("point_id", F.round(astro.horizon_hour_angle(p, astro.solar_longitude(p, F.col("jd")), LAT), 6).alias("h")))(_name), _horizon_sql(_name))
 add("star_frames", lambda s, d: frames.star_frames(_times(s, d), LON, LAT))
 add("angular_diameter", lambda s, d: views.event_points(s, d).select("point_id", F.round(astro.angular_diameter(astro.MOON_DIAMETER, F.col("y") * 1e6 + 3e8), 8).alias("a")), "SELECT point_id, round(2 * atan(1737100e0 / (y * 1e6 + 3e8)), 8) AS a FROM ev")
 _GEO = "(SELECT point_id, x / 3 AS lon, y * 0.8e0 - 40 AS lat, z * 10 AS h FROM li)"
