@@ -21,7 +21,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,11 +35,13 @@ SMALL, TILE = 16, 8192
 COPY_WORDS, COPY_LEAST = 5, 0.8
 #: Texts of a shingle up to which the near copies' search compares all pairs.
 FEW = 32
-#: Texts that are looked at for common shingles, the texts of these that make a
-#: shingle common, and the common shingles known at most. They only set an order.
-LOOKED_AT, COMMON, COMMON_MOST = 20_000, 4, 200_000
-#: Bits (a power of two) that rule out most unlike pairs, and texts that meet one in a task.
-PARITIES, LEAVES = 4096, 256
+#: Texts that are looked at for common shingles (so many, and one in EACH at least), the
+#: texts of these that make a shingle common, and the slots (a power of two) of the table
+#: that tells how common. They only set an order.
+LOOKED_AT, EACH, COMMON, SLOTS = 20_000, 8, 4, 1 << 23
+#: Bits (powers of two) that rule out most unlike pairs: as many as a text has shingles,
+#: within these two. Texts that meet one in a task.
+PARITIES_LEAST, PARITIES, LEAVES = 64, 4096, 256
 #: Bytes of text that are cut into shingles at once.
 STEP_BYTES = 1 << 20
 #: Text keys that a task remembers, and a text's shingles that TILE stands for.
@@ -311,40 +312,75 @@ def _set(packed: bytes) -> np.ndarray:
     return np.cumsum(unpack(packed), dtype=np.uint64)
 
 
-def parities(hashes: np.ndarray) -> np.ndarray:
-    """``PARITIES`` bits: how many of the hashes fall on each, odd or even. Two sets'
-    bits differ in at most as many places as the sets do."""
-    odd = np.bincount((hashes >> np.uint64(40)).astype(np.int64) & (PARITIES - 1), minlength=PARITIES) & 1
-    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+def parities(hashes: np.ndarray) -> bytes:
+    """Bits of a set, about as many as it has hashes: how many of these fall on each, odd
+    or even. Two sets' bits differ in at most as many places as the sets do, also where
+    the longer are folded to the shorter ones' number."""
+    bits = min(PARITIES, max(PARITIES_LEAST, 1 << (int(hashes.size) - 1).bit_length() if hashes.size else 0))
+    odd = np.bincount((hashes >> np.uint64(40)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
-def _common(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles that many of about LOOKED_AT texts have, the most common last."""
-    nth = max(1, docs.count() // LOOKED_AT)
+def _apart(odd: list[bytes] | np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many places the parities of the texts i and j differ."""
+    size = np.array([len(x) >> 3 for x in odd], dtype=np.int64)
+    start = np.cumsum(size) - size
+    words = np.frombuffer(b"".join(odd), dtype=np.uint64)
+
+    def word(k: np.ndarray, w: int, m: int) -> np.ndarray:
+        out = words[start[k] + w]
+        for step in range(m, int(size[k].max()), m):
+            more = np.flatnonzero(size[k] > step)
+            out[more] ^= words[start[k[more]] + w + step]
+        return out
+
+    out = np.zeros(i.size, dtype=np.int64)
+    low = np.minimum(size[i], size[j])
+    for m in np.unique(low).tolist():
+        at = np.flatnonzero(low == m)
+        for w in range(m):
+            out[at] += np.bitwise_count(word(i[at], w, m) ^ word(j[at], w, m))
+    return out
+
+
+def _common(docs: DataFrame, words: int) -> bytes:
+    """How common the shingles of a slot are, a byte each: 0, or the more the more of the
+    texts looked at have the most common of them. As large whatever the data."""
+    nth = max(1, min(EACH, docs.count() // LOOKED_AT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, "text"):
+        for batch in freed(batches):
+            for part in text_slices(batch, "text", STEP_BYTES):
                 made = [np.unique(_shingle_hashes(_parts(t), words)) for t in part.column("text").to_pylist()]
                 h, n = np.unique(np.concatenate(made), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], ["h", "n"])
 
     text = F.col("text").cast("string")
     some = docs.select(text.alias("text")).where(F.pmod(F.xxhash64(text), F.lit(nth)) == 0)
-    counted = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
-    found = counted.orderBy(F.desc("n"), "h").limit(COMMON_MOST).toArrow()
-    return found.column("h").to_numpy().astype(np.int64).view(np.uint64)[::-1]
-
-
-def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, least: float) -> np.ndarray:
-    """The first of a set's distinct shingles in one order for all sets, ``common``
-    (sorted, with its ``rank``) at the end: as many as any set that is ``least``
-    alike has one of among its own first ones."""
-    place = np.full(hashes.size, -1, dtype=np.int64)
-    if common.size:
-        at = np.minimum(np.searchsorted(common, hashes), common.size - 1)
-        hit = common[at] == hashes
-        place[hit] = rank[at[hit]]
+    counted = some.mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    slot, block = F.col("h").bitwiseAND(F.lit(SLOTS - 1)), 1 << 16
+    levels = counted.select(F.shiftright(slot, 16).alias("block"), slot.bitwiseAND(F.lit(block - 1)).cast("int").alias("at"), F.least(F.lit(255), F.floor(F.log2("n") * 4)).cast("int").alias("level"))
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            b, at, level = (batch.column(c).to_numpy() for c in ("block", "at", "level"))
+            for k in np.unique(b).tolist():
+                np.maximum.at(made.setdefault(k, np.zeros(block, dtype=np.uint8)), at[b == k], level[b == k].astype(np.uint8))
+        for k, x in made.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["block", "levels"])
+
+    out = np.zeros(max(SLOTS, block), dtype=np.uint8)
+    for row in levels.repartition("block").mapInArrow(lay, "block long, levels binary").toLocalIterator():
+        out[row.block * block : (row.block + 1) * block] = np.frombuffer(bytes(row.levels), dtype=np.uint8)
+    return out.tobytes()
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
+    """The first of a set's distinct shingles in one order for all sets, the more
+    ``common`` (by slot) the later: as many as any set that is ``least`` alike has one
+    of among its own first ones."""
+    place = common[(hashes & np.uint64(common.size - 1)).astype(np.int64)]
     keep = hashes.size - int(np.ceil(least * hashes.size - 1e-9)) + 1
     return hashes[np.lexsort((hashes, place))[:keep]]
 
@@ -352,12 +388,10 @@ def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, least: floa
 def _prefixes(docs: DataFrame, least: float, words: int) -> DataFrame:
     """(h, key, n, pos) of prefix shingles h that two texts or more have: text key, its
     number of shingles, place in the order. Rows of one h are together, by key."""
-    late = _common(docs, words)
-    order = np.argsort(late)
-    shared = docs.sparkSession.sparkContext.broadcast((late[order], order))
+    shared = docs.sparkSession.sparkContext.broadcast(_common(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, rank = shared.value
+        common = np.frombuffer(shared.value, dtype=np.uint8)
         seen: set[int] = set()
         for batch in freed(batches):
             for part in text_slices(batch, "text", STEP_BYTES):
@@ -371,7 +405,7 @@ def _prefixes(docs: DataFrame, least: float, words: int) -> DataFrame:
                         seen.clear()
                     seen.add(k)
                     every = np.unique(_shingle_hashes(parts, words))
-                    hs.append(prefix(every, common, rank, least))
+                    hs.append(prefix(every, common, least))
                     keys.append(k)
                     sizes.append(every.size)
                 if keys:
@@ -486,9 +520,17 @@ def _small_pairs(rows: DataFrame, least: float) -> DataFrame:
 def _possible(pairs: DataFrame, facts: DataFrame, least: float) -> DataFrame:
     """The pairs whose parities do not differ in more places than such sets may."""
     side = lambda c: facts.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"odd{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    apart = F.aggregate(F.zip_with("odda", "oddb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return both.where(apart <= (1 - least) / (1 + least) * (F.col("na") + F.col("nb")) + 1e-6).select("a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in freed(batches):
+            n = batch.num_rows
+            odd = [*batch.column("odda").to_pylist(), *batch.column("oddb").to_pylist()]
+            apart = _apart(odd, np.arange(n), np.arange(n, 2 * n))
+            near = apart <= (1 - least) / (1 + least) * (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) + 1e-6
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "odda", "oddb")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, least: float, words: int) -> DataFrame:
@@ -568,25 +610,19 @@ def _big_pairs(rows: DataFrame, facts: DataFrame, least: float) -> DataFrame:
     partner (by sizes, places and parities) in each other component, if there is one."""
     spread = _tile_pairs(rows, F.lit(1), TILE).join(facts.select("key", "odd"), "key")
     spread = spread.repartition("bucket").sortWithinPartitions("bucket", "key").select("bucket", "h", "key", "n", "pos", "comp", "odd")
-    names = ["bucket", "h", "key", "n", "pos", "comp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = (pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *(pc.list_element(b.column("odd"), i) for i in range(PARITIES // 64))], [*names, *(f"odd{i}" for i in range(PARITIES // 64))]) for b in batches)
-        for cols in _whole_runs(flat, [*names, *(f"odd{i}" for i in range(PARITIES // 64))]):
+        for cols in _whole_runs(batches, ["bucket", "h", "key", "n", "pos", "comp", "odd"]):
             start, size = _runs(cols[0])
             found = []
             for at in np.flatnonzero(start == np.arange(start.size)).tolist():
-                h, key, n, pos, comp = (c[at : at + size[at]] for c in cols[1:6])
-                odd = np.stack([c[at : at + size[at]] for c in cols[6:]]).view(np.uint64)
+                h, key, n, pos, comp, odd = (c[at : at + size[at]] for c in cols[1:])
                 for a in range(0, key.size, 64):
                     i, j = np.nonzero(comp[a : a + 64, None] != comp[None])
                     i += a
                     fit = _fits(n, pos, i, j, least)
                     i, j = i[fit], j[fit]
-                    apart = np.zeros(i.size, np.int64)
-                    for word in odd:
-                        apart += np.bitwise_count(word[i] ^ word[j])
-                    near = apart <= (1 - least) / (1 + least) * (n[i] + n[j]) + 1e-6
+                    near = _apart(odd, i, j) <= (1 - least) / (1 + least) * (n[i] + n[j]) + 1e-6
                     i, j = i[near], j[near]
                     first = np.unique(np.stack([i, comp[j]]), axis=1, return_index=True)[1]
                     i, j = i[first], j[first]
@@ -625,16 +661,28 @@ def _big_links(rows: DataFrame, docs: DataFrame, least: float, words: int) -> Da
     return spread.mapInArrow(run, "a long, b long").distinct()
 
 
+def _simhash_pairs(texts: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): pairs of texts (text_key, fp) whose fingerprints SimHash links, enough of
+    them to join all that it does: each text with the least key of its fingerprint, and
+    those least ones along the links of the covering masks."""
+    heads = checkpointed(texts.groupBy("fp").agg(F.min("text_key").alias("head")))
+    same = texts.join(heads, "fp").where("text_key <> head").select(F.col("head").alias("a"), F.col("text_key").alias("b"))
+    end = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}"))
+    across = links(heads.select("fp"), radius).join(end("a"), "a").join(end("b"), "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    return same.unionByName(across)
+
+
 def near_copies(docs: DataFrame, least: float = COPY_LEAST, words: int = COPY_WORDS) -> DataFrame:
     """(doc_id, text_key, component_id, group_key, raw_key), one row a row of ``docs``.
 
     group_key: the same for the rows of one component, whatever their ids.
     raw_key: Spark's xxhash64 of the text as it is. component_id: the smallest doc_id that links reach. Linked are texts of the
     same words (A-Z lower-cased) and all whose sets of ``words``-word shingles
-    have a Jaccard similarity of ``least`` or more: of two such sets, the first
-    shingles in a fixed order (a fifth, for 0.8) share one. A shingle's texts are
-    compared with one of them first; of those that this leaves apart, all pairs that
-    their parities allow, or, where they are many, one for each text and component,
+    have a Jaccard similarity of ``least`` or more. SimHash comes first: texts whose
+    fingerprints it links are compared. What it leaves apart is searched exactly: of two
+    such sets, the first shingles in a fixed order (a fifth, for 0.8) share one. A shingle's
+    texts are compared with one of them first; of those that this leaves apart, all pairs
+    that their parities allow, or, where they are many, one for each text and component,
     and at last from pivot to pivot. Every link is tested on the sets of 64-bit shingles.
     Null and wordless texts are the same text. Null ids are never the smallest
     unless a component has no other. Repeated rows stay repeated; an empty table
@@ -642,26 +690,31 @@ def near_copies(docs: DataFrame, least: float = COPY_LEAST, words: int = COPY_WO
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, "text"):
-                keys = np.array([_key(_parts(t)) for t in part.column("text").to_pylist()], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys.view(np.int64)), part.column("raw_key")], ["doc_id", "text_key", "raw_key"])
+        for batch in freed(batches):
+            for part in text_slices(batch, "text", STEP_BYTES):
+                texts = part.column("text").to_pylist()
+                keys = np.array([_key(_parts(t)) for t in texts], dtype=np.uint64)
+                fp = fingerprints(texts)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys.view(np.int64)), part.column("raw_key"), pa.array(fp.view(np.int64))], ["doc_id", "text_key", "raw_key", "fp"])
 
     text = F.col("text").cast("string")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("raw_key"))
-    rows = checkpointed(read.mapInArrow(run, "doc_id long, text_key long, raw_key long"))
-    texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("first"))
+    rows = checkpointed(read.mapInArrow(run, "doc_id long, text_key long, raw_key long, fp long"))
+    texts = checkpointed(rows.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")))
+    name = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    comp = lambda c: F.coalesce(f"root_{c}", c)
+    open_ = lambda pairs: pairs.join(name("a"), "a", "left").join(name("b"), "b", "left").where(comp("a") != comp("b")).select("a", "b")
+    # SimHash, each of whose links the sets then confirm or not
+    linked = checkpointed(_verified(_simhash_pairs(texts), docs, least, words))
+    roots = checkpointed(components(linked))
+    # of what it leaves apart, each shingle's texts against one of them
     met = checkpointed(_prefixes(docs, least, words))
-    # first each shingle's texts against one of them, which links most groups of copies
-    stars = _star_pairs(met, least)
-    facts = checkpointed(_of_texts(docs, met.select("key").distinct(), words, "n long, odd array<long>", lambda h: (h.size, parities(h).tolist())))
-    tried = checkpointed(stars)
-    linked = checkpointed(_verified(checkpointed(_possible(tried, facts, least)), docs, least, words))
+    tried = checkpointed(_star_pairs(met, least))
+    facts = checkpointed(_of_texts(docs, met.select("key").distinct(), words, "n long, odd binary", lambda h: (h.size, parities(h))))
+    linked = checkpointed(linked.unionByName(_verified(checkpointed(_possible(open_(tried), facts, least)), docs, least, words)))
     roots = checkpointed(components(linked))
     # then all pairs that this leaves open
-    name = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    comp = lambda c: F.coalesce(f"root_{c}", c)
-    unlinked = checkpointed(tried.join(name("a"), "a", "left").join(name("b"), "b", "left").where(comp("a") != comp("b")).select("a", "b"))
+    unlinked = checkpointed(open_(tried))
     rest = checkpointed(_open_buckets(met, unlinked, least).join(name("key"), "key", "left").withColumn("comp", comp("key")).drop("root_key"))
     few = _possible(_small_pairs(rest, least).join(tried, ["a", "b"], "left_anti"), facts, least)
     many = _big_pairs(rest.where("big").drop("big"), facts, least).select("a", "b")

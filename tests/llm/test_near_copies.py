@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from pointweave.llm import simhash
@@ -145,6 +146,45 @@ def test_groups_without_ids_each_keep_a_row(spark):
     assert sorted(map(str, kept)) == ["(0, 'm n')", "(1, 'z')", "(None, 'x')", "(None, 'y')"]
 
 
+def test_simhash_links_what_it_can_before_the_shingles(spark, monkeypatch):
+    rows = [(d, t) for d, t in corpus(7) if d is not None]
+    rows += [(1000 + d, f"{t} {t}".upper()) for d, t in rows if len(words_of(t)) > 30]
+    rows += [(2000 + d, f"{t} {t} end") for d, t in rows if len(words_of(t)) > 200]
+    docs = spark.createDataFrame([(d, t, "") for d, t in rows], SCHEMA)
+    want, _ = plain(rows)
+    prints = {d: simhash.fingerprint(t) for d, t in rows}
+    linked = [(d, e) for (d, _), x in zip(rows, want) for (e, _), y in zip(rows, want) if d < e and x == y and (prints[d] ^ prints[e]).bit_count() <= simhash.RADIUS]
+    every = simhash._prefixes
+    monkeypatch.setattr(simhash, "_prefixes", lambda *a: every(*a).limit(0))
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    exact = {d: " ".join(map(bytes.decode, words_of(t))) for d, t in rows}
+    together = [(d, e) for d, e in linked if exact[d] != exact[e] and got[d] == got[e]]
+    assert len(together) > 20 and len(together) >= 0.8 * sum(exact[d] != exact[e] for d, e in linked)
+    whole = dict(zip((d for d, _ in rows), want))
+    assert all(whole[d] == whole[c] for d, c in got.items())
+
+
+def test_passages_stay_late_however_many_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LOOKED_AT", 10)
+    rng = random.Random(6)
+    new = lambda k: ["".join(rng.choices("abcdefgh", k=7)) for _ in range(k)]
+    passage = new(30)
+    rows = [(i, " ".join(new(100) + passage + new(100) if i % 4 == 0 else new(200)), "") for i in range(800)]
+    assert simhash._prefixes(spark.createDataFrame(rows, SCHEMA), 0.8, 5).count() == 0
+
+
+def test_parities_differ_in_no_more_places_than_the_sets():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 2, 63, 64, 65, 130, 4000, 9000)]
+    sets += [np.unique(np.concatenate([x[: x.size * 9 // 10], rng.integers(0, 1 << 63, x.size // 4, dtype=np.uint64)])) for x in sets]
+    odd = [simhash.parities(x) for x in sets]
+    assert len(odd[0]) < len(odd[5]) < len(odd[7])
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    apart = simhash._apart(odd, i, j)
+    assert all(n <= np.setxor1d(sets[a], sets[b]).size for a, b, n in zip(i, j, apart.tolist()))
+    assert (apart[i == j] == 0).all() and (apart[(i < 8) & (j < 8) & (i != j)] > 0).all()
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert simhash.near_copies(none).collect() == []
