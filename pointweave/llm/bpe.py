@@ -13,6 +13,7 @@ Decoding copies the entries' bytes through an offset table.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -28,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, text_slices
+from .common import LET_GO, freed, text_slices
 
 #: Words whose pieces (twice as many), and pairs whose compatibility, a worker keeps at most.
 KEPT_WORDS, KEPT_PAIRS = 250_000, 1_000_000
@@ -343,6 +344,16 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def _let_go() -> None:
+    if load.cache_info().currsize:
+        load.cache_clear()
+        WordBpe._single.cache_clear()
+        gc.collect()
+
+
+LET_GO.append(_let_go)
+
+
 def default_path() -> str:
     import public_tokenizers
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,16 @@ from ..session import checkpointed, shared_path  # noqa: F401  for the operators
 SLICE_BYTES = 4 << 20
 
 
+#: What empties the caches that operators keep in a worker between tasks.
+LET_GO: list[Callable[[], None]] = []
+
+
+def only_here() -> None:
+    """A worker that turns to an operator without such caches gives up the others'."""
+    for empty in LET_GO:
+        empty()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, freed, fresh, gaps, pack, splitmix64, text_slices, unpack
+from .common import checkpointed, freed, fresh, gaps, only_here, pack, splitmix64, text_slices, unpack
 
 RADIUS = 4
 SHINGLE = 4
@@ -285,6 +285,7 @@ def _of_texts(docs: DataFrame, keys: DataFrame, words: int, schema: str, make: C
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_here()
         bits = np.frombuffer(sieve.value, dtype=np.uint8)
         for batch in freed(batches):
             for part in text_slices(batch, "text", STEP_BYTES):
@@ -349,6 +350,7 @@ def _common(docs: DataFrame, words: int) -> bytes:
     nth = max(1, min(EACH, docs.count() // LOOKED_AT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_here()
         for batch in freed(batches):
             for part in text_slices(batch, "text", STEP_BYTES):
                 made = [np.unique(_shingle_hashes(_parts(t), words)) for t in part.column("text").to_pylist()]
@@ -391,6 +393,7 @@ def _prefixes(docs: DataFrame, least: float, words: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_common(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_here()
         common = np.frombuffer(shared.value, dtype=np.uint8)
         seen: set[int] = set()
         for batch in freed(batches):
@@ -690,6 +693,7 @@ def near_copies(docs: DataFrame, least: float = COPY_LEAST, words: int = COPY_WO
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_here()
         for batch in freed(batches):
             for part in text_slices(batch, "text", STEP_BYTES):
                 texts = part.column("text").to_pylist()

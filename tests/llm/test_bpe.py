@@ -3,12 +3,14 @@
 import hashlib
 import random
 import unicodedata
+import weakref
 
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
 from pointweave.llm import bpe
+from pointweave.llm.common import only_here
 
 PATH = bpe.default_path()
 
@@ -54,6 +56,13 @@ def test_vocabulary_entries_in_a_row(library):
         assert np.frombuffer(mine.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_a_worker_that_turns_to_another_operator_frees_the_encoder():
+    bpe.load(PATH).encode("some words")
+    held = weakref.ref(bpe.load(PATH))
+    only_here()
+    assert held() is None
+
+
 def test_decoding_in_steps(monkeypatch, library):
     monkeypatch.setattr(bpe, "DECODE_STEP", 3)
     ids = library.encode("some words, and some more of them", add_special_tokens=False).ids
