@@ -82,7 +82,10 @@ class WordBpe:
         self.split_added = regex.compile("|".join(f"({regex.escape(t)})" for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         late = late_letters(path)
-        self.pattern = regex.compile(known_letters(pattern, [c for c, (_, kind) in late.items() if kind == "other"]))
+        # the sets without late letters are slow, so only words that have one use them
+        self.late = frozenset(c for c, (_, kind) in late.items() if kind == "other")
+        self.late_pattern = regex.compile(known_letters(pattern, sorted(self.late)))
+        self.pattern = regex.compile("(?V1)" + pattern)
         self.lower = {ord(c): low for c, (low, _) in late.items() if low != c}
         self.special = regex.compile("[" + "".join([*map(chr, self.lower), *apart(path)]) + "]") if self.lower or apart(path) else None
         self.apart = regex.compile("(?=[" + "".join(apart(path)) + "])") if apart(path) else None
@@ -223,7 +226,8 @@ class WordBpe:
 
     def chunk(self, chunk: str) -> bytes:
         """Ids of a run without spaces, as little-endian unsigned 32-bit integers."""
-        parts = (self.ascii_pattern if chunk.isascii() else self.pattern).findall(chunk)
+        pattern = self.ascii_pattern if chunk.isascii() else self.pattern if self.late.isdisjoint(chunk) else self.late_pattern
+        parts = pattern.findall(chunk)
         if len(parts) == 1 and len(parts[0]) == len(chunk):
             return self._ids(chunk)
         out = []

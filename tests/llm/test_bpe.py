@@ -7,6 +7,7 @@ import weakref
 
 import numpy as np
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 from pointweave.llm import bpe
@@ -63,6 +64,23 @@ def test_a_worker_that_turns_to_another_operator_frees_the_encoder():
     assert held() is None
 
 
+def test_only_words_with_late_letters_meet_the_slow_sets(monkeypatch, library):
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern, self.seen = pattern, []
+
+        def findall(self, word):
+            self.seen.append(word)
+            return self.pattern.findall(word)
+
+    mine = bpe.WordBpe(PATH)
+    late = sorted(mine.late & set(regex.findall(r"[\p{L}\p{N}]", "".join(mine.late))))
+    mine.late_pattern = Counted(mine.late_pattern)
+    text = "größe, ça l'été «où» ὀδυσσεύς 東京 ٣٤ 'ſ naïve" + "".join(f" é{c}é" for c in late[:5])
+    assert np.frombuffer(mine.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert mine.late_pattern.seen == [f"é{c}é" for c in late[:5]]
+
+
 def test_decoding_in_steps(monkeypatch, library):
     monkeypatch.setattr(bpe, "DECODE_STEP", 3)
     ids = library.encode("some words, and some more of them", add_special_tokens=False).ids
