@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,6 +27,15 @@ def only_here() -> None:
         empty()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """:func:`checkpointed`, and the shuffle files of plans that nothing refers to any more
+    go: Spark removes them when the driver collects its garbage, by itself every half hour."""
+    spark, df = df.sparkSession, checkpointed(df)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

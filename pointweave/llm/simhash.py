@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, freed, fresh, gaps, only_here, pack, splitmix64, text_slices, unpack
+from .common import checkpointed, freed, fresh, gaps, only_here, pack, settled, splitmix64, text_slices, unpack
 
 RADIUS = 4
 SHINGLE = 4
@@ -48,6 +48,8 @@ STEP_BYTES = 1 << 20
 REMEMBERED, TILE_SHINGLES = 1_000_000, 512
 #: Bits (a power of two) of the sieve of candidate texts that tasks are sent.
 SIEVE_BITS = 1 << 26
+#: Links up to which the driver finds components; more are joined by star steps.
+FEW_LINKS = 1 << 18
 
 
 def fingerprint(text: str | None, words: int = SHINGLE) -> int:
@@ -198,13 +200,34 @@ def _signed(m: int) -> int:
     return m - (1 << 64) if m >> 63 else m
 
 
+def _joined(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of :func:`components`, of edges in memory: roots are hung on the least
+    root beside them, and all nodes on their roots, until no edge has two."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: u.size], ends[u.size :]
+    root = np.arange(nodes.size)
+    while a.size:
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root = up
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    hung = root != np.arange(nodes.size)
+    return nodes[hung], nodes[root[hung]]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each node's component, for nodes with edges.
 
-    Large-star and small-star steps in turn until the star forest no longer
-    changes; each step's edges are written to the shared folder.
+    Up to FEW_LINKS edges the driver joins them. More go through large-star and
+    small-star steps in turn until the star forest no longer changes; each step's
+    edges are written to the shared folder.
     """
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    if edges.count() <= FEW_LINKS:
+        few = edges.toArrow()
+        node, root = _joined(few.column("u").to_numpy(), few.column("v").to_numpy())
+        return edges.sparkSession.createDataFrame(pa.table({"node": node, "root": root}), "node long, root long")
     before = None
     while True:
         both = edges.union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v")
@@ -261,7 +284,7 @@ def _sieve(keys: DataFrame) -> bytes:
     large whatever the data; what it lets through in excess, a join drops."""
     slot = F.col("key").bitwiseAND(F.lit(SIEVE_BITS - 1))
     block = 1 << 16
-    packed = keys.select(F.shiftright(slot, 16).alias("block"), slot.bitwiseAND(F.lit(block - 1)).cast("int").alias("at")).distinct()
+    packed = keys.select(F.shiftright(slot, 16).alias("block"), slot.bitwiseAND(F.lit(block - 1)).cast("int").alias("at"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits: dict[int, np.ndarray] = {}
@@ -273,7 +296,7 @@ def _sieve(keys: DataFrame) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
 
     out = np.zeros(SIEVE_BITS // 8, dtype=np.uint8)
-    for row in packed.repartition("block").mapInArrow(pack, "block long, bits binary").toLocalIterator():
+    for row in packed.repartition("block").mapInArrow(pack, "block long, bits binary").collect():
         out[row.block * (block // 8) : (row.block + 1) * (block // 8)] = np.frombuffer(bytes(row.bits), dtype=np.uint8)
     return out.tobytes()
 
@@ -306,7 +329,7 @@ def _of_texts(docs: DataFrame, keys: DataFrame, words: int, schema: str, make: C
 
 def _sets(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
     """(key, shingles): the packed 64-bit shingles."""
-    return checkpointed(_of_texts(docs, keys, words, "shingles binary", lambda h: (pack(gaps(h)),)))
+    return settled(_of_texts(docs, keys, words, "shingles binary", lambda h: (pack(gaps(h)),)))
 
 
 def _set(packed: bytes) -> np.ndarray:
@@ -373,7 +396,7 @@ def _common(docs: DataFrame, words: int) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["block", "levels"])
 
     out = np.zeros(max(SLOTS, block), dtype=np.uint8)
-    for row in levels.repartition("block").mapInArrow(lay, "block long, levels binary").toLocalIterator():
+    for row in levels.repartition("block").mapInArrow(lay, "block long, levels binary").collect():
         out[row.block * block : (row.block + 1) * block] = np.frombuffer(bytes(row.levels), dtype=np.uint8)
     return out.tobytes()
 
@@ -540,7 +563,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, least: float, words: int) -> Da
     """The pairs whose sets are ``least`` alike. The sets of all b of one a meet its set;
     many of them are dealt over parts."""
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEAVES).alias("parts"))
-    dealt = checkpointed(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")))
+    dealt = settled(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")))
     sets = _sets(docs, dealt.select(F.explode(F.array("a", "b")).alias("key")).distinct(), words)
     heads = dealt.select("a", "part").distinct().join(sets.withColumnRenamed("key", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "shingles")
     leaves = dealt.join(sets.withColumnRenamed("key", "b"), "b").select("a", "part", "b", "shingles")
@@ -639,7 +662,7 @@ def _big_pairs(rows: DataFrame, facts: DataFrame, least: float) -> DataFrame:
 def _big_links(rows: DataFrame, docs: DataFrame, least: float, words: int) -> DataFrame:
     """(a, b): verified links of the shingles that many texts have, whose closure is that
     of all pairs; past a tile's shingles, a bucket is cut into pairs of tiles."""
-    buckets = checkpointed(_tile_pairs(rows, F.col("n"), TILE * TILE_SHINGLES).select("key", "bucket"))
+    buckets = settled(_tile_pairs(rows, F.col("n"), TILE * TILE_SHINGLES).select("key", "bucket"))
     sets = _sets(docs, buckets.select("key").distinct(), words)
     spread = buckets.join(sets, "key").repartition("bucket").sortWithinPartitions("bucket", "key").select("bucket", "key", "shingles")
 
@@ -703,35 +726,35 @@ def near_copies(docs: DataFrame, least: float = COPY_LEAST, words: int = COPY_WO
 
     text = F.col("text").cast("string")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("raw_key"))
-    rows = checkpointed(read.mapInArrow(run, "doc_id long, text_key long, raw_key long, fp long"))
-    texts = checkpointed(rows.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")))
+    rows = settled(read.mapInArrow(run, "doc_id long, text_key long, raw_key long, fp long"))
+    texts = settled(rows.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")))
     name = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     comp = lambda c: F.coalesce(f"root_{c}", c)
     open_ = lambda pairs: pairs.join(name("a"), "a", "left").join(name("b"), "b", "left").where(comp("a") != comp("b")).select("a", "b")
     # SimHash, each of whose links the sets then confirm or not
-    linked = checkpointed(_verified(_simhash_pairs(texts), docs, least, words))
-    roots = checkpointed(components(linked))
+    linked = settled(_verified(_simhash_pairs(texts), docs, least, words))
+    roots = settled(components(linked))
     # of what it leaves apart, each shingle's texts against one of them
-    met = checkpointed(_prefixes(docs, least, words))
-    tried = checkpointed(_star_pairs(met, least))
-    facts = checkpointed(_of_texts(docs, met.select("key").distinct(), words, "n long, odd binary", lambda h: (h.size, parities(h))))
-    linked = checkpointed(linked.unionByName(_verified(checkpointed(_possible(open_(tried), facts, least)), docs, least, words)))
-    roots = checkpointed(components(linked))
+    met = settled(_prefixes(docs, least, words))
+    tried = settled(_star_pairs(met, least))
+    facts = settled(_of_texts(docs, met.select("key").distinct(), words, "n long, odd binary", lambda h: (h.size, parities(h))))
+    linked = settled(linked.unionByName(_verified(settled(_possible(open_(tried), facts, least)), docs, least, words)))
+    roots = settled(components(linked))
     # then all pairs that this leaves open
-    unlinked = checkpointed(open_(tried))
-    rest = checkpointed(_open_buckets(met, unlinked, least).join(name("key"), "key", "left").withColumn("comp", comp("key")).drop("root_key"))
+    unlinked = settled(open_(tried))
+    rest = settled(_open_buckets(met, unlinked, least).join(name("key"), "key", "left").withColumn("comp", comp("key")).drop("root_key"))
     few = _possible(_small_pairs(rest, least).join(tried, ["a", "b"], "left_anti"), facts, least)
     many = _big_pairs(rest.where("big").drop("big"), facts, least).select("a", "b")
-    again = checkpointed(few.unionByName(many).distinct())
-    linked = checkpointed(linked.unionByName(_verified(again, docs, least, words)))
-    roots = checkpointed(components(linked))
+    again = settled(few.unionByName(many).distinct())
+    linked = settled(linked.unionByName(_verified(again, docs, least, words)))
+    roots = settled(components(linked))
     # what of the shingles of many texts is open still, from pivot to pivot
-    rest = checkpointed(rest.where("big").drop("big", "comp").join(name("key"), "key", "left").withColumn("comp", comp("key")).drop("root_key"))
-    left = checkpointed(_big_pairs(rest, facts, least).select("h").distinct())
+    rest = settled(rest.where("big").drop("big", "comp").join(name("key"), "key", "left").withColumn("comp", comp("key")).drop("root_key"))
+    left = settled(_big_pairs(rest, facts, least).select("h").distinct())
     if not left.isEmpty():
         roots = components(linked.unionByName(_big_links(rest.join(left, "h", "left_semi"), docs, least, words)))
     named = texts.join(roots, texts["text_key"] == roots["node"], "left").select("text_key", "first", F.coalesce("root", "text_key").alias("root"))
-    named = checkpointed(named)
+    named = settled(named)
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.where("root <> text_key").join(smallest, "root").select("text_key", "component_id", "root").unionByName(smallest.select(F.col("root").alias("text_key"), "component_id", "root"))
     return rows.join(named, "text_key").select("doc_id", "text_key", "component_id", F.col("root").alias("group_key"), "raw_key")

@@ -1,11 +1,12 @@
 """Near copies: five-word shingles, similarity 0.8, against all pairs."""
 
 import random
+import time
 
 import numpy as np
 import pytest
 
-from pointweave.llm import simhash
+from pointweave.llm import common, simhash
 
 SCHEMA = "doc_id long, text string, _id string"
 
@@ -185,6 +186,38 @@ def test_parities_differ_in_no_more_places_than_the_sets():
     assert (apart[i == j] == 0).all() and (apart[(i < 8) & (j < 8) & (i != j)] > 0).all()
 
 
+def test_few_jobs_whatever_the_partitions(spark):
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    docs = spark.createDataFrame([(d, t, "") for d, t in corpus()[:80]], SCHEMA)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("near copies", "")
+        assert simhash.near_copies(docs).count()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # not a job for each part of a sieve, nor any for each star step
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("near copies")) < 200
+
+
+def test_a_settled_table_lets_earlier_shuffles_go(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    table = common.settled(spark.range(1000).repartition(40, "id"))
+    assert table.count() == 1000
+    start = disk.getAllFiles().size()
+    for _ in range(5):
+        table = common.settled(table.repartition(40, "id"))
+    deadline = time.monotonic() + 20
+    while disk.getAllFiles().size() > start + 2 * 3 * 40 and time.monotonic() < deadline:
+        common.settled(spark.range(1))
+        time.sleep(0.5)
+    assert disk.getAllFiles().size() <= start + 2 * 3 * 40
+    assert table.count() == 1000
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert simhash.near_copies(none).collect() == []

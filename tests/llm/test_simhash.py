@@ -89,3 +89,25 @@ def test_long_chain(spark):
     df = spark.createDataFrame([(x,) for x in fps], "fp long")
     roots = {r.node: r.root for r in simhash.components(simhash.links(df)).collect()}
     assert set(roots.values()) == {min(fps)} and set(roots) == set(fps) - {min(fps)}
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components_in_memory_are_those_of_star_steps(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW_LINKS", few)
+    rng = random.Random(8)
+    ids = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(150)]
+    edges = [(rng.choice(ids), rng.choice(ids)) for _ in range(90)]
+    name = {i: i for i in ids}
+
+    def find(i):
+        while name[i] != i:
+            i = name[i]
+        return i
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        name[b] = a
+    got = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == sorted((i, find(i)) for i in ids if find(i) != i)
+    none = spark.createDataFrame([(1, 1)], "a long, b long")
+    assert simhash.components(none).collect() == []
