@@ -33,8 +33,9 @@ SHINGLE = 4
 SMALL, TILE = 16, 8192
 #: Near copies: words of a shingle, least similarity.
 COPY_WORDS, COPY_LEAST = 5, 0.8
-#: Texts of a shingle up to which the near copies' search compares all pairs.
-FEW = 32
+#: Texts of a shingle up to which the near copies' search compares all pairs; past that, the
+#: components in which a text is given a partner before the shingle is walked.
+FEW, PARTNERS = 32, 8
 #: Texts that are looked at for common shingles (so many, and one in EACH at least), the
 #: texts of these that make a shingle common, and the slots (a power of two) of the table
 #: that tells how common. They only set an order.
@@ -524,22 +525,26 @@ def _open_buckets(met: DataFrame, unlinked: DataFrame, least: float) -> DataFram
     return met.mapInArrow(run, "h long, key long, n long, pos long, big boolean")
 
 
-def _small_pairs(rows: DataFrame, least: float) -> DataFrame:
+def _small_pairs(rows: DataFrame, facts: DataFrame, least: float) -> DataFrame:
     """(a, b), a < b: of the shingles that few texts have, all pairs of texts that may be
-    alike and that are not known to be of one component (column comp)."""
+    alike (by sizes, places and parities) and that are not known to be of one component
+    (column comp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, key, n, pos, comp in _whole_runs(batches, ["h", "key", "n", "pos", "comp"]):
+        for h, key, n, pos, comp, odd in _whole_runs(batches, ["h", "key", "n", "pos", "comp", "odd"]):
             left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for shift in range(1, min(FEW, h.size)):
                 i = np.flatnonzero((h[:-shift] == h[shift:]) & (comp[:-shift] != comp[shift:]))
                 i = i[_fits(n, pos, i, i + shift, least)]
-                left.append(key[i])
-                right.append(key[i + shift])
-            pair = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
+                left.append(i)
+                right.append(i + shift)
+            i, j = np.concatenate(left), np.concatenate(right)
+            near = _apart(odd, i, j) <= (1 - least) / (1 + least) * (n[i] + n[j]) + 1e-6
+            pair = np.unique(np.stack([key[i[near]], key[j[near]]]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
 
-    few = rows.where("not big").repartition("h").sortWithinPartitions("h", "key")
+    few = rows.where("not big").join(facts.select("key", "odd"), "key").select("h", "key", "n", "pos", "comp", "odd")
+    few = few.repartition("h").sortWithinPartitions("h", "key")
     return few.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -633,7 +638,8 @@ def _tile_pairs(rows: DataFrame, size: Column, limit: int) -> DataFrame:
 
 def _big_pairs(rows: DataFrame, facts: DataFrame, least: float) -> DataFrame:
     """(h, a, b), a < b: for each text of a shingle that many have, its first possible
-    partner (by sizes, places and parities) in each other component, if there is one."""
+    partner (by sizes, places and parities) in each of the first PARTNERS other components
+    that have one. A shingle without rows has no possible pair."""
     spread = _tile_pairs(rows, F.lit(1), TILE).join(facts.select("key", "odd"), "key")
     spread = spread.repartition("bucket").sortWithinPartitions("bucket", "key").select("bucket", "h", "key", "n", "pos", "comp", "odd")
 
@@ -652,6 +658,8 @@ def _big_pairs(rows: DataFrame, facts: DataFrame, least: float) -> DataFrame:
                     i, j = i[near], j[near]
                     first = np.unique(np.stack([i, comp[j]]), axis=1, return_index=True)[1]
                     i, j = i[first], j[first]
+                    few = np.arange(i.size) - _runs(i)[0] < PARTNERS
+                    i, j = i[few], j[few]
                     found.append(np.stack([h[i], np.minimum(key[i], key[j]), np.maximum(key[i], key[j])]))
             pair = np.unique(np.concatenate(found, axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in pair], ["h", "a", "b"])
@@ -708,8 +716,8 @@ def near_copies(docs: DataFrame, least: float = COPY_LEAST, words: int = COPY_WO
     fingerprints it links are compared. What it leaves apart is searched exactly: of two
     such sets, the first shingles in a fixed order (a fifth, for 0.8) share one. A shingle's
     texts are compared with one of them first; of those that this leaves apart, all pairs
-    that their parities allow, or, where they are many, one for each text and component,
-    and at last from pivot to pivot. Every link is tested on the sets of 64-bit shingles.
+    that their parities allow, or, where they are many, some for each text, and at last
+    from pivot to pivot. Every link is tested on the sets of 64-bit shingles.
     Null and wordless texts are the same text. Null ids are never the smallest
     unless a component has no other. Repeated rows stay repeated; an empty table
     gives an empty one; other columns are not read.
@@ -743,7 +751,7 @@ def near_copies(docs: DataFrame, least: float = COPY_LEAST, words: int = COPY_WO
     # then all pairs that this leaves open
     unlinked = settled(open_(tried))
     rest = settled(_open_buckets(met, unlinked, least).join(name("key"), "key", "left").withColumn("comp", comp("key")).drop("root_key"))
-    few = _possible(_small_pairs(rest, least).join(tried, ["a", "b"], "left_anti"), facts, least)
+    few = _small_pairs(rest, facts, least).join(tried, ["a", "b"], "left_anti")
     many = _big_pairs(rest.where("big").drop("big"), facts, least).select("a", "b")
     again = settled(few.unionByName(many).distinct())
     linked = settled(linked.unionByName(_verified(again, docs, least, words)))

@@ -218,6 +218,27 @@ def test_a_settled_table_lets_earlier_shuffles_go(spark):
     assert table.count() == 1000
 
 
+def facts_of(spark, sets):
+    return spark.createDataFrame([(k, int(x.size), simhash.parities(x)) for k, x in enumerate(sets)], "key long, n long, odd binary")
+
+
+def test_pairs_do_not_grow_with_the_square_of_a_group(spark):
+    same = np.arange(1, 101, dtype=np.uint64) << np.uint64(41)
+    facts = facts_of(spark, [same] * 300)
+    rows = spark.createDataFrame([(h, k, 100, 0, k) for h in (7, 8) for k in range(300)], "h long, key long, n long, pos long, comp long")
+    got = simhash._big_pairs(rows, facts, 0.8).collect()
+    assert {r.h for r in got} == {7, 8} and len(got) <= 2 * 300 * simhash.PARTNERS
+    assert {k for r in got for k in (r.a, r.b)} == set(range(300))
+
+
+def test_small_buckets_give_no_pairs_that_parities_rule_out(spark):
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 63, 100, dtype=np.uint64)) for _ in range(30)]
+    facts = facts_of(spark, [*sets, sets[3]])
+    rows = spark.createDataFrame([(7, k, 100, 0, k, False) for k in range(31)], "h long, key long, n long, pos long, comp long, big boolean")
+    assert [tuple(r) for r in simhash._small_pairs(rows, facts, 0.8).collect()] == [(3, 30)]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert simhash.near_copies(none).collect() == []
