@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from . import blocks
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -74,23 +77,119 @@ def by_distance(points: DataFrame, delta: float, strict: bool = False, within: S
     return label(points, inside.unionByName(between))
 
 
+#: Vectors of a block that one task compares with another block, and of its chunks.
+BLOCK, CHUNK = 1 << 15, 1 << 11
+
+
 def by_vector(vectors: DataFrame, delta: float, id_col: str = "point_id", vector_col: str = "v") -> DataFrame:
     """Single linkage of vectors of any dimension, distance <= delta.
 
-    The grid lies over the first three components, which is exact: a pair within
-    delta is within delta there. Distances use all components.
+    Equal vectors are one. Blocks of a k-d tree whose boxes are within delta meet in
+    a task, chunk by chunk, as matrix products (all pairs, where no box rules any out:
+    vectors of many dimensions); sums too near delta for their rounding are worked out
+    again. A task gives a spanning forest of its links, so their number doesn't grow
+    with a cluster's pairs. Vectors with nulls or without finite values link to none.
     """
-    side = float(delta)
     v = vectors.select(F.col(id_col).alias("point_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    key = lambda i: F.floor(F.coalesce(F.get("v", F.lit(i)), F.lit(0.0)) / side).cast("long")
-    v = v.select("*", *(key(i).alias(f"g{i}") for i in range(3)))
-    around = F.array(*(F.struct(*((F.col(f"g{n}") + m).alias(f"g{n}") for n, m in enumerate((i, j, k)))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
-    left = v.select(F.col("point_id").alias("a"), F.col("v").alias("va"), F.explode(around).alias("g")).select("a", "va", "g.*")
-    d2 = F.aggregate(F.zip_with("va", "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    links = left.join(v, ["g0", "g1", "g2"]).where((F.col("a") < F.col("point_id")) & (d2 <= delta * delta)).select("a", F.col("point_id").alias("b"))
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    plain = F.transform("v", lambda x: x + 0.0)  # -0.0 equals 0.0
+    spots = checkpointed(v.where(finite).groupBy(plain.alias("v")).agg(F.min("point_id").alias("a"), F.max("point_id").alias("z")))
+    same = v.where(finite).withColumn("v", plain).join(spots.where("a <> z"), "v").select("a", F.col("point_id").alias("b"))
+    links = same
+    for size, n in spots.groupBy(F.size("v")).count().collect():  # a row a dimension
+        if size:
+            links = links.unionByName(_vector_links(spots.where(F.size("v") == size), size, n, float(delta)))
     return label(v, links)
 
 
+def _rows(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+
+def _vector_links(spots: DataFrame, size: int, n: int, delta: float) -> DataFrame:
+    """Spanning forests (a, b) of distinct vectors (a, v) of one dimension."""
+    leaves = math.ceil(n / min(BLOCK, max(n // 16, CHUNK // 2)))
+    part = min(1.0, leaves * blocks.SAMPLED * 1.2 / n)
+    sampled = (spots.sample(part, 7) if part < 1 else spots).select("v").toArrow()
+    tree = blocks.Tree.of(_rows(sampled["v"], size), leaves)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(tree.leaf(_rows(b["v"], size)), pa.int32()), b["a"], b["v"]], ["leaf", "a", "v"])
+
+    def pack(table: pa.Table) -> pa.Table:
+        v, a = _rows(table["v"], size), table["a"].to_numpy()
+        order = np.argsort(blocks.Tree.of(v, math.ceil(len(v) / CHUNK)).leaf(v), kind="stable")
+        made = [order[i : i + CHUNK] for i in range(0, len(v), CHUNK)]
+        out = {"leaf": [table["leaf"][0].as_py()] * len(made), "a": [a[o].astype("<i8").tobytes() for o in made], "v": [v[o].astype("<f8").tobytes() for o in made]}
+        out |= {"lo": [v[o].min(axis=0).tobytes() for o in made], "hi": [v[o].max(axis=0).tobytes() for o in made]}
+        return pa.table(out, pa.schema([("leaf", pa.int32()), *((c, pa.binary()) for c in ("a", "v", "lo", "hi"))]))
+
+    packed = "leaf int, a binary, v binary, lo binary, hi binary"
+    chunks = checkpointed(spots.select("a", "v").mapInArrow(deal, "leaf int, a long, v array<double>").groupBy("leaf").applyInArrow(pack, packed))
+    bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for r in chunks.select("leaf", "lo", "hi").toLocalIterator():
+        lo, hi = np.frombuffer(r.lo), np.frombuffer(r.hi)
+        old = bounds.get(r.leaf, (lo, hi))
+        bounds[r.leaf] = np.minimum(old[0], lo), np.maximum(old[1], hi)
+    limit = delta * delta
+    reach = limit * (1 + 1e-9)
+    ids = sorted(bounds)
+    low, high = (np.array([bounds[i][k] for i in ids]) for k in (0, 1))
+    meet = [(ids[i], ids[i + int(j)]) for i in range(len(ids)) for j in np.flatnonzero(blocks.box_distance2(low[i:], high[i:], low[i], high[i]) <= reach)]
+    sides = [(k, leaf, side) for k, pair in enumerate(meet) for side, leaf in enumerate(pair) if side == 0 or pair[0] != pair[1]]
+    spark = spots.sparkSession
+
+    def link(table: pa.Table) -> pa.Table:
+        rows = table.select(["side", "a", "v", "lo", "hi"]).to_pylist()
+        own = [np.frombuffer(r["v"], "<f8").reshape(-1, size) for r in rows]
+        names = np.concatenate([np.frombuffer(r["a"], "<i8") for r in rows])
+        start = np.cumsum([0, *map(len, own)])
+        forest, apart = blocks.Forest(len(names)), any(r["side"] for r in rows)
+        made = [_squares(x) for x in own]
+        for p, r in enumerate(rows):
+            for q in range(p, len(rows)):
+                if apart and r["side"] == rows[q]["side"]:
+                    continue
+                if blocks.box_distance2(*(np.frombuffer(x[k]) for x in (r, rows[q]) for k in ("lo", "hi"))) <= reach:
+                    i, j = _close(own[p], own[q], made[p], made[q], limit)
+                    forest.add(i + start[p], j + start[q])
+        found = names[forest.links()]
+        return pa.table({"a": found[:, 0], "b": found[:, 1]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    pairs = spark.createDataFrame(sides or [(0, -1, 0)], "pair int, leaf int, side int")
+    return chunks.join(F.broadcast(pairs), "leaf").repartition(len(meet) or 1, "pair").groupBy("pair").applyInArrow(link, "a long, b long")
+
+
+def _squares(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return x.astype(np.float32), (x * x).sum(axis=1)
+
+
+def _close(x: np.ndarray, y: np.ndarray, xs: tuple, ys: tuple, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs whose squared distance, added up in order, is at most ``limit``."""
+    scale = xs[1].max() + ys[1].max()
+    slack = (x.shape[1] + 8) * 2.0**-22 * scale
+    if slack > limit / 16 or scale > 1e30:
+        slack = (x.shape[1] + 8) * 2.0**-51 * scale
+        d2 = xs[1][:, None] + ys[1][None, :] - 2 * (x @ y.T)
+    else:
+        d2 = xs[0] @ ys[0].T
+        d2 *= np.float32(-2)
+        d2 += xs[1].astype(np.float32)[:, None]
+        d2 += ys[1].astype(np.float32)[None, :]
+    i, j = np.nonzero(d2 <= limit + slack)
+    open_ = np.flatnonzero(d2[i, j] > limit - slack)
+    keep = np.ones(len(i), bool)
+    for at in range(0, len(open_), 1 << 16):
+        o = open_[at : at + (1 << 16)]
+        e, total = x[i[o]] - y[j[o]], np.zeros(len(o))
+        for k in range(x.shape[1]):
+            total += e[:, k] * e[:, k]
+        keep[o] = total <= limit
+    return i[keep], j[keep]
+
+
 def equal(points: DataFrame) -> DataFrame:
     """Clusters of exactly equal positions."""
     first = points.groupBy("x", "y", "z").agg(F.min("point_id").alias("cluster_id"))
