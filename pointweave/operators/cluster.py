@@ -162,23 +162,22 @@ def _vector_links(spots: DataFrame, size: int, n: int, delta: float) -> DataFram
     return chunks.join(F.broadcast(pairs), "leaf").repartition(len(meet) or 1, "pair").groupBy("pair").applyInArrow(link, "a long, b long")
 
 
-def _squares(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return x.astype(np.float32), (x * x).sum(axis=1)
+def _squares(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Squared lengths, and factors whose product is the squared distance."""
+    n, one = (x * x).sum(axis=1), np.ones((len(x), 1))
+    return n, np.hstack([x, n[:, None], one]), np.hstack([-2 * x, one, n[:, None]])
 
 
 def _close(x: np.ndarray, y: np.ndarray, xs: tuple, ys: tuple, limit: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs whose squared distance, added up in order, is at most ``limit``."""
-    scale = xs[1].max() + ys[1].max()
+    scale = xs[0].max() + ys[0].max()
     slack = (x.shape[1] + 8) * 2.0**-22 * scale
-    if slack > limit / 16 or scale > 1e30:
-        slack = (x.shape[1] + 8) * 2.0**-51 * scale
-        d2 = xs[1][:, None] + ys[1][None, :] - 2 * (x @ y.T)
+    if slack <= limit / 16 and scale < 1e30:
+        d2 = xs[1].astype(np.float32) @ ys[2].astype(np.float32).T
     else:
-        d2 = xs[0] @ ys[0].T
-        d2 *= np.float32(-2)
-        d2 += xs[1].astype(np.float32)[:, None]
-        d2 += ys[1].astype(np.float32)[None, :]
-    i, j = np.nonzero(d2 <= limit + slack)
+        slack = (x.shape[1] + 8) * 2.0**-51 * scale
+        d2 = xs[1] @ ys[2].T
+    i, j = np.divmod(np.flatnonzero((d2 <= d2.dtype.type(limit + slack)).ravel()), len(y))
     open_ = np.flatnonzero(d2[i, j] > limit - slack)
     keep = np.ones(len(i), bool)
     for at in range(0, len(open_), 1 << 16):
