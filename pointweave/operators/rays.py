@@ -151,31 +151,78 @@ class Levels:
         return self.cells(df, {a: F.col(f"bb_min_{a}") - slack for a in V}, {a: F.col(f"bb_max_{a}") + slack for a in V})
 
 
+#: What makes a ray, and what makes an object of a kind; the other columns play no part.
+RAY = [*(f"{p}{a}" for p in "od" for a in V), "t_min", "t_max"]
+SHAPE = {
+    "box": [f"{p}{a}" for p in "ab" for a in V],
+    "sphere": [*(f"a{a}" for a in V), "r"],
+    "cylinder": [*(f"{p}{a}" for p in "ab" for a in V), "r"],
+    "triangle": [f"{p}{a}" for p in "abc" for a in V],
+    "line": [f"{p}{a}" for p in "ab" for a in V],
+}
+
+
+def _ranged(rays: DataFrame) -> DataFrame:
+    r = rays
+    for c, v in (("t_min", 0.0), ("t_max", float("inf"))):
+        r = r if c in rays.columns else r.withColumn(c, F.lit(v))
+    return r
+
+
 def hits(rays: DataFrame, objects: DataFrame, object_filter: Column | None = None, hit_filter: Column | None = None) -> DataFrame:
     """All (ray_id, object_id, t) with t_min <= t <= t_max.
 
     ``rays``: ray_id, ox..oz, dx..dz and optionally t_min (0) and t_max. Filters
-    apply before any nearest hit is chosen.
+    apply before any nearest hit is chosen. A row for each ray and object that meet.
     """
-    r = rays
-    for c, v in (("t_min", 0.0), ("t_max", float("inf"))):
-        r = r if c in rays.columns else r.withColumn(c, F.lit(v))
-    o = objects if object_filter is None else objects.where(object_filter)
+    if hit_filter is None:
+        found, shapes, names = _traced(rays, objects, object_filter)
+        return found.join(shapes, "_shape").join(names, "_ray").select("ray_id", "object_id", "t")
+    r, o = _ranged(rays), objects if object_filter is None else objects.where(object_filter)
     sizes = {k: n for k, n in o.groupBy("kind").count().collect()}  # a row a kind
     out = None
     for kind in sorted(HITS.keys() & sizes.keys()):  # apart, so that each kind's code stays small
         own = o.where(F.col("kind") == kind)
         few = sizes[kind] <= SMALL
         pairs = r.crossJoin(F.broadcast(own)) if few else _by_grid(r, own)
-        found = pairs.withColumn("t", HITS[kind]()).where(F.col("t").between(F.col("t_min"), F.col("t_max")))
-        if hit_filter is not None:
-            found = found.where(hit_filter)
+        found = pairs.withColumn("t", HITS[kind]()).where(F.col("t").between(F.col("t_min"), F.col("t_max"))).where(hit_filter)
         found = found.select("ray_id", "object_id", "t")
         found = found if few else found.distinct()  # a pair may share several cells
         out = found if out is None else out.unionByName(found)
     return r.select("ray_id", F.lit(0).alias("object_id"), F.lit(0.0).alias("t")).where(F.lit(False)) if out is None else out
 
 
+def _numbered(df: DataFrame, key: str) -> DataFrame:
+    """Distinct rows with a number, the same whenever they are read."""
+    return checkpointed(df.distinct().withColumn(key, F.monotonically_increasing_id()))
+
+
+def _traced(rays: DataFrame, objects: DataFrame, object_filter: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Hits (_ray, _shape, t) of the distinct rays at the distinct objects, then the
+    objects (_shape, object_id) and rays (_ray, ray_id) that are alike.
+
+    Rays and objects that repeat are worked out once; only the results multiply.
+    """
+    r, o = _ranged(rays), objects if object_filter is None else objects.where(object_filter)
+    distinct = _numbered(r.select(*RAY), "_ray")
+    sizes = {k for k, in o.select("kind").distinct().collect()}  # a row a kind
+    out, shapes = None, None
+    for i, kind in enumerate(sorted(HITS.keys() & sizes)):  # apart, so that each kind's code stays small
+        own = o.where(F.col("kind") == kind)
+        forms = _numbered(own.select(*SHAPE[kind]), "_shape").withColumn("_shape", F.col("_shape") * len(HITS) + i)
+        few = forms.count() <= SMALL
+        plain = forms.select("_shape", F.lit(kind).alias("kind"), *(F.col(c) if c in SHAPE[kind] else F.lit(None).cast("double").alias(c) for c in COLUMNS[2:]))
+        pairs = distinct.crossJoin(F.broadcast(plain)) if few else _by_grid(distinct, plain)
+        found = pairs.withColumn("t", HITS[kind]()).where(F.col("t").between(F.col("t_min"), F.col("t_max"))).select("_ray", "_shape", "t")
+        found = found if few else found.distinct()  # a pair may share several cells
+        names = own.join(forms, SHAPE[kind]).select("_shape", "object_id")
+        out, shapes = (found, names) if out is None else (out.unionByName(found), shapes.unionByName(names))
+    if out is None:
+        out = distinct.select("_ray", F.lit(0).cast("long").alias("_shape"), F.lit(0.0).alias("t")).where(F.lit(False))
+        shapes = o.select(F.lit(0).cast("long").alias("_shape"), "object_id").where(F.lit(False))
+    return checkpointed(out), shapes, r.join(distinct, RAY).select("_ray", "ray_id")
+
+
 def _shifted(by: Column, scale: Column):
     return lambda x: (x + by) / scale
 
@@ -209,10 +256,15 @@ def _by_grid(rays: DataFrame, objects: DataFrame) -> DataFrame:
     return r.join(grid.objects(b), ["level", "gx", "gy", "gz"])
 
 
-def nearest_hit(rays: DataFrame, objects: DataFrame, **filters: Column) -> DataFrame:
+def nearest_hit(rays: DataFrame, objects: DataFrame, object_filter: Column | None = None, hit_filter: Column | None = None) -> DataFrame:
     """(ray_id, object_id, t) of each ray's first hit; ties: least object_id."""
-    found = hits(rays, objects, **filters).groupBy("ray_id").agg(F.min(F.struct("t", "object_id")).alias("h"))
-    return found.select("ray_id", "h.object_id", "h.t")
+    first = F.min(F.struct("t", "object_id")).alias("h")
+    if hit_filter is not None:
+        return hits(rays, objects, object_filter, hit_filter).groupBy("ray_id").agg(first).select("ray_id", "h.object_id", "h.t")
+    found, shapes, names = _traced(rays, objects, object_filter)
+    least = shapes.groupBy("_shape").agg(F.min("object_id").alias("object_id"))
+    best = found.join(least, "_shape").groupBy("_ray").agg(first)
+    return best.join(names, "_ray").groupBy("ray_id").agg(F.min("h").alias("h")).select("ray_id", "h.object_id", "h.t")
 
 
 def _distance() -> Column:
@@ -231,15 +283,26 @@ def closest(queries: DataFrame, objects: DataFrame) -> DataFrame:
     """(query_id, object_id, distance): the object nearest to each point (x, y, z),
     to a surface; 0 inside boxes, spheres and cylinders. Ties: least object_id.
 
-    Points look at the cells within a radius. One whose nearest object there is no
+    Points and objects that repeat are worked out once. Points look at the cells within
+    a radius. One whose nearest object there is no
     farther than that is done; the others try again with twice the radius, so the
     rounds grow with the logarithm of the largest distance.
     """
-    b = object_bounds(objects)
+    forms = objects.select("object_id", "kind", *(F.when(F.col("kind").isin([k for k in SHAPE if c in SHAPE[k]]), F.col(c).cast("double")).alias(c) for c in COLUMNS[2:]))
+    b = checkpointed(object_bounds(forms.groupBy(*COLUMNS[1:]).agg(F.min("object_id").alias("object_id"))))
     grid = Levels.of(b)
-    todo, done, k = queries.select("query_id", *V), None, 0
     if grid is None:
-        return b.join(todo.limit(0)).select("query_id", "object_id", F.lit(0.0).alias("distance"))
+        return b.join(queries.limit(0).select("query_id")).select("query_id", "object_id", F.lit(0.0).alias("distance"))
+    every = queries.select("query_id", *(F.col(a).cast("double").alias(a) for a in V))
+    known = " and ".join(f"{a} is not null and not isnan({a})" for a in V)
+    spots = _numbered(every.where(known).select(*V), "_spot")
+    found = _closest(spots.withColumnRenamed("_spot", "query_id"), b, grid).withColumnRenamed("query_id", "_spot")
+    return every.join(spots, [*V]).join(found, "_spot").select("query_id", "object_id", "distance")
+
+
+def _closest(queries: DataFrame, b: DataFrame, grid: Levels) -> DataFrame:
+    """As :func:`closest`, for objects with bounds and points without nulls."""
+    todo, done, k = queries, None, 0
     while True:
         radius = grid.side * 2.0**k
         levels = sorted({max(k, i) for i in grid.used})
@@ -253,7 +316,7 @@ def closest(queries: DataFrame, objects: DataFrame) -> DataFrame:
         best = pairs.withColumn("distance", _distance()).groupBy("query_id").agg(F.min(F.struct("distance", "object_id")).alias("h"))
         best = checkpointed(best.where(F.col("h.distance") <= radius).select("query_id", "h.object_id", "h.distance"))
         done = best if done is None else done.unionByName(best)
-        todo = checkpointed(todo.join(best, "query_id", "left_anti").where(" and ".join(f"{a} is not null and not isnan({a})" for a in V)))
+        todo = checkpointed(todo.join(best, "query_id", "left_anti"))
         if todo.isEmpty():
             return done
         k += 1
@@ -298,5 +361,8 @@ def inside_mesh(queries: DataFrame, triangles: DataFrame) -> DataFrame:
 
 
 def all_hits_ranked(rays: DataFrame, objects: DataFrame) -> DataFrame:
-    w = Window.partitionBy("ray_id").orderBy("t", "object_id")
-    return hits(rays, objects).withColumn("nth", F.row_number().over(w))
+    """Hits with ``nth``, their number from 1 on their ray (by t, then object_id);
+    a ray_id names one ray."""
+    found, shapes, names = _traced(rays, objects)
+    ranked = found.join(shapes, "_shape").withColumn("nth", F.row_number().over(Window.partitionBy("_ray").orderBy("t", "object_id")))
+    return ranked.join(names, "_ray").select("ray_id", "object_id", "t", "nth")

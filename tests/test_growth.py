@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointweave.operators import cluster
+from pointweave.operators import cluster, rays
 
 
 def brute_clusters(v: np.ndarray, delta: float) -> list[int]:
@@ -47,3 +47,51 @@ def test_vectors_of_a_crowd_are_linked_by_forests(spark, links_seen, size):
     assert [got[i] for i in range(900)] == brute_clusters(v, 0.25)
     assert [got[i] for i in range(900, 907)] == [900, 901, 902, 903, 903, 905, 905]
     assert links_seen[0] < 2 * 900  # 400 near copies have 79,800 pairs
+
+
+def crowd_of_objects(spark):
+    """30,000 objects in nine shapes, 4,000 rays in four, all over one spot."""
+    kind = F.element_at(F.array(*map(F.lit, ("box", "sphere", "triangle"))), (F.col("id") % 3 + 1).cast("int"))
+    at = (F.col("id") % 9 / 3).cast("int").cast("double")
+    shape = {f"{p}{a}": at + v for p, v in zip("abc", (0.0, 2.0, 1.0)) for a in "xyz"} | {"cx": at + 3.0}
+    objects = spark.range(30_000).select(F.col("id").alias("object_id"), kind.alias("kind"), *(v.alias(c) for c, v in shape.items()), F.lit(1.5).alias("r"))
+    tail = spark.range(300).select((F.col("id") + 30_000).alias("object_id"), F.lit("box").alias("kind"), *((F.col("id") % 17 * 5 + i + 10.0).alias(f"{p}{a}") for p, i in zip("abc", (0, 2, 1)) for a in "xyz"), F.lit(1.0).alias("r"))
+    rays_ = spark.range(4_000).select(F.col("id").alias("ray_id"), (F.col("id") % 4 * 0.5 + 0.25).alias("ox"), F.lit(0.75).alias("oy"), F.lit(-5.0).alias("oz"), F.lit(0.0).alias("dx"), F.lit(0.01).alias("dy"), F.lit(1.0).alias("dz"))
+    return objects.unionByName(tail), rays_
+
+
+@pytest.fixture
+def pairs_seen(monkeypatch):
+    """Rows of every table that is written on the way."""
+    seen = []
+    written = rays.checkpointed
+
+    def counted(df):
+        out = written(df)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(rays, "checkpointed", counted)
+    return seen
+
+
+def test_equal_rays_and_objects_are_traced_once(spark, pairs_seen):
+    objects, some = crowd_of_objects(spark)
+    few = objects.where("object_id < 9 or object_id >= 30000")
+    one = {r.ray_id: (r.object_id, r.t) for r in rays.nearest_hit(some.where("ray_id < 4"), few).collect()}
+    first = {r.ray_id: (r.object_id, r.t) for r in rays.nearest_hit(some, objects).collect()}
+    assert len(first) == 4_000 and all(first[i] == one[i % 4] for i in first)
+    per_ray = {r.ray_id: r["count"] for r in rays.hits(some.where("ray_id < 4"), few.where("object_id < 9")).groupBy("ray_id").count().collect()}
+    ranked = rays.all_hits_ranked(some.where("ray_id >= 3996"), objects.where("object_id < 9000"))
+    got = {r.ray_id: (r.n, r.top, r.apart) for r in ranked.groupBy("ray_id").agg(F.count("*").alias("n"), F.max("nth").alias("top"), F.countDistinct("nth").alias("apart")).collect()}
+    assert got == {3996 + i: (1000 * n,) * 3 for i, n in per_ray.items()}
+    assert max(pairs_seen) < 1_000
+
+
+def test_equal_points_look_once(spark, pairs_seen):
+    objects, some = crowd_of_objects(spark)
+    q = some.select(F.col("ray_id").alias("query_id"), F.col("ox").alias("x"), F.lit(-4.0).alias("y"), F.lit(9.5).alias("z"))
+    few = {r.query_id: (r.object_id, r.distance) for r in rays.closest(q.where("query_id < 4"), objects.where("object_id < 9 or object_id >= 30000")).collect()}
+    got = {r.query_id: (r.object_id, r.distance) for r in rays.closest(q, objects).collect()}
+    assert len(got) == 4_000 and all(got[i] == few[i % 4] for i in got)
+    assert max(pairs_seen) < 1_000
