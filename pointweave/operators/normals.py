@@ -20,10 +20,7 @@ def moments(points: DataFrame, radius: float, k: int = NEIGHBOURS) -> DataFrame:
     if k < 3:
         raise ValueError("normals need three neighbours or more")
     q = points.select(F.col("point_id").alias("query_id"), "x", "y", "z")
-    near = knn.nearest_join(q, points, radius, k)
-    at = points.select("point_id", "x", "y", "z")
-    seen = near.select("query_id", "point_id").join(at, "point_id")
-    s = knn.summary(seen, ["query_id"])
+    s = knn.summary(knn.k_nearest(q, points, radius, k), ["query_id"])
     return s.withColumn("density", F.col("cov_xx") + F.col("cov_yy") + F.col("cov_zz")).withColumnRenamed("query_id", "point_id")
 
 

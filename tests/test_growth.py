@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointweave.operators import cluster, rays
+from pointweave.operators import cluster, knn, rays
 
 
 def brute_clusters(v: np.ndarray, delta: float) -> list[int]:
@@ -95,3 +95,36 @@ def test_equal_points_look_once(spark, pairs_seen):
     got = {r.query_id: (r.object_id, r.distance) for r in rays.closest(q, objects).collect()}
     assert len(got) == 4_000 and all(got[i] == few[i % 4] for i in got)
     assert max(pairs_seen) < 1_000
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_nearest_of_a_crowd(spark, monkeypatch, strict):
+    monkeypatch.setattr(knn, "LEAF", 64)
+    monkeypatch.setattr(knn, "QUERIES", 100)
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(size=(1500, 3)), np.zeros((400, 3)), np.round(rng.random((300, 3)) * 4) / 4, rng.normal(size=(300, 3)) * 0.01 + 2])
+    ids = rng.permutation(len(v))
+    df = spark.createDataFrame([(int(i), *x.tolist()) for i, x in zip(ids, v)] + [(9000, None, 0.0, 0.0), (9001, float("nan"), 0.0, 0.0)], "point_id long, x double, y double, z double")
+    asked = np.concatenate([v[::5], rng.normal(size=(200, 3)) * 3, np.zeros((150, 3))])
+    q = spark.createDataFrame([(i, *x.tolist()) for i, x in enumerate(asked)], "query_id int, x double, y double, z double")
+    radius, k = 0.5, 9
+    want = []
+    for i, x in enumerate(asked):
+        e = v - x
+        d = np.sqrt(e[:, 0] * e[:, 0] + e[:, 1] * e[:, 1] + e[:, 2] * e[:, 2])
+        fits = np.flatnonzero(d < radius if strict else d <= radius)
+        want += [(i, int(b), float(a), r + 1) for r, (a, b) in enumerate(sorted(zip(d[fits], ids[fits]))[:k])]
+    want.sort()
+    pairs = knn.k_nearest(q, df, radius, k, strict)
+    assert sorted(map(tuple, pairs.select("query_id", "point_id", "distance", "rank").collect())) == want
+    assert sorted(map(tuple, knn.nearest_join(q, df, radius, k, strict).collect())) == want
+    assert knn.nearest_join(q, df.limit(0), radius, k).collect() == [] == knn.nearest_join(q.limit(0), df, radius, k).collect()
+
+
+def test_few_pairs_are_made_of_a_crowd_within_the_radius(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, *x.tolist()) for i, x in enumerate(rng.random((4000, 3)))], "point_id long, x double, y double, z double")
+    made = knn.nearest_join(df.withColumnRenamed("point_id", "query_id"), df, 5.0, 4)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin [cx" not in plan  # all 16,000,000 pairs before
+    assert made.count() == 16_000
