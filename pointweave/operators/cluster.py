@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
@@ -53,28 +53,43 @@ def by_distance(points: DataFrame, delta: float, strict: bool = False, within: S
 
     Points are first joined to the others of their own small cell (side
     delta / 2, whose diagonal is below delta): such points are linked by one
-    star, and only one cell pair's nearest links remain to be found. Cells are
-    nodes, so a crowded spot costs one row, not all pairs.
+    star. Cells are nodes, so a crowded spot costs one row, not all pairs. One point of
+    each of two cells is compared first; all of them only where no chain of such links
+    joins the cells already.
     """
     side = delta / 2.0
     own = [F.col(c).alias(f"w{i}") for i, c in enumerate(within)]
     cell = F.struct(*own, *(F.floor(F.col(c) / side).cast("long").alias(f"g{c}") for c in "xyz"))
     p = points.select("point_id", "x", "y", "z", cell.alias("cell"))
-    star = p.groupBy("cell").agg(F.min("point_id").alias("a"))
-    inside = p.join(star, "cell").select("a", F.col("point_id").alias("b"))
-    spots = p.dropDuplicates(["cell", "x", "y", "z"])
+    star = checkpointed(p.groupBy("cell").agg(F.min("point_id").alias("a"), F.min_by(F.struct("x", "y", "z"), F.struct("point_id", "x", "y", "z")).alias("at")))
+    p = p.join(star.select("cell", "a"), "cell")
+    inside = p.select("a", F.col("point_id").alias("b"))
+    spots = p.dropDuplicates(["a", "x", "y", "z"])
     reach = range(-3, 4)
     moves = [(i, j, k) for i in reach for j in reach for k in reach if (i, j, k) > (0, 0, 0) and sum(max(0, abs(m) - 1) ** 2 for m in (i, j, k)) * side * side <= delta * delta]
     around = F.array(*(F.struct(*(F.col(f"cell.w{i}").alias(f"w{i}") for i in range(len(own))), *((F.col(f"cell.g{c}") + m).alias(f"g{c}") for c, m in zip("xyz", move))) for move in moves))
+
+    def close(one: list[Column], other: list[Column]) -> Column:
+        d2 = sum(((u - v) ** 2 for u, v in zip(one[1:], other[1:])), (one[0] - other[0]) ** 2)
+        return d2 < delta * delta if strict else d2 <= delta * delta
+
     # cells that meet: at most one row a pair of cells
-    heads = star.select(F.col("cell"), F.col("a"))
-    near_cells = heads.select(F.col("cell").alias("from_cell"), "a", F.explode(around).alias("cell")).join(heads.withColumnRenamed("a", "b"), "cell").select("from_cell", F.col("cell").alias("to_cell"), "a", "b")
-    left = spots.select(F.col("cell").alias("from_cell"), *(F.col(c).alias(f"p{c}") for c in "xyz"))
-    right = spots.select(F.col("cell").alias("to_cell"), *(F.col(c).alias(f"q{c}") for c in "xyz"))
-    d2 = (F.col("px") - F.col("qx")) ** 2 + (F.col("py") - F.col("qy")) ** 2 + (F.col("pz") - F.col("qz")) ** 2
-    close = d2 < delta * delta if strict else d2 <= delta * delta
-    between = near_cells.join(left, "from_cell").join(right, "to_cell").where(close).select("a", "b").distinct()
-    return label(points, inside.unionByName(between))
+    heads = star.withColumns({"b": F.col("a"), "bt": F.col("at")}).select("cell", "b", "bt")
+    near = star.select("a", "at", F.explode(around).alias("cell")).join(heads, "cell")
+    near = checkpointed(near.select("a", "b", close(*([F.col(f"{h}.{c}") for c in "xyz"] for h in ("at", "bt"))).alias("linked")))
+    linked = near.where("linked").select("a", "b")
+    # what the heads don't link already: cells of different components, point by point
+    known = checkpointed(components(linked))
+    apart = near.where("not linked")
+    for c in "ab":
+        apart = apart.join(known.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+    apart = apart.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    left = spots.select("a", *(F.col(c).alias(f"p{c}") for c in "xyz"))
+    right = spots.select(F.col("a").alias("b"), *(F.col(c).alias(f"q{c}") for c in "xyz"))
+    meet = close(*([F.col(f"{k}{c}") for c in "xyz"] for k in "pq"))
+    between = apart.join(left, "a").join(right, "b").where(meet).select("a", "b").distinct()
+    joined = known.select(F.col("root").alias("a"), F.col("node").alias("b"))
+    return label(points, inside.unionByName(joined).unionByName(between))
 
 
 #: Vectors of a block that one task compares with another block, and of its chunks.

@@ -128,3 +128,13 @@ def test_few_pairs_are_made_of_a_crowd_within_the_radius(spark):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin [cx" not in plan  # all 16,000,000 pairs before
     assert made.count() == 16_000
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_cells_that_are_joined_are_not_compared_again(spark, links_seen, strict):
+    rng = np.random.default_rng(6)
+    v = np.concatenate([rng.random((700, 3)), rng.random((60, 3)) * 3 + 1.2, np.round(rng.random((60, 3)) * 8) / 4 - 3])
+    df = spark.createDataFrame([(i, *x.tolist()) for i, x in enumerate(v)], "point_id long, x double, y double, z double")
+    got = dict(cluster.by_distance(df, 0.25, strict).collect())
+    assert [got[i] for i in range(len(v))] == brute_clusters(v, np.nextafter(0.25, 0) if strict else 0.25)
+    assert links_seen[-1] < 2.5 * len(v)  # some 10,000 pairs of cells before
