@@ -260,3 +260,11 @@ def at_least(labels: DataFrame, n: int) -> DataFrame:
 
 def centroids(points: DataFrame, labels: DataFrame) -> DataFrame:
     return points.join(labels, "point_id").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"c{c}") for c in "xyz"))
+
+
+def equal_centroids(points: DataFrame, at: Sequence[Column]) -> DataFrame:
+    """Centroids of clusters of points that are equal in ``at``: by those values, not
+    by point_id, which rows of different clusters may share."""
+    keys = [c.alias(f"_k{i}") for i, c in enumerate(at)]
+    aggs = [F.min("point_id").alias("cluster_id"), F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"c{c}") for c in "xyz")]
+    return points.groupBy(*keys).agg(*aggs).drop(*(f"_k{i}" for i in range(len(at))))

@@ -470,7 +470,7 @@ add("cluster_sizes", lambda s, d: cluster.compact(QUERIES["cluster_equal"](s, d)
 add("cluster_min_size", lambda s, d: cluster.at_least(QUERIES["cluster_equal"](s, d), 3), f"{_EQ} SELECT point_id, CASE WHEN count(*) OVER (PARTITION BY cluster_id) >= 3 THEN cluster_id ELSE -1 END AS cluster_id FROM c")
 add(
     "cluster_centroids",
-    lambda s, d: cluster.centroids(views.lineitem_points(s, d), QUERIES["cluster_equal"](s, d)).select("cluster_id", "n", F.round(F.col("cy") + 1e-9, 5).alias("cy")),
+    lambda s, d: cluster.equal_centroids(views.lineitem_points(s, d), [F.col("x"), F.floor("y"), F.col("z")]).select("cluster_id", "n", F.round(F.col("cy") + 1e-9, 5).alias("cy")),
     "SELECT min(point_id) AS cluster_id, count(*) AS n, round(avg(y) + 1e-9, 5) AS cy FROM li GROUP BY x, floor(y), z",
 )
 add(

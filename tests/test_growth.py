@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointweave.operators import cluster, knn, rays
+from pointweave.plans import catalog
 
 
 def brute_clusters(v: np.ndarray, delta: float) -> list[int]:
@@ -138,3 +139,12 @@ def test_cells_that_are_joined_are_not_compared_again(spark, links_seen, strict)
     got = dict(cluster.by_distance(df, 0.25, strict).collect())
     assert [got[i] for i in range(len(v))] == brute_clusters(v, np.nextafter(0.25, 0) if strict else 0.25)
     assert links_seen[-1] < 2.5 * len(v)  # some 10,000 pairs of cells before
+
+
+def test_centroids_of_points_that_share_an_id(spark, tmp_path):
+    row = (7, 100, 5, 3, 2.0, 4500.0, 0.05, 0.02, "N", "O")
+    other = (7, 100, 5, 3, 40.0, 91000.0, 0.01, 0.02, "A", "F")
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame([row, row, other], names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog.QUERIES["cluster_centroids"](spark, str(tmp_path)).select("n", "cy").collect()
+    assert sorted(map(tuple, got)) == [(1, 91.0), (2, 4.5)]
