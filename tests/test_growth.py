@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pointweave.operators import cluster, knn, rays
 from pointweave.plans import catalog
+from pointweave.sources import binary
 
 
 def brute_clusters(v: np.ndarray, delta: float) -> list[int]:
@@ -148,3 +149,16 @@ def test_centroids_of_points_that_share_an_id(spark, tmp_path):
     spark.createDataFrame([row, row, other], names).write.parquet(f"{tmp_path}/lineitem.parquet")
     got = catalog.QUERIES["cluster_centroids"](spark, str(tmp_path)).select("n", "cy").collect()
     assert sorted(map(tuple, got)) == [(1, 91.0), (2, 4.5)]
+
+
+@pytest.mark.parametrize("kind", ["las", "ply", "e57"])
+def test_files_of_one_part_stay_small(spark, monkeypatch, kind):
+    monkeypatch.setattr(binary, "FILE", 500)
+    monkeypatch.setattr(binary, "HELD", 1200)
+    p = spark.range(20_000, numPartitions=3).select(*((F.col("id") % m / 8).alias(a) for a, m in zip("xyz", (64, 80, 96))), *((F.col("id") % m).cast("int").alias(c) for c, m in zip("rgb", (251, 241, 239))), F.when(F.col("id") % 4 > 0, 3).otherwise((F.col("id") % 40).cast("int")).alias("part"))
+    columns = dict.fromkeys("xyz", "f8") | dict.fromkeys("rgb", "u1")
+    files = binary.pack_files(p, kind, "part", columns).cache()
+    back = binary.unpacked(files, kind).select(*(F.round(a, 3).alias(a) for a in "xyz"), *"rgb")
+    assert back.exceptAll(p.select(*back.columns)).count() == 0 and back.count() == 20_000
+    most = binary.unpacked(files, kind).groupBy("path").count().agg(F.max("count")).first()[0]
+    assert most <= 500 + 10_000 and files.where("path like '3/%'").count() > 1  # one file of 15,000 points before
