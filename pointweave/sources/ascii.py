@@ -58,9 +58,15 @@ def _value(token: Column, kind: str) -> Column:
     return token.try_cast(kind)
 
 
+def _tokens(column: str) -> Column:
+    """The line's tokens as column _parts. A generator makes them, so that a line is
+    split once; filters on tokens would bring copies of a plain expression."""
+    blank = F.lit(" \t\n\x0b\f\r")
+    return F.explode(F.array(F.split(F.btrim(F.col(column), blank), r"\s+"))).alias("_parts")
+
+
 def parse_lines(lines: DataFrame, layout: Sequence[str], column: str = "value") -> DataFrame:
     """Points of the lines that have every token the layout asks for."""
-    parts = F.split(F.trim(F.regexp_replace(F.col(column), r"\s+", " ")), " ")
     out, seen = [], {}
     for i, token in enumerate(layout):
         if token not in TOKENS:
@@ -71,7 +77,7 @@ def parse_lines(lines: DataFrame, layout: Sequence[str], column: str = "value")
             name = f"custom{seen[name]}"
         if name:
             out.append(_value(F.get(F.col("_parts"), F.lit(i)), kind).alias(name))
-    made = lines.select("*", parts.alias("_parts")).select(*[c for c in lines.columns if c != column], F.size("_parts").alias("_n"), *out)
+    made = lines.select("*", _tokens(column)).select(*[c for c in lines.columns if c != column], F.size("_parts").alias("_n"), *out)
     names = [c for c in made.columns if c not in lines.columns and c != "_n"]
     whole = F.col("_n") >= len(layout)
     for c in names:
@@ -111,8 +117,7 @@ def read_particles(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_particles(lines: DataFrame) -> DataFrame:
     """Particles of the lines (value) that have all numbers."""
-    parts = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
-    d = lines.select(parts.alias("p")).where(F.size("p") >= len(PARTICLES))
+    d = lines.select(_tokens("value")).withColumnRenamed("_parts", "p").where(F.size("p") >= len(PARTICLES))
     whole = ("interactions", "material", "flaws", "active")
     cols = {n: F.get("p", F.lit(i)).try_cast("int" if n in whole else "double") for i, n in enumerate(PARTICLES)}
     d = d.select(*(c.alias(n) for n, c in cols.items())).where("x is not null and y is not null and z is not null")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pointweave.operators import cluster, knn, rays
 from pointweave.plans import catalog
-from pointweave.sources import binary
+from pointweave.sources import ascii, binary
 
 
 def brute_clusters(v: np.ndarray, delta: float) -> list[int]:
@@ -162,3 +162,13 @@ def test_files_of_one_part_stay_small(spark, monkeypatch, kind):
     assert back.exceptAll(p.select(*back.columns)).count() == 0 and back.count() == 20_000
     most = binary.unpacked(files, kind).groupBy("path").count().agg(F.max("count")).first()[0]
     assert most <= 500 + 10_000 and files.where("path like '3/%'").count() > 1  # one file of 15,000 points before
+
+
+def test_lines_are_split_once(spark):
+    text = spark.createDataFrame([(v,) for v in ("\t1  2\x0b3 4\r5 6 7 \f", "1 2 3", "", " # 1 2 3 4 5 6 7", "1 2 3 4 5 6 7 8", "1 2 3 4 5 6 7 8")], "value string")
+    made = ascii.parse_lines(text, ascii.LAYOUTS["yxh"])
+    assert [tuple(r) for r in made.select("x", "y", "z", "intensity").collect()] == [(1.0, 2.0, 3.0, 4)] * 2
+    particles = ascii.parse_particles(text.select(F.concat_ws(" ", *(F.col("value") for _ in range(4))).alias("value")))
+    for df in (made, particles):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert particles.count() == 2
