@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,30 +101,60 @@ def thin_sequentially(points: DataFrame, d: float, metric: str = "chebyshev", by
     """Drops points closer than ``d`` to the last *kept* one, in order of point_id.
 
     The order makes a group one sequential scan; ``by`` names the columns that
-    make groups (a scan line, a part). Without them all points are one group.
+    make groups (a scan line, a part). Without them all points are one group. A task
+    holds one batch of a group at a time.
     """
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("point_id", kind="stable")
-        return pdf[_kept(pdf[["x", "y", "z"]].to_numpy(float), d, metric)]
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, group = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            p = np.stack([batch[c].cast(pa.float64()).to_numpy(zero_copy_only=False) for c in "xyz"], axis=1)
+            starts = np.zeros(len(p), bool)
+            for c in by:
+                v = batch[c].to_pandas()
+                null, v = v.isna().to_numpy(), v.to_numpy()
+                starts[1:] |= (v[1:] != v[:-1]) & ~(null[1:] & null[:-1])
+            ends = [*np.flatnonzero(starts).tolist(), len(p)]
+            first = tuple(batch[c][0].as_py() for c in by)
+            last = last if first == group else None
+            keep, at = np.zeros(len(p), bool), 0
+            for end in ends:
+                own = _kept(p[at:end], d, metric, last)
+                keep[at:end] = own
+                if own.any():
+                    last = p[at:end][own][-1]
+                at, last = end, last if end == len(p) else None
+            group = tuple(batch[c][len(p) - 1].as_py() for c in by)
+            yield batch.filter(pa.array(keep))
+
+    dealt = points.repartition(*by) if by else points.repartition(1)
+    return dealt.sortWithinPartitions(*by, "point_id", "x", "y", "z").mapInArrow(scan, points.schema)
+
+
+def _kept(p: np.ndarray, d: float, metric: str, last: np.ndarray | None = None) -> np.ndarray:
+    """Which points stay, after ``last`` was kept: whole runs of points that are far
+    from the one before, then jumps to the next kept point, a block at a time."""
+
+    def far(e: np.ndarray) -> np.ndarray:
+        return (np.abs(e) >= d).any(axis=1) if metric == "chebyshev" else (e**2).sum(axis=1) >= d * d
+
+    def following(at: int, q: np.ndarray) -> int:
+        block = 64
+        while at < len(p):
+            hit = far(p[at : at + block] - q)
+            if hit.any():
+                return at + int(hit.argmax())
+            at, block = at + block, min(block * 2, 1 << 16)
+        return len(p)
 
-    return points.groupBy(*by).applyInPandas(scan, points.schema)
-
-
-def _kept(p: np.ndarray, d: float, metric: str) -> np.ndarray:
-    """Which points stay: jumps from kept point to kept point, a block at a time."""
     keep = np.zeros(len(p), bool)
-    at = 0
+    stops = np.append(np.flatnonzero(~far(p[1:] - p[:-1])), len(p) - 1)
+    at = 0 if last is None else following(0, last)
     while at < len(p):
-        keep[at] = True
-        nxt, block = at + 1, 64
-        while nxt < len(p):
-            e = np.abs(p[nxt : nxt + block] - p[at])
-            far = (e >= d).any(axis=1) if metric == "chebyshev" else (e**2).sum(axis=1) >= d * d
-            if far.any():
-                nxt += int(far.argmax())
-                break
-            nxt, block = nxt + block, min(block * 2, 1 << 16)
-        at = nxt
+        stop = int(stops[np.searchsorted(stops, at)])
+        keep[at : stop + 1] = True
+        at = following(stop + 2, p[stop])
     return keep
 
 

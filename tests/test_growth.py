@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointweave.operators import cluster, knn, rays
+from pointweave.operators import cluster, knn, points, rays
 from pointweave.plans import catalog
 from pointweave.sources import ascii, binary
 
@@ -172,3 +172,27 @@ def test_lines_are_split_once(spark):
     for df in (made, particles):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     assert particles.count() == 2
+
+
+@pytest.mark.parametrize("metric", ["chebyshev", "euclid"])
+def test_thinning_holds_a_batch_at_a_time(spark, metric):
+    rng = np.random.default_rng(8)
+    v = np.concatenate([np.cumsum(rng.normal(size=(500, 3)), axis=0), rng.random((300, 3)), rng.random((400, 3)) * 9])
+    part = [None if i % 5 == 4 else int(i % 5 > 1) for i in range(len(v))]
+    df = spark.createDataFrame([(i, *x.tolist(), g) for i, (x, g) in enumerate(zip(v, part))], "point_id long, x double, y double, z double, part int").repartition(7)
+    want = []
+    for g in {None, 0, 1}:
+        last = None
+        for i in [i for i in range(len(v)) if part[i] == g]:
+            e = None if last is None else np.abs(v[i] - last)
+            if e is None or ((e >= 1.5).any() if metric == "chebyshev" else (e**2).sum() >= 1.5**2):
+                want.append(i)
+                last = v[i]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    try:
+        spark.conf.set(size, 7)
+        thin = points.thin_sequentially(df, 1.5, metric, ["part"])
+        assert sorted(r.point_id for r in thin.collect()) == sorted(want)
+    finally:
+        spark.conf.unset(size)
+    assert "FlatMapGroupsInPandas" not in thin._jdf.queryExecution().executedPlan().toString()  # whole groups in memory before
