@@ -114,8 +114,19 @@ def frustum_planes(view_projection: np.ndarray) -> list[tuple[list[float], float
     return planes
 
 
+def let(values: Sequence[Column], body) -> Column:
+    """``body`` of ``values``, each worked out once a row: as plain expressions they would be
+    copied to every use, and a test of many edges outgrow the size that the JVM compiles."""
+    bound = F.array(F.struct(*(v.alias(f"v{i}") for i, v in enumerate(values))))
+    return F.get(F.transform(bound, lambda t: body(*(t[f"v{i}"] for i in range(len(values))))), F.lit(0))
+
+
 def in_polygon(u: Column, v: Column, ring: Sequence[Vec]) -> Column:
     """Even-odd rule with half-open edges: a crossing where (v1 > v) <> (v2 > v)."""
+    return let((u, v), lambda a, b: _in_polygon(a, b, ring))
+
+
+def _in_polygon(u: Column, v: Column, ring: Sequence[Vec]) -> Column:
     odd: Column = F.lit(0)
     for (u1, v1), (u2, v2) in zip(ring, [*ring[1:], ring[0]]):
         if float(v1) == float(v2):

@@ -45,7 +45,9 @@ class Mask(MaskAlgebra):
 
     def column(self) -> Column:
         """Whether a point's projection lies in any triangle; never if its depth is negative."""
-        u, v, depth = geom.transformed(np.array(self.matrix))
+        return geom.let(geom.transformed(np.array(self.matrix)), self._covers)
+
+    def _covers(self, u: Column, v: Column, depth: Column) -> Column:
         inside = []
         for a, b, c in self.triangles:
             s = [(q[0] - p[0]) * (v - float(p[1])) - (q[1] - p[1]) * (u - float(p[0])) for p, q in ((a, b), (b, c), (c, a))]

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointweave.operators import cluster, knn, points, rays
+from pointweave.operators import cluster, knn, mask, points, rays
 from pointweave.plans import catalog
 from pointweave.sources import ascii, binary
 
@@ -196,3 +196,12 @@ def test_thinning_holds_a_batch_at_a_time(spark, metric):
     finally:
         spark.conf.unset(size)
     assert "FlatMapGroupsInPandas" not in thin._jdf.queryExecution().executedPlan().toString()  # whole groups in memory before
+
+
+def test_screen_positions_are_worked_out_once(spark):
+    m = np.array([[0.0125, 0, 0, 0], [0, 0.0375, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]], float)
+    ring = [(-0.5, -0.5), (0.5, -0.5), (0.5, 0.6), (-0.4, 0.3)]
+    df = spark.createDataFrame([(1, 8.0, 2.0, 0.5), (2, 60.0, 2.0, 0.5), (3, None, 2.0, 0.5), (4, 8.0, 2.0, -0.5)], "point_id int, x double, y double, z double")
+    for made in (df.where(mask.of_polygon(ring, m).column()), knn.pick(df, m, knn.polygon_region(ring), (0.0, 0.0, 0.0))):
+        assert 1 in [r.point_id for r in made.collect()] and made.where("point_id in (2, 3)").count() == 0
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("0.0125") <= 1
