@@ -418,12 +418,12 @@ add(
 
 def _lod(s: SparkSession, d: str) -> DataFrame:
     p, t = _tree(s, d)
-    return octree.level_of_detail(octree.assign(p, t, LI_ROOT), t, LIMIT)
+    return octree.level_of_detail(octree.assign(p.select(*XYZ), t, LI_ROOT), t, LIMIT)
 
 
 def _level_counts(s: SparkSession, d: str) -> DataFrame:
     p, t = _tree(s, d)
-    own = octree.level_of_detail(octree.assign(p, t, LI_ROOT), t, LIMIT).groupBy(*octree.KEYS).agg(F.count(F.lit(1)).alias("count_cell"))
+    own = octree.level_of_detail(octree.assign(p.select(*XYZ), t, LI_ROOT), t, LIMIT).groupBy(*octree.KEYS).agg(F.count(F.lit(1)).alias("count_cell"))
     return octree.level_counts(t.join(own, octree.KEYS))
 
 
